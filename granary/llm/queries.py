@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import sharding
+from granary.llm import packing, reputation, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,3 +35,73 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: The rules that op4's contract fixes.
+HOST_RULES = ("block com/en/", "allow example.com/en/7", "block net/de/", "block example.net/de/8", "block org/es/")
+
+
+def page_outcomes(labels: DataFrame) -> DataFrame:
+    """A labelled page (page_id = doc_id) is bad where it is toxic or of low quality."""
+    bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    return labels.select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("bad"))
+
+
+@query
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules and then by its host's reputation."""
+    rules = [reputation.rule(x) for x in HOST_RULES]
+    return reputation.host_reputation(table(spark, sf_dir, "pages"), page_outcomes(table(spark, sf_dir, "labels")), rules)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FITS = " ".join(
+    f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{r.text}'"
+    for r in sorted(map(reputation.rule, HOST_RULES), key=lambda r: -len(r.text))
+)
+_VERDICTS = " ".join(f"when '{r.text}' then '{r.verdict}'" for r in map(reputation.rule, HOST_RULES))
+_TWO = ", ".join(f"'{x}'" for x in reputation.TWO_LABEL_SUFFIXES)
+
+
+def _prior_sql(level: str) -> str:
+    return f"""(select m, 1 / least(greatest(case when below > 0 then (spread - (g - 1) * m * (1 - m)) / below else 0.0 end, 0.001), 0.999) - 1 as s
+ from (select *, kk - k * k / greatest(n, 1.0) as spread, m * (1 - m) * (n - nn / greatest(n, 1.0) - (g - 1)) as below
+ from (select *, (k + 1) / (n + 2) as m from (select coalesce(sum(n), 0)::double as n, coalesce(sum(bad), 0)::double as k,
+ coalesce(sum(n::double * n), 0.0)::double as nn, coalesce(sum(bad::double * bad / n), 0.0)::double as kk, count(*)::double as g from {level} where n > 0))))"""
+
+
+ORACLE_SQL["op4_host_reputation"] = f"""
+with cut as (select page_id, case when contains(coalesce(url, ''), '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+seen as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host,
+ regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+known as (select doc_id as page_id, case when toxic = 1 or quality = 0 then 1 else 0 end as bad from labels),
+labelled as (select host, count(*) as n, sum(bad) as bad from seen join known using (page_id) group by host),
+named as (select distinct host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as labels from seen),
+lasts as (select host, labels, array_to_string(labels[-2:], '.') as two, array_to_string(labels[-3:], '.') as three from named),
+hosts as (select l.host, coalesce(n, 0)::bigint as n, coalesce(bad, 0)::bigint as bad, case when two in ({_TWO}) then three else two end as domain,
+ case when two in ({_TWO}) then two else labels[-1] end as suffix from lasts l left join labelled b on l.host = b.host),
+domains as (select domain, suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from hosts group by 1, 2),
+suffixes as (select suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from domains group by 1),
+top as (select suffix, (bad + s * m) / (n + s) as rate_s from suffixes, {_prior_sql("suffixes")}),
+mid as (select domain, suffix, (bad + s * rate_s) / (n + s) as rate_d from domains join top using (suffix), {_prior_sql("domains")}),
+low as (select host, n, bad, bad + s * rate_d as a, n - bad + s * (1 - rate_d) as b from hosts join mid using (domain, suffix), {_prior_sql("hosts")}),
+judged as (select host, n as n_labelled, bad as n_bad, round(a / (a + b) - 1.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) as bound from low),
+ruled as (select page_id, host, path, case {_FITS} end as rule, n_labelled, n_bad, bound from seen join judged using (host))
+select page_id, host, path, rule, case rule {_VERDICTS} else case when bound > 0.35 then 'block' else 'allow' end end as verdict,
+ n_labelled, n_bad, bound from ruled"""
+
+#: Of the public word-level tokenizer; op8's contract fixes it, the capacity and the end id.
+SEQUENCE_TOKENS, END_ID = 4096, 1
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of at most 4096 tokens."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE_TOKENS, END_ID)
+    return packing.pack(cut, SEQUENCE_TOKENS)
