@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import packing, reputation, sharding
+from granary.llm import ego_join, packing, reputation, sharding, sp_codec, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,3 +105,44 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token pieces in sequences of at most 4096 tokens."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE_TOKENS, END_ID)
     return packing.pack(cut, SEQUENCE_TOKENS)
+
+
+@query
+def op5_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings linked where their cosine is 0.9 or more."""
+    return ego_join.cosine_links(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+ORACLE_SQL["op5_ego_join"] = """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join links l on r.b = l.a),
+component as (select a as vec_id, min(b) as component_id from reach group by a),
+counts as (select a as vec_id, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from component left join counts using (vec_id)"""
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the public BPE model and decoded again."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    encoded = sp_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    decoded = sp_codec.decode(encoded, path)
+    text = F.coalesce("text", F.lit(""))
+    return decoded.select(
+        "doc_id", "ids", F.size("ids").alias("n_ids"), F.crc32("decoded").alias("decoded_crc32"), (F.col("decoded") == text).alias("round_trip")
+    )
+
+
+@query
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every 50th embedding, by integer inner product."""
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLE_SQL["op9_exact_top_k"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5"""
