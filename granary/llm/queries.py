@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ego_join, packing, reputation, sharding, sp_codec, topk
+from granary.llm import ego_join, line_dedup, packing, reputation, sharding, sp_codec, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -146,3 +146,31 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::dou
 s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5"""
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that an earlier line equals or is one edit away from."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"), F.length("text").cast("long").alias("kept_chars"))
+
+
+ORACLE_SQL["op10_line_dedup"] = """
+with cut as (select doc_id, text, string_split(text, chr(10)) as parts from documents),
+each as (select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as no from cut),
+l as (select doc_id, no, line from each where regexp_matches(line, '[^ \\t\\n\\x0b\\f\\r]')),
+d as (select line, length(line) as k, min((doc_id, no)) as first from l group by line),
+long as (select * from d where k >= 20),
+keys as (select line, k, first, unnest([('p', k // 2, left(line, k // 2)), ('p', (k - 1) // 2, left(line, (k - 1) // 2)),
+ ('s', k // 2, right(line, k // 2)), ('s', (k - 1) // 2, right(line, (k - 1) // 2))]) as half from long),
+pairs as (select distinct a.line as line, a.k as ka, b.line as other, b.k as kb, b.first as near from keys a join keys b
+ on a.half = b.half and a.line <> b.line and abs(a.k - b.k) <= 1 and b.first < a.first),
+edits as (select line, near from pairs where len(list_filter(range(0, greatest(ka, kb)::bigint), lambda i:
+ left(line, i) = left(other, i) and (case when ka = kb then substr(line, (i + 2)::bigint) = substr(other, (i + 2)::bigint)
+ when ka > kb then substr(line, (i + 2)::bigint) = substr(other, (i + 1)::bigint)
+ else substr(line, (i + 1)::bigint) = substr(other, (i + 2)::bigint) end))) > 0),
+m as (select d.line, least(d.first, coalesce(n.near, d.first)) as first from d left join (select line, min(near) as near from edits group by line) n on d.line = n.line),
+gone as (select l.doc_id, list(l.no) as nos from l join m on l.line = m.line where (l.doc_id, l.no) > m.first group by l.doc_id),
+kept as (select c.doc_id, c.text, len(c.parts) as n_lines, coalesce(len(g.nos), 0) as n_removed,
+ array_to_string(list_filter(c.parts, lambda x, i: not coalesce(list_contains(g.nos, i), false)), chr(10)) as t from cut c left join gone g on c.doc_id = g.doc_id)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, n_removed::bigint as n_removed, md5(t) as kept_md5, length(t)::bigint as kept_chars from kept"""
