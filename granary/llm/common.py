@@ -50,6 +50,20 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _bloom(keys: DataFrame) -> DataFrame:
+    """256 rows of 4 KB bitmaps, a bound that data cannot exceed: 2**23 bits set by column k."""
+    bits = keys.select(F.pmod("k", F.lit(256)).alias("_bucket"), F.pmod(F.shiftright("k", 8), F.lit(32768)).alias("_bit"))
+    return bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+
+
+def maybe_among(df: DataFrame, k: Column, keys: DataFrame) -> DataFrame:
+    """Rows of df whose k (a long) may be among column k of keys; none that is gets lost."""
+    probed = df.withColumns({"_bucket": F.pmod(k, F.lit(256)), "_bit": F.pmod(F.shiftright(k, 8), F.lit(32768))})
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
+    return probed.join(F.broadcast(_bloom(keys)), "_bucket").filter(hit).drop("_bucket", "_bit", "_map")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected links: (node, component), component the smallest node reachable.
 

@@ -32,8 +32,8 @@ class Forest:
         self.up[max(x, y)] = min(x, y)
         return x != y
 
-    def unite(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-        """Joins all pairs (i, j); the pairs that joined two trees."""
+    def unite(self, i: np.ndarray, j: np.ndarray, sure=lambda x, y: True) -> list[tuple[int, int]]:
+        """Joins the pairs (i, j) that are sure; those that joined two trees."""
         used = []
         nodes = np.unique(np.r_[i, j])
         while len(i):
@@ -42,7 +42,8 @@ class Forest:
             apart = ri != rj
             i, j = i[apart], j[apart]
             _, first = np.unique(ri[apart], return_index=True)
-            used += [(x, y) for x, y in zip(i[first].tolist(), j[first].tolist()) if self.join(x, y)]
+            used += [(x, y) for x, y in zip(i[first].tolist(), j[first].tolist()) if sure(x, y) and self.join(x, y)]
+            i, j = np.delete(i, first), np.delete(j, first)
         return used
 
 

@@ -5,25 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored
+from granary.llm.common import maybe_among, stored
 
 SEGMENTS = 32
 
 
-def _bloom(keys: DataFrame) -> DataFrame:
-    """256 rows of 4 KB bitmaps, a bound that data cannot exceed: 2**23 bits set by column k."""
-    bits = keys.select(F.pmod("k", F.lit(256)).alias("_bucket"), F.pmod(F.shiftright("k", 8), F.lit(32768)).alias("_bit"))
-    return bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-
-
-def _maybe(df: DataFrame, k: Column, keys: DataFrame) -> DataFrame:
-    """Rows of df whose k may be among keys; none that is gets lost."""
-    probed = df.withColumns({"_bucket": F.pmod(k, F.lit(256)), "_bit": F.pmod(F.shiftright(k, 8), F.lit(32768))})
-    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
-    return probed.join(F.broadcast(_bloom(keys)), "_bucket").filter(hit).drop("_bucket", "_bit", "_map")
-
-
 def _left(c: str, n: Column) -> Column:
     return F.substring(F.col(c), F.lit(1), n.cast("int"))
 
@@ -89,7 +75,7 @@ def _earlier_within_one(lines: DataFrame, distinct: DataFrame, shortest: int) ->
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     suspects = stored(halves.join(shared, "half", "left_semi").select("h", "g", "first").distinct(), "suspects")
     where = F.xxhash64("h", "first")
-    found = _maybe(lines.select("h", "g", "line", F.col("at").alias("first")), where, suspects.select(where.alias("k")))
+    found = maybe_among(lines.select("h", "g", "line", F.col("at").alias("first")), where, suspects.select(where.alias("k")))
     text = stored(found.join(suspects, ["h", "g", "first"], "left_semi").dropDuplicates(["h", "g"]), "suspect_lines")
 
     cut = text.select("h", "g", "first", F.explode(_segments("line")).alias("s")).select("h", "g", "first", "s.*")

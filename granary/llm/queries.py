@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ego_join, line_dedup, packing, reputation, sharding, sp_codec, topk
+from granary.llm import ego_join, jaccard_join, line_dedup, lm, packing, reputation, sharding, sp_codec, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -174,3 +174,34 @@ gone as (select l.doc_id, list(l.no) as nos from l join m on l.line = m.line whe
 kept as (select c.doc_id, c.text, len(c.parts) as n_lines, coalesce(len(g.nos), 0) as n_removed,
  array_to_string(list_filter(c.parts, lambda x, i: not coalesce(list_contains(g.nos, i), false)), chr(10)) as t from cut c left join gone g on c.doc_id = g.doc_id)
 select doc_id, coalesce(n_lines, 0)::bigint as n_lines, n_removed::bigint as n_removed, md5(t) as kept_md5, length(t)::bigint as kept_chars from kept"""
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents linked where their five-word shingles are alike by 0.8 or more."""
+    out = jaccard_join.jaccard_links(table(spark, sf_dir, "documents"), 0.8, 5)
+    return out.select("doc_id", "class_id", "copies_id", "n_links", "kept")
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by unigrams and by the log-bilinear model."""
+    return lm.language_model_scores(table(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on labelled rows that are not held out."""
+    return toxicity.fit(docs, labels.filter(remainder(3) != 1))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for toxicity."""
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs.select("doc_id", "text"), toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
