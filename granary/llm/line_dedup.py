@@ -76,7 +76,8 @@ def _earlier_within_one(lines: DataFrame, distinct: DataFrame, shortest: int) ->
     suspects = stored(halves.join(shared, "half", "left_semi").select("h", "g", "first").distinct(), "suspects")
     where = F.xxhash64("h", "first")
     found = maybe_among(lines.select("h", "g", "line", F.col("at").alias("first")), where, suspects.select(where.alias("k")))
-    text = stored(found.join(suspects, ["h", "g", "first"], "left_semi").dropDuplicates(["h", "g"]), "suspect_lines")
+    # an inner join: a semi join would be moved below the filter and shuffle every line
+    text = stored(found.join(suspects, ["h", "g", "first"]).dropDuplicates(["h", "g"]), "suspect_lines")
 
     cut = text.select("h", "g", "first", F.explode(_segments("line")).alias("s")).select("h", "g", "first", "s.*")
     outers = cut.groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1").select("outer")
