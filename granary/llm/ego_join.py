@@ -147,8 +147,8 @@ def cosine_links(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector:
     ordered = stored(ordered.drop("cells"), "ordered")
     corner = [f(F.col("p")[d]).alias(f"{name}{d}") for d in range(axes.shape[1]) for name, f in (("low", F.min), ("high", F.max))]
     boxes = ordered.groupBy("block").agg(*corner).orderBy("block").collect()
-    low = np.array([[r[f"low{d}"] for d in range(axes.shape[1])] for r in boxes]).reshape(len(boxes), -1)
-    high = np.array([[r[f"high{d}"] for d in range(axes.shape[1])] for r in boxes]).reshape(len(boxes), -1)
+    low = np.array([[r[f"low{d}"] for d in range(axes.shape[1])] for r in boxes], float).reshape(len(boxes), axes.shape[1])
+    high = np.array([[r[f"high{d}"] for d in range(axes.shape[1])] for r in boxes], float).reshape(len(boxes), axes.shape[1])
     pairs: list[tuple[int, int, int]] = []
     for i in range(len(boxes)):
         gap = np.maximum(0, np.maximum(low[i] - high[i:], low[i:] - high[i]))
