@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def once(c: Column, f) -> Column:
+    """f(c) with c computed once: a lambda's body would compute it again for every element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -48,12 +53,14 @@ def is_bare_number(line: Column) -> Column:
 
 def drop_page_labels(c: Column, window: int = 3) -> Column:
     """Without page labels anywhere and without bare numbers among the first and last non-blank lines."""
+    def kept(ranked: Column) -> Column:
+        full = F.transform(F.filter(ranked, lambda r: strip(r["x"]) != ""), lambda r: r["i"])
+        edges = F.concat(F.slice(full, 1, window), F.slice(F.reverse(full), 1, window))
+        keep = lambda edge: lambda r: (strip(r["x"]) == "") | ~(is_page_label(r["x"]) | (is_bare_number(r["x"]) & F.array_contains(edge, r["i"])))
+        return once(edges, lambda edge: F.array_join(F.transform(F.filter(ranked, keep(edge)), lambda r: r["x"]), "\n"))
+
     lines = F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n", -1)
-    ranked = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    full = F.transform(F.filter(ranked, lambda r: strip(r["x"]) != ""), lambda r: r["i"])
-    edge = F.concat(F.slice(full, 1, window), F.slice(F.reverse(full), 1, window))
-    keep = lambda r: (strip(r["x"]) == "") | ~(is_page_label(r["x"]) | (is_bare_number(r["x"]) & F.array_contains(edge, r["i"])))
-    return strip(F.array_join(F.transform(F.filter(ranked, keep), lambda r: r["x"]), "\n"))
+    return strip(once(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), kept))
 
 
 def basic_clean(c: Column) -> Column:
@@ -123,4 +130,5 @@ def windows(words: Column, size: int, overlap: int) -> Column:
     """Arrays of size words, each starting size - overlap after the one before; the last may be shorter."""
     stride = max(1, size - overlap)
     starts = F.sequence(F.lit(0), F.ceil(F.greatest(F.size(words) - size, F.lit(0)) / stride).cast("int"))
-    return F.when(F.size(words) > 0, F.transform(starts, lambda k: F.slice(words, k * stride + 1, size))).otherwise(F.array())
+    cut = once(words, lambda w: F.transform(starts, lambda k: F.slice(w, k * stride + 1, size)))
+    return F.when(F.size(words) > 0, cut).otherwise(F.array())

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators import text as T
+from granary.sources.tables import snapshot
 
 #: Tags whose text is not read, tags that break lines, and endings of files that are not pages (fixed values).
 SKIPPED = set("button canvas footer form header nav noscript script select style svg".split())
@@ -169,8 +170,6 @@ def crawl(seeds: DataFrame, fetched: DataFrame, edges: DataFrame, domains: list[
     seeds (url, pos), fetched (url, words; null words means the fetch failed), edges (src, dst, pos). Each level is
     one join and one anti-join; levels end at max_depth, or when max_pages pages were kept.
     """
-    from granary.sources.tables import snapshot
-
     level = first_urls(seeds.select(canonical_url(F.col("url")).alias("url"), "pos").filter("url <> ''")).select("url", F.lit(0).alias("depth"), "pos")
     done = None
     for depth in range(max_depth + 1):
@@ -207,10 +206,12 @@ def plain_words(c: Column) -> Column:
 
 def shingles(c: Column, size: int = 8) -> Column:
     """Distinct runs of size words of plain_words text; a shorter text is one run."""
-    w = F.filter(F.split(c, " "), lambda x: x != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
-    runs = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")))
-    return F.when(F.size(w) > 0, runs).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
+        made = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")))
+        return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    return T.once(F.filter(F.split(c, " "), lambda x: x != ""), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -238,7 +239,7 @@ def near_duplicates(records: DataFrame, threshold: float = 0.86, size: int = 8,
     """
     plain = records.select(F.col(key).alias("id"), plain_words(F.col("text")).alias("_n")).filter("_n <> ''")
     texts = plain.groupBy(F.sha2("_n", 256).alias("_h")).agg(F.min(F.struct("id", "_n")).alias("s")).select("s.id", shingles(F.col("s._n"), size).alias("g"))
-    sets = texts.select("id", F.transform("g", lambda x: F.xxhash64(x)).alias("g"))
+    sets = snapshot(texts.select("id", F.transform("g", lambda x: F.xxhash64(x)).alias("g")), "shingles")
     tokens = sets.select("id", F.size("g").alias("n"), F.explode("g").alias("t"))
     rare = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
     shared = tokens.join(rare, "t")
