@@ -25,16 +25,17 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """question_id, strategy, chunk_id and distance of the k nearest vectors of each strategy.
 
-    questions (question_id, embedding) are cut into blocks that meet every partition of vectors (chunk_id, strategy,
-    embedding) through a join on the block number; a task multiplies matrices and keeps k rows for a question
-    and strategy, so what is shuffled on is k rows for each question and task. Vectors without direction,
+    questions (question_id, embedding) and vectors (chunk_id, strategy, embedding) are cut into blocks of about BLOCK
+    rows; each pair of blocks multiplies two matrices and keeps k rows for a question and strategy, so what is
+    shuffled on is k rows for each question and block. Vectors without direction,
     null or of another width than the question's never match; ties go to the smaller chunk_id.
     """
     count = questions.count()
     blocks = max(1, -(-count // BLOCK))
     held = questions.filter("embedding is not null").withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(blocks).cast("long")))
     packed = held.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("question_id", "embedding"))).alias("qs"))
-    parts = vectors.filter("embedding is not null").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, blocks * 8)).cast("long")))
+    slices = max(1, -(-vectors.count() // BLOCK))
+    parts = vectors.filter("embedding is not null").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices).cast("long")))
     packs = parts.groupBy("slice", "strategy").agg(F.collect_list(F.struct("chunk_id", "embedding")).alias("vs"))
     each = packs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     joined = each.join(packed, "block").select("strategy", "qs", "vs")
