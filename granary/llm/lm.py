@@ -35,7 +35,7 @@ def _shared_class(word: str) -> int:
 
 @dataclass
 class Vocabulary:
-    """Counts of the HEAD most frequent training words, and of all others by class."""
+    """Counts of at most HEAD training words, the most frequent, and of all others by class."""
 
     words: pa.Array  # by rank; ranks below OWN are classes of their own
     counts: np.ndarray
@@ -68,10 +68,18 @@ def vocabulary(training: DataFrame, text: str) -> tuple[Vocabulary, DataFrame]:
 
     counts = training.select(text).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = stored(counts.filter("c > 0"), "vocabulary")
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    names = {r.word for r in head[:OWN]}
-    if END not in names:  # the end is one of the most frequent tokens unless texts are very long
-        head = ([r for r in head if r.word == END] or [type(head[0])(word=END, c=0)] if head else []) + [r for r in head if r.word != END]
+    # the head is made of whole steps of the count, so that no task sends more than its share of it to the driver
+    step = F.floor(F.log2("c") * 8).cast("int")
+    least, total = 0, 0
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        least, total = r.s, total + r.n
+        if total > HEAD:
+            least += 1
+            break
+    found = counts.filter((step >= least) | (F.col("word") == END)).collect()
+    head = sorted(found, key=lambda r: (-r.c, r.word))
+    # the end always has a class of its own
+    head = [r for r in head if r.word == END] + [r for r in head if r.word != END]
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     shared = (F.crc32(F.substring("word", 1, 2).cast("binary")) % SHARED).cast("int")
     by = {r[0]: (r[1], r[2]) for r in counts.groupBy(shared).agg(F.sum("c"), F.count("*")).collect()}
