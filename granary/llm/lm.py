@@ -174,7 +174,8 @@ def train_on(model: Model, state: list[np.ndarray], cls: np.ndarray, before: np.
         ]
         for x, s, own in zip((model.first, model.second, model.target, model.bias[:, None]), state, g):
             s += own * own
-            x += RATE * own / np.sqrt(s + 1)
+            # the biases start at their optimum without context
+            x += (RATE if x.shape[1] > 1 else 0.1 * RATE) * own / np.sqrt(s + 1)
 
 
 def train(training: DataFrame, voc: Vocabulary, text: str, part: Column) -> Model:
