@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -14,38 +15,60 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import stored
 
-CACHE = 1_000_000
+CACHE = 150_000
+#: Letters that are their own lower case and composed form.
+SMALL = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 SALTS = 256
 
 
 def _encoder(path: str):
     """Texts to (ids of all, offsets): each text is cut at ASCII white space and each distinct chunk encoded once.
 
-    Needs a tokenizer that never merges across ASCII white space and ignores it, as word-level BPE files do.
+    Needs a tokenizer that never merges across ASCII white space and ignores it, that lower-cases, and that takes
+    a full stop or comma after a letter as a word of its own, as word-level BPE files do. Chunks then share their
+    lower-case form without that mark, and chunks of small Latin letters alone, which no other step of the
+    tokenizer changes or cuts, go to its BPE model at once; all others take the whole way.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, np.ndarray] = {}
+    tokenize, known, older = tokenizer.model.tokenize, {}, {}
+    ids_of = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    tails = {c: ids_of(c) for c in ".,"} | {"": []}
+    letters = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in SMALL}
+    plain = re.compile(f"[{SMALL}]+")
+
+    def learn(new: list[str]) -> None:
+        for w in new:
+            if plain.fullmatch(w):
+                known[w] = [t.id for t in tokenize(w if w.isascii() else w.translate(letters))]
+            else:
+                known[w] = ids_of(w)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         chunks = pc.ascii_split_whitespace(texts)
         flat = chunks.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
+        words = flat.dictionary
+        special = pc.match_substring(words, "<|")
+        marked = pc.and_not(pc.match_substring_regex(words, "[A-Za-z][.,]$"), special)
+        bases = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
+        bases = pc.if_else(special, bases, pc.ascii_lower(bases)).to_pylist()
+        ends = pc.if_else(marked, pc.utf8_slice_codeunits(words, -1), "").to_pylist()
+        # two generations: words seen since the last change stay, others go
         if len(known) > CACHE:
+            older.clear()
+            older.update(known)
             known.clear()
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 10_000):
-            for w, e in zip(new[at : at + 10_000], tokenizer.encode_batch(new[at : at + 10_000], add_special_tokens=False)):
-                known[w] = e.ids
-        own = [known[w] for w in words]
+        known.update((b, older[b]) for b in bases if b not in known and b in older)
+        learn(list(dict.fromkeys(b for b in bases if b not in known)))
+        own = [known[b] + tails[e] for b, e in zip(bases, ends)]
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         table = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), pa.array([i for x in own for i in x], pa.uint32()))
         codes = flat.indices
         ids = table.take(codes).flatten().to_numpy()
-        ends = np.r_[0, np.cumsum(sizes[codes.to_numpy()])] if len(words) else np.zeros(1, np.int64)
-        return ids, ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+        after = np.r_[0, np.cumsum(sizes[codes.to_numpy()])] if len(own) else np.zeros(1, np.int64)
+        return ids, after[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
 
     return encode
 
@@ -64,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
         for batch in batches:
             # a few texts at a time bound the memory that very long ones need
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
-            group = np.cumsum(size) // (8 << 20)
+            group = np.cumsum(size) // (2 << 20)
             for g in np.unique(group):
                 at = np.flatnonzero(group == g)
                 part = batch.slice(at[0], len(at))
