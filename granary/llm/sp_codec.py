@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN = 500_000
+KNOWN = 200_000
 
 
 class Vocabulary:
@@ -40,11 +40,10 @@ class Vocabulary:
 
     def _grow(self) -> None:
         """How byte-pair merges make each piece: the symbols at its left and right edge as they grow, with the
-        negative score at which each is made; whole are the pieces that merging makes of their own text."""
+        negative score at which each is made. Pieces that merging does not make of their own text stay out."""
         self.left: dict[str, list[tuple[float, str]]] = {}
         self.right: dict[str, list[tuple[float, str]]] = {}
-        self.whole: set[str] = set()
-        self.endings: dict[str, list[int]] = {}
+        self.back: dict = {}  # a trie of these pieces from their last character to their first
         for piece in sorted(self.pieces, key=len):
             if len(piece) == 1:
                 continue
@@ -52,13 +51,13 @@ class Vocabulary:
             if halves is None:
                 continue
             x, y = halves
-            self.whole.add(piece)
+            node = self.back
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = {}
             made = max([-self.pieces[piece][1], *(self.left[z][-1][0] for z in halves if len(z) > 1)])
             self.left[piece] = [*self.left.get(x, ()), (made, piece)]
             self.right[piece] = [*self.right.get(y, ()), (made, piece)]
-            sizes = self.endings.setdefault(piece[-3:], [])
-            if len(piece) > 2 and len(piece) not in sizes:
-                sizes.insert(0, len(piece))
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
         """The two symbols that merging joins last to make the piece; None if it ends in other symbols."""
@@ -100,6 +99,8 @@ class Vocabulary:
                 x, i = on_left[i][1], i + 1
             else:
                 y, j = on_right[j][1], j + 1
+        if len(self.fit) > KNOWN:
+            self.fit.clear()
         self.fit[left, right] = out
         return out
 
@@ -120,7 +121,7 @@ def walk(words: list[str], voc: Vocabulary) -> list[list[str]]:
     word before are kept.
     """
     out, before = [], ""
-    start, last, score = [0], [""], [0.0]
+    last, score = [""], [0.0]
     extend = _extend_merges if voc.kind == "bpe" else _extend_scores
     for word in words:
         shared = 0
@@ -128,37 +129,41 @@ def walk(words: list[str], voc: Vocabulary) -> list[list[str]]:
             if a != b:
                 break
             shared += 1
-        del start[shared + 1 :], last[shared + 1 :], score[shared + 1 :]
-        extend(word, shared + 1, start, last, score, voc)
+        del last[shared + 1 :], score[shared + 1 :]
+        extend(word, shared + 1, last, score, voc)
         found, i = [], len(word)
         while i:
-            found.append(last[i])
-            i = start[i]
-        out.append(found[::-1])
+            piece = last[i]
+            found.append(piece)
+            i -= len(piece)
+        found.reverse()
+        out.append(found)
         before = word
     return out
 
 
-def _extend_merges(word: str, begin: int, start: list[int], last: list[str], score: list[float], voc: Vocabulary) -> None:
-    endings, whole, fit = voc.endings, voc.whole, voc.fit
+def _extend_merges(word: str, begin: int, last: list[str], score: list[float], voc: Vocabulary) -> None:
+    back, fit, apart = voc.back, voc.fit, voc.apart
     for i in range(begin, len(word) + 1):
-        at = i - 1
-        if i > 1:
-            for n in (*endings.get(word[i - 3 : i] if i > 2 else "", ()), 2):
-                j = i - n
-                if j >= 0 and (piece := word[j:i]) in whole:
-                    if not j:
-                        at = 0
-                        break
-                    ok = fit.get((last[j], piece))
-                    if ok or ok is None and voc.apart(last[j], piece):
-                        at = j
-                        break
-        start.append(at)
-        last.append(word[at:i])
-
-
-def _extend_scores(word: str, begin: int, start: list[int], last: list[str], score: list[float], voc: Vocabulary) -> None:
+        j = i - 1
+        found = word[j]
+        node = back.get(found)
+        while j and node:
+            j -= 1
+            node = node.get(word[j])
+            if node and "" in node:
+                piece = word[j:i]
+                if not j:
+                    found = piece
+                    break
+                pair = last[j], piece
+                if fit[pair] if pair in fit else apart(*pair):
+                    found = piece
+                    break
+        last.append(found)
+
+
+def _extend_scores(word: str, begin: int, last: list[str], score: list[float], voc: Vocabulary) -> None:
     pieces = voc.pieces
     for i in range(begin, len(word) + 1):
         best, at = None, i - 1
@@ -169,11 +174,25 @@ def _extend_scores(word: str, begin: int, start: list[int], last: list[str], sco
             s = score[j] + (own[1] if own else voc.worst)
             if best is None or s > best:
                 best, at = s, j
-        start.append(at)
         last.append(word[at:i])
         score.append(best)
 
 
+def _units(texts: list[str]) -> pa.ListArray:
+    """The marked words of each text."""
+    if any("\0" in t for t in texts):
+        return pa.array([UNIT.findall(t) for t in texts], pa.list_(pa.string()))
+    parted = pc.replace_substring_regex(pa.array(texts, pa.string()), f"([^{MARK}])({MARK})", "\\1\0\\2")
+    cut = pc.split_pattern(parted, "\0")
+    # an empty text is one empty part
+    full = np.fromiter((bool(t) for t in texts), bool, len(texts))
+    if full.all():
+        return cut
+    sizes = np.where(full, pc.list_value_length(cut).to_numpy(), 0)
+    words = cut.flatten()
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), words.filter(pc.not_equal(words, "")))
+
+
 def _in_groups(batch: pa.RecordBatch, size: np.ndarray, most: int):
     """Slices of the batch of about most bytes, so that very long rows don't meet in memory."""
     group = np.cumsum(size) // most
@@ -197,23 +216,26 @@ def encode(df: DataFrame, model: str, kind: str = "bpe", text: str = "text", ids
 
     def run(batches):
         voc = Vocabulary(model, kind)
+        one = {p: (i,) for p, (i, _) in voc.pieces.items()}
         known: dict[str, list[int]] = {}
+        older: dict[str, list[int]] = {}
         for whole in batches:
-            for batch in _in_groups(whole, pc.fill_null(pc.binary_length(whole.column(at_text)), 0).to_numpy(), 8 << 20):
-                units = [UNIT.findall(voc.model.normalize(t)) if t else [] for t in batch.column(at_text).to_pylist()]
-                coded = pa.array([w for u in units for w in u], pa.string()).dictionary_encode()
+            for batch in _in_groups(whole, pc.fill_null(pc.binary_length(whole.column(at_text)), 0).to_numpy(), 2 << 20):
+                units = _units([voc.model.normalize(t) if t else "" for t in batch.column(at_text).to_pylist()])
+                coded = units.flatten().dictionary_encode()
                 words = coded.dictionary.to_pylist()
                 if len(known) > KNOWN:
-                    known.clear()
+                    known, older = {}, known
+                known.update((w, older[w]) for w in words if w not in known and w in older)
                 new = sorted(w for w in words if w not in known)
                 for w, parts in zip(new, walk(new, voc)):
-                    known[w] = [i for p in parts for i in voc.ids(p)]
+                    known[w] = [k for p in parts for k in (one[p] if p in one else voc.ids(p))]
                 own = [known[w] for w in words]
                 sizes = np.fromiter(map(len, own), np.int64, len(own))
                 table = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), pa.array([i for x in own for i in x], pa.int32()))
                 flat = table.take(coded.indices).flatten()
                 ends = np.r_[0, np.cumsum(sizes[coded.indices.to_numpy()])] if words else np.zeros(1, np.int64)
-                rows = ends[np.r_[0, np.cumsum([len(u) for u in units])].astype(np.int64)]
+                rows = ends[units.offsets.to_numpy().astype(np.int64) - units.offsets[0].as_py()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(rows.astype("int32")), flat)], [*rest, ids])
 
     from pyspark.sql import types as T
@@ -222,6 +244,33 @@ def encode(df: DataFrame, model: str, kind: str = "bpe", text: str = "text", ids
     return df.select(*rest).mapInArrow(run, schema)
 
 
+def texts_of(lists: pa.ListArray, voc: Vocabulary, pieces: pa.Array) -> pa.Array:
+    """Texts of lists of ids. The pieces of all lists lie one after another in memory, so a text is a span of them."""
+    ids = lists.flatten()
+    if len(ids) and (pc.min(ids).as_py() or 0) < 0:
+        raise IndexError("an id is below 0")
+    at = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
+    if not ids.null_count:
+        joined = pieces.take(ids)
+        span = np.frombuffer(joined.buffers()[1], np.int32)[at] if len(ids) else np.zeros(len(at), np.int32)
+        data = joined.buffers()[2] if len(ids) else None
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        # cut spans apart where the first byte is the space put before the text
+        skip = np.zeros(len(at) - 1, bool)
+        some = span[1:] > span[:-1]
+        skip[some] = raw[span[:-1][some]] == 32
+        body = np.ones(int(span[-1]), bool)
+        body[span[:-1][skip]] = False
+        starts = (span - np.r_[0, np.cumsum(skip)]).astype(np.int32)
+        out = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(starts), pa.py_buffer(raw[: len(body)][body])])
+        try:
+            return out.cast(pa.string())
+        except pa.ArrowInvalid:
+            pass  # bytes that form no character
+    texts = [b"".join([voc.out[i] for i in x or () if i is not None]).decode("utf-8", "replace").removeprefix(" ") for x in lists.to_pylist()]
+    return pa.array(texts, pa.string())
+
+
 def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """All columns of df with decoded, the text of the ids.
 
@@ -234,15 +283,10 @@ def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded"
 
     def run(batches):
         voc = Vocabulary(model)
+        pieces = pa.array(voc.out, pa.binary())
         for whole in batches:
-            for batch in _in_groups(whole, pc.fill_null(pc.list_value_length(whole.column(at_ids)), 0).to_numpy() * 4, 4 << 20):
-                texts = []
-                for x in batch.column(at_ids).to_pylist():
-                    own = [i for i in x or () if i is not None]
-                    if own and min(own) < 0:
-                        raise IndexError("an id is below 0")
-                    texts.append(b"".join([voc.out[i] for i in own]).decode("utf-8", "replace").removeprefix(" "))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, decoded])
+            for batch in _in_groups(whole, pc.fill_null(pc.list_value_length(whole.column(at_ids)), 0).to_numpy() * 4, 2 << 20):
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(batch.column(at_ids), voc, pieces)], [*rest, decoded])
 
     from pyspark.sql import types as T
 
