@@ -71,44 +71,49 @@ def _close(a: str, b: str, threshold: float) -> Column:
     return near & (F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n"))
 
 
-def _dense_links(rows: DataFrame, threshold: float) -> DataFrame:
-    """Spanning forests of the close pairs in buckets that do not split: (u, v).
+def _dense_links(rows: DataFrame, classes: DataFrame, threshold: float) -> list[DataFrame]:
+    """Links (u, v) that connect the close pairs of buckets that do not split.
 
-    rows has path, size, c, n and sketch. A bucket is cut into chunks, and each pair of chunks is one unit that
-    compares its sketches by one matrix product over 1024 folded tokens and checks the forest's links exactly.
+    rows has path, c, n and sketch. Members close to the bucket's first one link with it, a row each. Only the others
+    are still to be compared with all members: both are cut into chunks, and a pair of chunks is one unit that compares
+    its sketches by one matrix product over 1024 folded tokens, checks the links of a spanning forest exactly
+    and returns them.
     """
-    chunks = F.ceil(F.col("size") / CHUNK)
-    own = F.pmod(F.xxhash64("c"), chunks)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    units = rows.withColumn("own", own).withColumn("u", F.explode(pair)).select("path", "u.i", "u.j", "own", "c", "n", "sketch")
+    first = rows.groupBy("path").agg(F.min("c").alias("p"))
+    pivot = first.join(classes.select(F.col("c").alias("p"), F.struct("n", "sketch").alias("s")), "p")
+    tied = rows.join(pivot, "path").withColumn("own", F.struct("n", "sketch"))
+    tied = stored(tied.select("path", "c", "p", (F.col("c") == F.col("p")).alias("self"), _close("own", "s", threshold).alias("close")), "tied")
+    star = tied.filter("close and not self").select(F.col("p").alias("u"), F.col("c").alias("v")).distinct()
+    far = tied.filter("not close and not self").select("path", "c")
+    sizes = far.groupBy("path").agg(F.count("*").alias("fs")).join(tied.groupBy("path").agg(F.count("*").alias("size")), "path")
+    fc, ac = F.ceil(F.col("fs") / CHUNK), F.ceil(F.col("size") / CHUNK)
+    chunk = lambda k: F.pmod(F.xxhash64("c"), k)
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+    left = far.join(sizes, "path").select("path", "c", chunk(fc).alias("i"), F.lit(True).alias("far"), each(ac).alias("j"))
+    right = tied.select("path", "c").join(sizes, "path").select("path", "c", chunk(ac).alias("j"), F.lit(False).alias("far"), each(fc).alias("i"))
+    units = left.unionByName(right).join(classes.select("c", "n", "sketch"), "c")
 
     def run(key_: tuple, t: pa.Table) -> pa.Table:
-        c, n = t["c"].to_numpy(), t["n"].to_numpy()
-        side = t["own"].to_numpy() == t["i"].to_numpy()
+        c, n, far = t["c"].to_numpy(), t["n"].to_numpy(), t["far"].to_numpy()
         sketch = t["sketch"].combine_chunks()
         at = sketch.offsets.to_numpy() - sketch.offsets[0].as_py()
         flat = sketch.flatten().to_numpy()
         folded = np.zeros((len(c), 1024), np.float32)
-        folded[np.repeat(np.arange(len(c)), np.diff(at)), flat & 1023] += 1
-        one = t["i"][0].as_py() == t["j"][0].as_py()
-        a = np.arange(len(c)) if one else np.flatnonzero(side)
-        b = a if one else np.flatnonzero(~side)
+        np.add.at(folded, (np.repeat(np.arange(len(c)), np.diff(at)), flat & 1023), 1)
+        a, b = np.flatnonzero(far), np.flatnonzero(~far)
         need = (threshold - 0.18) * np.minimum(SKETCH, np.maximum.outer(n[a], n[b]))
-        size_fits = np.minimum.outer(n[a], n[b]) >= threshold * np.maximum.outer(n[a], n[b])
-        # folding only adds to the shared tokens that distinct bins show, and clips repeats by a little
-        x, y = np.nonzero((folded[a] @ folded[b].T >= need) & size_fits)
-        x, y = a[x], b[y]
-        keep = x < y if one else slice(None)
-        x, y = x[keep], y[keep]
+        fits = np.minimum.outer(n[a], n[b]) >= threshold * np.maximum.outer(n[a], n[b])
+        # folding only adds to the number of shared tokens
+        x, y = np.nonzero((folded[a] @ folded[b].T >= need) & fits & (c[a][:, None] != c[b][None, :]))
         sets = [flat[p:q] for p, q in zip(at, at[1:])]
 
         def sure(i: int, j: int) -> bool:
             return len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= (threshold - 0.18) * min(SKETCH, max(n[i], n[j]))
 
-        links = Forest(len(c)).unite(x, y, sure)
+        links = Forest(len(c)).unite(a[x], b[y], sure)
         return pa.table({"u": c[[i for i, _ in links]].astype(np.int64), "v": c[[j for _, j in links]].astype(np.int64)})
 
-    return units.groupBy("path", "i", "j").applyInArrow(run, "u long, v long")
+    return [stored(star, "star"), stored(units.groupBy("path", "i", "j").applyInArrow(run, "u long, v long").distinct(), "dense")]
 
 
 def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -120,13 +125,15 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame
     """
     links: list[DataFrame] = []
     level = classes.select("c", "n", "sketch", F.explode(F.sequence(F.lit(1), F.lit(runs_for(recall, threshold)))).alias("run"))
-    level = level.select("c", F.explode(_picked(F.col("run").cast("long"))).alias("path"), F.lit(None).cast("long").alias("before"))
+    level = level.select("c", "n", F.explode(_picked(F.col("run").cast("long"))).alias("path"), F.lit(None).cast("long").alias("before"))
     for depth in range(1, DEPTH + 1):
         level = stored(level.distinct(), "paths")
         size = level.groupBy("path").agg(F.count("*").alias("size"), F.max("before").alias("before")).filter("size > 1")
         held = level.drop("before").join(size, "path")
-        some = held.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_set("c")).alias("cs"))
-        pair = F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, SMALL), lambda y: F.struct(x.alias("u"), y.alias("v")))))
+        some = held.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("cs"))
+        like = lambda x, y: F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
+        mates = lambda x, i: F.filter(F.slice("cs", i + 2, SMALL), lambda y: like(x, y))
+        pair = F.flatten(F.transform("cs", lambda x, i: F.transform(mates(x, i), lambda y: F.struct(x["c"].alias("u"), y["c"].alias("v")))))
         pairs = some.select(F.explode(pair).alias("p")).select("p.*").distinct()
         for side in "uv":
             pairs = pairs.join(classes.select(F.col("c").alias(side), F.struct("n", "sketch").alias(f"s{side}")), side)
@@ -135,9 +142,11 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame
         if large.isEmpty():
             break
         stuck = F.lit(depth == DEPTH) | (F.coalesce(F.col("size") * 2 > F.col("before"), F.lit(False)))
-        with_sets = large.withColumn("stuck", stuck).join(classes, "c")
-        links.append(stored(_dense_links(with_sets.filter("stuck").drop("stuck", "before", "copies"), threshold), "dense"))
-        level = with_sets.filter("not stuck").select("c", F.explode(_picked(F.col("path"))).alias("path"), F.col("size").alias("before"))
+        large = large.withColumn("stuck", stuck)
+        sketched = lambda rows: rows.join(classes.select("c", "sketch"), "c")
+        if not large.filter("stuck").isEmpty():
+            links += _dense_links(sketched(large.filter("stuck").select("path", "c", "n")), classes, threshold)
+        level = sketched(large.filter("not stuck")).select("c", "n", F.explode(_picked(F.col("path"))).alias("path"), F.col("size").alias("before"))
     out = links[0]
     for x in links[1:]:
         out = out.unionByName(x)
