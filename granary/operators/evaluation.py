@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators import text as T
 from granary.operators.web import host_of, path_of
 
 LOCALES = ("gb", "en-gb", "uk", "en-us", "us")
@@ -144,6 +145,70 @@ def group_coverage(text: Column, groups: Column) -> tuple[Column, Column]:
     return name(F.filter(groups, has)), name(F.filter(groups, lambda g: ~has(g)))
 
 
+def word_runs(words: Column, k: int) -> Column:
+    """Hashes of the distinct runs of k words; none if there are fewer words."""
+    def made(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+        return F.when(F.size(w) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+    return T.once(words, made)
+
+
+def _runs_of(words: Column, sizes: list[int]) -> Column:
+    """(k, g) of all runs of each size in sizes."""
+    def of(k: int) -> Column:
+        return F.transform(word_runs(words, k), lambda g: F.struct(F.lit(k).alias("k"), g.alias("g")))
+
+    return F.concat(*map(of, sizes))
+
+
+def _by_size(words: Column, k: Column, sizes: list[int]) -> Column:
+    """(k, g) of the runs of a row's own size k."""
+    out = F.array().cast("array<struct<k:int,g:bigint>>")
+    for n in sizes:
+        out = F.when(k == n, _runs_of(words, [n])).otherwise(out)
+    return out
+
+
+def passage_shares(passages: DataFrame, docs: DataFrame, size: int = 5) -> DataFrame:
+    """(id, doc_id, shared, shingles, share): how many of a passage's shingles a document holds, for all pairs that share one.
+
+    Shingles are runs of size words of the whole lower-case text; a shorter passage is one run. Runs meet in an
+    equality join of their hashes, so only pairs that share text are formed. docs are (doc_id, text).
+    """
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " "), lambda x: x != "")
+    asked = passages.select("id", words.alias("w")).withColumn("n", F.least(F.size("w"), F.lit(size))).filter("n > 0")
+    sizes = sorted(r[0] for r in asked.select("n").distinct().collect())  # at most size numbers
+    if not sizes:
+        return asked.join(docs.select("doc_id").limit(0)).select("id", "doc_id", F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("shingles"), F.lit(0.0).alias("share"))
+    keys = asked.select("id", _by_size(F.col("w"), F.col("n"), sizes).alias("r"))
+    keys = keys.select("id", F.size("r").cast("long").alias("shingles"), F.explode("r").alias("r")).select("id", "shingles", "r.k", "r.g")
+    held = docs.select("doc_id", F.explode(_runs_of(words, sizes)).alias("r")).select("doc_id", "r.k", "r.g")
+    shared = keys.join(held, ["k", "g"]).groupBy("id", "doc_id", "shingles").agg(F.count("*").alias("shared"))
+    return shared.select("id", "doc_id", "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("share"))
+
+
+def holding(docs: DataFrame, parts: DataFrame, part: str, size: int = 3) -> DataFrame:
+    """All columns of docs (doc_id, t) and parts where t contains the part; both have single spaces only.
+
+    The part's words other than its first and last are whole words of t too, so runs of up to size of them find the
+    candidates by an equality join. A part of fewer than three words has no such word and is tested against every text.
+    """
+    words = F.split(F.col(part), " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = parts.withColumn("_w", inner).withColumn("_k", F.least(F.size("_w"), F.lit(size)))
+    sizes = sorted(r[0] for r in keyed.select("_k").distinct().collect())  # at most size + 1 numbers
+    fits = F.contains("t", F.col(part))
+    short = docs.join(keyed.filter("_k = 0").drop("_w", "_k"), fits)
+    if not (some := [k for k in sizes if k > 0]):
+        return short
+    one = keyed.withColumn("g", F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.col("_k")), " "))).withColumnRenamed("_k", "k").filter("k > 0").drop("_w")
+    runs = docs.select("doc_id", F.explode(_runs_of(F.split("t", " "), some)).alias("r")).select("doc_id", "r.k", "r.g")
+    pairs = runs.join(one, ["k", "g"]).drop("k", "g")
+    found = docs.join(pairs, "doc_id").filter(fits)
+    return found.unionByName(short) if 0 in sizes else found
+
+
 def chunk_relevance(hits: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Hits judged against chunk labels (id, source_match, min_groups, groups): source and enough keyword groups.
 

@@ -522,14 +522,26 @@ def macro_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("""with l as (select item_id as id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as t from benchmark), d as (select doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as t from documents)
 select l.id, d.doc_id, contains(d.t, left(l.t, 40)) and contains(d.t, right(l.t, 40)) as covered from l join d on contains(d.t, left(l.t, 40))""")
 def passage_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark passage's first 40 characters, found by a broadcast of the passages after a size check."""
+    """Documents that hold a benchmark passage's first 40 characters, and whether its last 40 too; passage_shares takes whole passages."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     label = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), plain("text").alias("p"))
-    label = label.select("id", F.substring("p", 1, 40).alias("a"), F.expr("right(p, 40)").alias("b"))
-    if label.count() > 100_000:
-        raise ValueError("too many passages to test against every document")
+    ends = label.select("id", F.substring("p", 1, 40).alias("a"), F.expr("right(p, 40)").alias("b"))
     docs = t(spark, d, "documents").select("doc_id", plain("text").alias("t"))
-    return docs.join(F.broadcast(label), F.contains("t", F.col("a"))).select("id", "doc_id", F.contains("t", F.col("b")).alias("covered"))
+    return E.holding(docs, ends, "a").select("id", "doc_id", F.contains("t", F.col("b")).alias("covered"))
+
+
+PASSAGE_WORDS = r"list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query(f"""with l as (select item_id as id, {PASSAGE_WORDS} as w from benchmark), d as (select doc_id, {PASSAGE_WORDS} as w from documents),
+lk as (select id, w, least(5, len(w)) as k from l where len(w) > 0), sizes as (select distinct k from lk),
+lg as (select distinct id, k, array_to_string(w[i : i + k - 1], ' ') as g from (select *, unnest(range(1, len(w) - k + 2)) as i from lk)),
+dg as (select distinct doc_id, k, array_to_string(w[i : i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d join sizes on len(w) >= k)),
+n as (select id, count(*) as n from lg group by id)
+select id, doc_id, count(*) as shared, n as shingles, round(count(*) / n, 9) as share from lg join dg using (k, g) join n using (id) group by id, doc_id, n""")
+def passage_shares(spark: SparkSession, d: str) -> DataFrame:
+    passages = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return E.passage_shares(passages, t(spark, d, "documents").select("doc_id", "text")).withColumn("share", F.round("share", 9))
 
 
 # --- streams --------------------------------------------------------------------------------------------------

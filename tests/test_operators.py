@@ -195,3 +195,31 @@ def test_resolve_upsert(spark):
     new = spark.createDataFrame([("refused", "1", "m", False, 2), ("refused", "2", "x", False, 2), ("low_llm", "3", "y", True, 2)], old.schema)
     got = {(r.issue_type, r.item_key): r.active for r in A.resolve(old, new).collect()}
     assert got == {("refused", "1"): False, ("low_llm", "3"): True}
+
+
+def test_passages_count_as_wholes(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda w: " ".join(w)
+    docs = [(1, text(["x"] + words)), (2, text(["other", *words[1:]])), (3, text(words[:12] + ["z"] * 36 + words[48:])), (4, "un related"), (5, "say Two   words here"), (6, None)]
+    passages = [(7, text(words)), (8, "two words"), (9, "")]
+    got = E.passage_shares(spark.createDataFrame(passages, "id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.id, r.doc_id): (r.shared, r.shingles) for r in got} == {(7, 1): (56, 56), (7, 2): (55, 56), (7, 3): (16, 56), (8, 5): (1, 1)}
+
+
+def test_holding_equals_contains_without_a_limit_on_parts(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(["a", "bb", "abc"]) for _ in range(rng.randrange(12)))) for i in range(60)]
+    parts = [(i, x[k : k + n]) for i, (_, x) in enumerate(docs) for k, n in [(rng.randrange(3), rng.randrange(14))]]
+    rows = spark.createDataFrame(parts, "id long, a string")
+    found = E.holding(spark.createDataFrame(docs, "doc_id long, t string"), rows, "a")
+    assert sorted((r.id, r.doc_id) for r in found.collect()) == sorted((i, d) for d, t in docs for i, a in parts if a in t)
+
+
+def test_passage_coverage_takes_any_number_of_passages(spark, tmp_path):
+    from granary.plans import queries as q
+
+    few = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    many = few.unionByName(spark.range(2, 100_003).selectExpr("id as item_id", "concat('alone p', id, ' q', id, ' end here') as text"))
+    many.write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(5, "zero one two three four five six seven eight nine ten eleven")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in q.passage_coverage(spark, str(tmp_path)).collect()] == [(1, 5, True)]
