@@ -185,6 +185,17 @@ def html_titles(spark: SparkSession, d: str) -> DataFrame:
     return read.join(entity, "page_id", "left_anti").select("page_id", "title")
 
 
+TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+    TITLE = f"replace({TITLE}, '&{_name};', '{_char}')"
+
+
+@query(f"select page_id, trim({TITLE}) as title from pages")
+def all_html_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of all pages, with their entities decoded; html_titles keeps to the pages that its SQL takes."""
+    return W.read_html(t(spark, d, "pages")).select("page_id", "title")
+
+
 @query()
 def html_texts(spark: SparkSession, d: str) -> DataFrame:
     read = T.with_clean(W.read_html(t(spark, d, "pages")), "raw_text", "text")

@@ -223,3 +223,12 @@ def test_passage_coverage_takes_any_number_of_passages(spark, tmp_path):
     many.write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(5, "zero one two three four five six seven eight nine ten eleven")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in q.passage_coverage(spark, str(tmp_path)).collect()] == [(1, 5, True)]
+
+
+def test_titles_with_entities_are_not_left_out(spark, tmp_path):
+    from granary.plans import queries as q
+
+    cases = {1: ("A &amp; B", "A & B"), 2: ("R&D", "R&D"), 3: ("plain", "plain"), 4: ("&lt;x&gt; &quot;y&quot; &#39;z&#39; &eacute;", "<x> \"y\" 'z' \u00e9"), 5: ("&amp;lt;", "&lt;")}
+    rows = [(k, "http://e.com/", f"<html><title>{x}</title><p>body</p></html>") for k, (x, _) in cases.items()]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.page_id: r.title for r in q.all_html_titles(spark, str(tmp_path)).collect()} == {k: x for k, (_, x) in cases.items()}
