@@ -16,7 +16,6 @@ from granary.llm.words import in_groups
 WINDOW = 4
 LEVELS = range(2, 8)
 ORDINARY_BYTES = 8192
-FRAGMENTS = 64
 #: Least likelihood ratio statistic and documents of a fragment of the toxic dictionary.
 LEAST_G2, LEAST_DOCS = 50.0, 5
 #: Held by both dictionaries and before every window, so that a match costs the same in each window.
@@ -38,13 +37,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _compressor(content: bytes):
-    """Raw dictionary, no frame extras: lengths differ by what the dictionaries match and nothing else."""
+def _compressor(content: bytes, log: int):
+    """Raw dictionary, no frame extras: lengths differ by what the dictionaries match and nothing else.
+
+    log is the number of bits in the size of the larger dictionary: in tables that are smaller, its beginning, where
+    toxic fragments are, is lost.
+    """
     import zstandard as z
 
     made = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
     how = z.ZstdCompressionParameters(
-        window_log=17, hash_log=13, chain_log=12, search_log=3, min_match=5, strategy=z.STRATEGY_GREEDY,
+        window_log=max(17, log + 1), hash_log=max(13, log), chain_log=max(12, log), search_log=3, min_match=5, strategy=z.STRATEGY_GREEDY,
         format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     made.precompute_compress(compression_params=how)
@@ -53,7 +56,8 @@ def _compressor(content: bytes):
 
 def _statistics(ordinary: bytes, toxic: bytes):
     """A function from a text to its window statistics: how far the toxic dictionary shortens which share of windows."""
-    plain, bad = _compressor(ordinary), _compressor(toxic)
+    log = max(len(ordinary), len(toxic)).bit_length()
+    plain, bad = _compressor(ordinary, log), _compressor(toxic, log)
 
     def of(text: str | None) -> np.ndarray:
         words = (text or "").lower().split()
@@ -96,10 +100,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
     """Trains both dictionaries and the calibration on a bounded sample of labelled rows.
 
     The ordinary dictionary holds the words that most ordinary documents use, up to ORDINARY_BYTES. The toxic one
-    holds the same, and before it the word beginnings whose documents are toxic far over their share (likelihood
-    ratio over LEAST_G2). The calibration is a logistic regression on the sample's window statistics, moved to the
-    share of toxic among all training labels. Counts and statistics are made in tasks; the driver sees at most a
-    few thousand fragments and one row of statistics for each of at most 2 * per_class documents.
+    holds the same, and before it all word beginnings whose documents are toxic far over their share (likelihood
+    ratio over LEAST_G2), save those that begin another one or go on from it; only the sample bounds their number.
+    The calibration is a logistic regression on the sample's window statistics, moved to the share of toxic among all
+    training labels. Counts and statistics are made in tasks; the driver sees the fragments that pass and one row of
+    statistics for each of at most 2 * per_class documents.
     """
     sample = training_sample(docs, labels, per_class, longest, text, key, label)
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
@@ -122,9 +127,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
     often = (F.col("a") >= LEAST_DOCS) & (a / n1 > 4 * (b + 0.5) / n0)
     rated = counts.filter(often).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2)
     chosen: list[str] = []
-    for r in rated.orderBy(F.desc("g2"), F.desc(F.length("f")), "f").limit(4000).collect():
-        if len(chosen) < FRAGMENTS and not any(f.strip() in r.f or r.f.strip() in f for f in chosen):
+    taken: set[str] = set()
+    begun: set[str] = set()
+    for r in rated.orderBy(F.desc("g2"), F.desc(F.length("f")), "f").collect():
+        begins = {r.f[:k] for k in range(1, len(r.f) + 1)}
+        if r.f not in begun and taken.isdisjoint(begins):
             chosen.append(r.f)
+            taken.add(r.f)
+            begun |= begins
     word = F.col("f").endswith(" ") & (F.col("b") >= 3)
     plain = counts.filter(word).orderBy(F.desc(F.col("b") * F.length("f")), "f").limit(ORDINARY_BYTES // 3).collect()
     content, size = [], 0

@@ -105,6 +105,23 @@ def test_toxic_words_are_found(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_every_toxic_word_that_passes_is_used(spark):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    common, bad = [word("abcdefghij") for _ in range(200)], [word("klmnopqrst") for _ in range(150)]
+    texts = []
+    for i in range(1200):
+        x = [rng.choice(common) for _ in range(60)]
+        if i % 4 == 0:
+            x[3:60:6] = [bad[(10 * (i // 4) + j) % 150] for j in range(10)]
+        texts.append(" ".join(x))
+    df = docs(spark, texts)
+    model = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert all(f" {w}".encode() in model.toxic for w in bad)
+    alone = [" ".join(common[k : k + 30] + [w, common[0]] * 10 + common[k : k + 30]) for k, w in enumerate(bad)]
+    assert min(r.score for r in toxicity.score(docs(spark, alone), model).collect()) > 0.7
+
+
 def test_toxicity_of_one_class_only(spark):
     df = docs(spark, ["a", "b"])
     model = toxicity.fit(df, df.select("doc_id", F.lit(0).alias("toxic")))
