@@ -219,15 +219,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def exact_groups(records: DataFrame, key: str = "url") -> DataFrame:
+    """(norm_hash, copies, first, last) of texts that are equal as plain words: counts and ends combine before the shuffle."""
+    return _normalised(records, key).groupBy("norm_hash").agg(F.count("*").alias("copies"), F.min(key).alias("first"), F.max(key).alias("last")).filter("copies > 1")
+
+
 def exact_duplicates(records: DataFrame, key: str = "url") -> DataFrame:
-    """norm_hash, copies and members (key, bytes) of texts that are equal as plain words.
+    """(norm_hash, copies, key, bytes): a row for each member of a group of texts that are equal as plain words.
 
-    The group is keyed by a 256-bit digest; members are collected after a count, so single texts move no list.
+    The group is keyed by a 256-bit digest; members meet their group in an equality join that Spark can split.
     """
-    keyed = records.withColumn("_n", plain_words(F.col("text"))).filter("_n <> ''").select(key, F.sha2("_n", 256).alias("norm_hash"), F.octet_length("text").alias("bytes"))
-    many = keyed.groupBy("norm_hash").agg(F.count("*").alias("copies")).filter("copies > 1")
-    held = keyed.join(many, "norm_hash").groupBy("norm_hash", "copies")
-    return held.agg(F.array_sort(F.collect_list(F.struct(key, "bytes"))).alias("members"))
+    return _normalised(records, key).join(exact_groups(records, key).select("norm_hash", "copies"), "norm_hash").select("norm_hash", "copies", key, "bytes")
+
+
+def _normalised(records: DataFrame, key: str) -> DataFrame:
+    plain = records.withColumn("_n", plain_words(F.col("text"))).filter("_n <> ''")
+    return plain.select(key, F.sha2("_n", 256).alias("norm_hash"), F.octet_length("text").alias("bytes"))
 
 
 def near_duplicates(records: DataFrame, threshold: float = 0.86, size: int = 8, key: str = "url") -> DataFrame:
@@ -256,7 +263,7 @@ def near_duplicates(records: DataFrame, threshold: float = 0.86, size: int = 8,
 
 def duplicate_report(records: DataFrame, threshold: float = 0.86, key: str = "url") -> DataFrame:
     """kind (exact, near) with its number of groups and pages, and kind total for all records."""
-    exact = exact_duplicates(records, key).agg(F.count("*").alias("groups"), F.coalesce(F.sum("copies"), F.lit(0)).alias("pages"))
+    exact = exact_groups(records, key).agg(F.count("*").alias("groups"), F.coalesce(F.sum("copies"), F.lit(0)).alias("pages"))
     near = near_duplicates(records, threshold, key=key).agg(F.count("*").alias("groups"), (2 * F.count("*")).alias("pages"))
     total = records.agg(F.lit(0).cast("long").alias("groups"), F.count("*").alias("pages"))
     parts = [d.select(F.lit(k).alias("kind"), "groups", "pages") for k, d in (("exact", exact), ("near", near), ("total", total))]

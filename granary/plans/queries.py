@@ -229,9 +229,8 @@ PLAIN = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 
 @query(f"""with n as (select doc_id, {PLAIN} as n from documents) select sha256(n) as norm_hash, count(*) as copies, min(doc_id) as first_id, max(doc_id) as last_id from n where n <> '' group by n having count(*) > 1""")
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    found = W.exact_duplicates(t(spark, d, "documents"), "doc_id")
-    ids = F.transform("members", lambda m: m["doc_id"])
-    return found.select("norm_hash", "copies", F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"))
+    found = W.exact_groups(t(spark, d, "documents"), "doc_id")
+    return found.select("norm_hash", "copies", F.col("first").alias("first_id"), F.col("last").alias("last_id"))
 
 
 NEAR = f"""w as (select min(doc_id) as id, list_filter(string_split(n, ' '), lambda x: x <> '') as w from (select doc_id, {PLAIN} as n from documents) where n <> '' group by n),

@@ -232,3 +232,11 @@ def test_titles_with_entities_are_not_left_out(spark, tmp_path):
     rows = [(k, "http://e.com/", f"<html><title>{x}</title><p>body</p></html>") for k, (x, _) in cases.items()]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert {r.page_id: r.title for r in q.all_html_titles(spark, str(tmp_path)).collect()} == {k: x for k, (_, x) in cases.items()}
+
+
+def test_members_of_a_group_are_rows(spark):
+    df = spark.createDataFrame([(i, "Same, text!" if i % 3 else f"own {i}") for i in range(30)] + [(30, None)], "id long, text string")
+    got = W.exact_duplicates(df, "id")
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert sorted((r.id, r.copies, r.bytes) for r in got.collect()) == [(i, 20, 11) for i in range(30) if i % 3]
+    assert [(r.copies, r.first, r.last) for r in W.exact_groups(df, "id").collect()] == [(20, 1, 29)]
