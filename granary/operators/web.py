@@ -164,22 +164,43 @@ def first_urls(urls: DataFrame) -> DataFrame:
     return urls.groupBy("url").agg(F.min("pos").alias("pos"))
 
 
-def crawl(seeds: DataFrame, fetched: DataFrame, edges: DataFrame, domains: list[str], max_depth: int, max_pages: int, include: list[str] | None = None, exclude: list[str] | None = None, least_words: int = 80) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], counted: Column) -> DataFrame:
+    """df with _n, the row's number in order, and _k, how many rows up to it are counted; order must be unique.
+
+    Rows are dealt by ranges of order; a task ranks its own range, and the ranges before it add their totals. The
+    totals are one row a range.
+    """
+    dealt = snapshot(df.repartitionByRange(*order).withColumns({"_p": F.spark_partition_id(), "_c": counted.cast("long")}), "ranges")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_p").agg(F.count("*").alias("n"), F.sum("_c").alias("c"))
+    starts = sums.select("_p", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_{x}0") for x in "nc"])
+    own = Window.partitionBy("_p").orderBy(*order)
+    ranked = dealt.withColumns({"_r": F.row_number().over(own), "_s": F.sum("_c").over(own)}).join(F.broadcast(starts), "_p")
+    return ranked.withColumns({"_n": F.col("_n0") + F.col("_r"), "_k": F.col("_c0") + F.col("_s")}).drop("_p", "_c", "_r", "_s", "_n0", "_c0")
+
+
+def crawl(seeds: DataFrame, fetched: DataFrame, edges: DataFrame, domains: list[str], max_depth: int, max_pages: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None, least_words: int = 80, rules: DataFrame | None = None, agent: str = "*") -> DataFrame:
     """(url, depth, ord, reason): pages visited breadth-first over fetched pages, in order, null reason if kept.
 
-    seeds (url, pos), fetched (url, words; null words means the fetch failed), edges (src, dst, pos). Each level is
-    one join and one anti-join; levels end at max_depth, or when max_pages pages were kept.
+    seeds (url, pos), fetched (url, words; null words means the fetch failed), edges (src, dst, pos), rules those of
+    robots_allow; without them no URL is blocked. Each level is one join and one anti-join; levels end at max_depth, or
+    when max_pages pages were kept, if that is given.
     """
     level = first_urls(seeds.select(canonical_url(F.col("url")).alias("url"), "pos").filter("url <> ''")).select("url", F.lit(0).alias("depth"), "pos")
     done = None
     for depth in range(max_depth + 1):
         judged = level.join(fetched, "url", "left")
+        blocked = F.lit(None).cast("string")
+        if rules is not None:
+            judged = judged.join(robots_allow(level.select("url"), rules, agent), "url")
+            blocked = F.when(~F.col("allowed"), "blocked_by_robots_txt")
         missing = F.when(F.col("words").isNull(), "fetch_error").when(F.col("words") < least_words, "too_little_text")
-        judged = judged.withColumn("reason", F.coalesce(skip_reason(F.col("url"), domains, include, exclude), missing))
-        before = 0 if done is None else done.filter("reason is null").count()
-        kept = F.sum(F.col("reason").isNull().cast("int")).over(Window.partitionBy("depth").orderBy("pos", "url"))
-        judged = judged.withColumn("_k", kept).filter(F.col("_k") - F.col("reason").isNull().cast("int") < max_pages - before)
-        judged = snapshot(judged.select("url", "depth", F.row_number().over(Window.partitionBy("depth").orderBy("pos", "url")).alias("ord"), "reason"), "frontier")
+        judged = judged.withColumn("reason", F.coalesce(skip_reason(F.col("url"), domains, include, exclude), blocked, missing))
+        judged = numbered(judged.select("url", "depth", "pos", "reason"), ["pos", "url"], F.col("reason").isNull())
+        if max_pages is not None:
+            before = 0 if done is None else done.filter("reason is null").count()
+            judged = judged.filter(F.col("_k") - F.col("reason").isNull().cast("int") < max_pages - before)
+        judged = snapshot(judged.select("url", "depth", F.col("_n").alias("ord"), "reason"), "frontier")
         done = judged if done is None else done.unionByName(judged)
         parents = judged.filter("reason is null").select(F.col("url").alias("src"), "ord")
         links = parents.join(edges, "src").select(canonical_url(F.col("dst")).alias("url"), F.struct("ord", "pos").alias("at")).filter("url <> ''")

@@ -240,3 +240,23 @@ def test_members_of_a_group_are_rows(spark):
     assert "collect_list" not in got._jdf.queryExecution().toString()
     assert sorted((r.id, r.copies, r.bytes) for r in got.collect()) == [(i, 20, 11) for i in range(30) if i % 3]
     assert [(r.copies, r.first, r.last) for r in W.exact_groups(df, "id").collect()] == [(20, 1, 29)]
+
+
+def test_numbers_follow_the_order_over_all_tasks(spark):
+    rows = [(i * 7919 % 1000, str(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "pos long, url string")
+    got = sorted((r._n, r._k, r.pos) for r in W.numbered(df, ["pos", "url"], F.col("pos") % 3 == 0).collect())
+    assert got == [(i + 1, i // 3 + 1, i) for i in range(1000)]
+
+
+def test_crawl_ranks_in_several_tasks_and_obeys_robots(spark):
+    u = "http://e.com/"
+    seeds = spark.createDataFrame([(f"{u}{'x/' if i % 5 == 0 else ''}{i}", i) for i in range(50)] + [("http://f.com/1", 50)], "url string, pos int")
+    fetched = seeds.select("url", F.lit(100).alias("words"))
+    edges = spark.createDataFrame([(u + "1", u + "x/new", 0), (u + "1", u + "gone", 1)], "src string, dst string, pos int")
+    rules = spark.createDataFrame([("e.com", "*", 0, "/x", False)], "host string, agent string, ord int, prefix string, allow boolean")
+    got = W.crawl(seeds, fetched, edges, ["e.com", "f.com"], 1, rules=rules).orderBy("depth", "ord").collect()
+    assert [r.ord for r in got if r.depth == 0] == list(range(1, 52))
+    assert [r.reason for r in got] == [None if i % 5 else "blocked_by_robots_txt" for i in range(50)] + ["blocked_by_robots_txt"] * 2 + ["fetch_error"]
+    some = W.crawl(seeds, fetched, edges, ["e.com", "f.com"], 0, 7).collect()
+    assert sorted(r.ord for r in some) == list(range(1, 8))
