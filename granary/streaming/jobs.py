@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -43,13 +43,16 @@ class Gate:
         low = score is not None and score == score and score <= self.s["threshold"]
         if not (every or low):
             return False, "not_due", n
+        return *self.decide_due(session, ts, every, low), n
+
+    def decide_due(self, session: int | None, ts, every: bool, low: bool) -> tuple[bool, str]:
         if 0 < self.s["max_per_session"] <= self.prompts.get(session, 0):
-            return False, "session_limit", n
+            return False, "session_limit"
         if self.s["cooldown_minutes"] > 0 and self.last is not None and ts - self.last < timedelta(minutes=self.s["cooldown_minutes"]):
-            return False, "cooldown", n
+            return False, "cooldown"
         self.prompts[session] = self.prompts.get(session, 0) + 1
         self.last = ts
-        return True, "interval_and_low_score" if every and low else "interval" if every else "low_score", n
+        return True, "interval_and_low_score" if every and low else "interval" if every else "low_score"
 
     def rows(self, events: pd.DataFrame) -> pd.DataFrame:
         events = events.sort_values(["ts", "id"])
@@ -61,9 +64,34 @@ class Gate:
 def review_gate(events: DataFrame, settings: dict) -> DataFrame:
     """Decisions for events (id, user_id, session_id, ts, score, reviewed), each user's in order of time.
 
-    A user's events are decided one after another in one task, as each decision depends on the last.
+    Counts and all decisions that don't depend on earlier ones are native. Only due events, which do, go through Python:
+    a user's in order, in Arrow batches, of which a task holds one at a time beside its user's state.
     """
-    return events.groupBy("user_id").applyInPandas(lambda pdf: Gate(settings).rows(pdf), DECISION)
+    s = GATE | settings
+    order = [F.asc_nulls_last("ts"), F.asc("id")]
+    counted = events.withColumn("query_count", F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy(*order)).cast("long"))
+    every = (F.col("query_count") % s["interval"] == 0) if s["interval"] > 0 else F.lit(False)
+    low = F.coalesce(~F.isnan(F.col("score").cast("double")) & (F.col("score") <= s["threshold"]), F.lit(False))
+    known = F.lit("disabled") if not s["enabled"] else F.when(F.col("reviewed"), "already_reviewed").when(~(every | low), "not_due")
+    judged = counted.select("id", "user_id", "session_id", "ts", known.alias("reason"), "query_count", every.alias("every"), low.alias("low"))
+    plain = judged.filter("reason is not null").select("id", "user_id", "session_id", "ts", F.lit(False).alias("show"), "reason", "query_count")
+    due = judged.filter("reason is null").select("id", "user_id", "session_id", "ts", "query_count", "every", "low")
+    due = due.repartition("user_id").sortWithinPartitions("user_id", *order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gate, user = Gate(settings), object()
+        for f in frames:
+            out = []
+            for u, k, at, e, l in zip(f["user_id"], f["session_id"], f["ts"], f["every"], f["low"]):
+                u, k = (None if pd.isna(x) else int(x) for x in (u, k))
+                if u != user:
+                    gate, user = Gate(settings), u
+                out.append(gate.decide_due(k, at.to_pydatetime(), bool(e), bool(l)))
+            made = f[["id", "user_id", "session_id", "ts"]].copy()
+            made["show"], made["reason"], made["query_count"] = [x for x, _ in out], [x for _, x in out], f["query_count"]
+            yield made
+
+    return plain.unionByName(due.mapInPandas(run, DECISION))
 
 
 class GateProcessor(StatefulProcessor):

@@ -260,3 +260,24 @@ def test_crawl_ranks_in_several_tasks_and_obeys_robots(spark):
     assert [r.reason for r in got] == [None if i % 5 else "blocked_by_robots_txt" for i in range(50)] + ["blocked_by_robots_txt"] * 2 + ["fetch_error"]
     some = W.crawl(seeds, fetched, edges, ["e.com", "f.com"], 0, 7).collect()
     assert sorted(r.ord for r in some) == list(range(1, 8))
+
+
+def test_review_gate_equals_a_walk_and_holds_no_user_whole(spark):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(6)
+    start, settings = datetime(2024, 1, 1), {"enabled": True, "max_per_session": 2, "cooldown_minutes": 7}
+    rows = [(i, rng.choice([1, 1, 1, 2, 3]), rng.randrange(4), start + timedelta(minutes=rng.randrange(600)), rng.choice([None, float("nan"), 1.0, 4.0]), rng.choice([True, False, False, None])) for i in range(600)]
+    events = spark.createDataFrame(rows, "id long, user_id long, session_id long, ts timestamp, score double, reviewed boolean")
+    want = set()
+    for user in (1, 2, 3):
+        gate = X.Gate(settings)
+        for i, u, s, at, score, reviewed in sorted((r for r in rows if r[1] == user), key=lambda r: (r[3], r[0])):
+            want.add((i, u, s, *gate.decide(s, at, score, bool(reviewed))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = X.review_gate(events, settings)
+        assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+        assert {(r.id, r.user_id, r.session_id, r.show, r.reason, r.query_count) for r in made.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
