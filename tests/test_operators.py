@@ -281,3 +281,11 @@ def test_review_gate_equals_a_walk_and_holds_no_user_whole(spark):
         assert {(r.id, r.user_id, r.session_id, r.show, r.reason, r.query_count) for r in made.collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_repeated_urls_are_in_the_manifest(spark, tmp_path):
+    from granary.plans import queries as q
+
+    rows = [(1, "http://e.com/a", "x"), (14, "http://e.com/a", "y"), (7, "http://e.com/b", "x"), (8, "http://e.com/b", "y"), (21, "http://e.com/c", "z")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(tuple(r) for r in q.manifest_differences(spark, str(tmp_path)).collect()) == [("http://e.com/a", "text differs"), ("http://e.com/c", "text differs")]
