@@ -45,6 +45,24 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame) -> Column:
+    """All columns of df in one struct, so that none clashes with an operator's own; unboxed() gives them back."""
+    return F.struct(*map(quoted, df.columns))
+
+
+def unboxed(box: str, names: list[str]) -> list[Column]:
+    return [F.col(box).getField(n).alias(n) for n in names]
+
+
+def fields(df: DataFrame, names: list[str]) -> list:
+    return [df.schema[n] for n in names]
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,61 +14,63 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored
+from granary.llm.common import boxed, quoted, stored, unboxed
+from granary.llm.words import IdCache, in_groups, released, spread
 
-CACHE = 150_000
-#: Letters that are their own lower case and composed form.
-SMALL = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+CACHE = 200_000
 SALTS = 256
+#: Letters of ASCII and Latin-1: their lower case is one letter, and no other letter composes to it.
+LETTERS = "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+#: A chunk's closing run of ASCII marks after a letter.
+TAIL = rf"(?P<last>[{LETTERS}])(?P<tail>[!-/:-@\[-`{{-~]+)$"
+_ENCODERS: dict[str, Callable] = {}
 
 
-def _encoder(path: str):
+def _encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """The encoder of a tokenizer file, made once in each worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _new_encoder(path)
+    return _ENCODERS[path]
+
+
+def _new_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Texts to (ids of all, offsets): each text is cut at ASCII white space and each distinct chunk encoded once.
 
-    Needs a tokenizer that never merges across ASCII white space and ignores it, that lower-cases, and that takes
-    a full stop or comma after a letter as a word of its own, as word-level BPE files do. Chunks then share their
-    lower-case form without that mark, and chunks of small Latin letters alone, which no other step of the
-    tokenizer changes or cuts, go to its BPE model at once; all others take the whole way.
+    Needs a tokenizer that never merges across ASCII white space and ignores it, that lower-cases, and that parts
+    runs of letters from runs of other marks, as word-level BPE files do. Chunks then share their lower-case form
+    without the marks that close them, and chunks of Latin letters alone, which no other step of the tokenizer
+    changes or cuts, go to its BPE model at once; all others take the whole way.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenize, known, older = tokenizer.model.tokenize, {}, {}
-    ids_of = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    tails = {c: ids_of(c) for c in ".,"} | {"": []}
-    letters = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in SMALL}
-    plain = re.compile(f"[{SMALL}]+")
-
-    def learn(new: list[str]) -> None:
-        for w in new:
-            if plain.fullmatch(w):
-                known[w] = [t.id for t in tokenize(w if w.isascii() else w.translate(letters))]
-            else:
-                known[w] = ids_of(w)
+    tokenize = tokenizer.model.tokenize
+    letters = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS.lower()}
+    plain = re.compile(f"[{LETTERS}]+")
+
+    def ids_of(w: str) -> list[int]:
+        if plain.fullmatch(w):
+            return [t.id for t in tokenize(w if w.isascii() else w.lower().translate(letters))]
+        return tokenizer.encode(w, add_special_tokens=False).ids
+
+    known = IdCache(lambda new: list(map(ids_of, new)), CACHE)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         chunks = pc.ascii_split_whitespace(texts)
         flat = chunks.flatten().dictionary_encode()
-        words = flat.dictionary
+        words = flat.dictionary.cast(pa.string())
         special = pc.match_substring(words, "<|")
-        marked = pc.and_not(pc.match_substring_regex(words, "[A-Za-z][.,]$"), special)
-        bases = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
-        bases = pc.if_else(special, bases, pc.ascii_lower(bases)).to_pylist()
-        ends = pc.if_else(marked, pc.utf8_slice_codeunits(words, -1), "").to_pylist()
-        # two generations: words seen since the last change stay, others go
-        if len(known) > CACHE:
-            older.clear()
-            older.update(known)
-            known.clear()
-        known.update((b, older[b]) for b in bases if b not in known and b in older)
-        learn(list(dict.fromkeys(b for b in bases if b not in known)))
-        own = [known[b] + tails[e] for b, e in zip(bases, ends)]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        table = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), pa.array([i for x in own for i in x], pa.uint32()))
-        codes = flat.indices
-        ids = table.take(codes).flatten().to_numpy()
-        after = np.r_[0, np.cumsum(sizes[codes.to_numpy()])] if len(own) else np.zeros(1, np.int64)
+        tails = pc.if_else(special, "", pc.fill_null(pc.struct_field(pc.extract_regex(words, TAIL), "tail"), ""))
+        bases = pc.if_else(special, words, pc.ascii_lower(pc.replace_substring_regex(words, TAIL, "\\1")))
+        bases, tails = bases.dictionary_encode(), tails.dictionary_encode()
+        names = [*bases.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
+        codes = known.codes(list(dict.fromkeys(names)))
+        place = dict(zip(dict.fromkeys(names), codes.tolist()))
+        code = np.array([place[x] for x in names], np.int64)
+        two = np.stack([code[: len(bases.dictionary)][bases.indices.to_numpy()], code[len(bases.dictionary) :][tails.indices.to_numpy()]], 1)
+        ids, ends = known.lists(two.ravel())
+        ids, after = spread(ids, ends[:-1:2], ends[2::2] - ends[:-1:2], flat.indices.to_numpy())
         return ids, after[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
 
     return encode
@@ -77,23 +80,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
     """Token pieces of each document: key, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A document is its ids and then end_id; a longer one is cut every capacity tokens. A null text is empty:
-    one piece that holds end_id alone. Rows that repeat give pieces that repeat. Columns besides key and text
-    are left out.
+    one piece that holds end_id alone. Rows that repeat give pieces that repeat, a null key is kept. Very long texts
+    are encoded alone, others in groups of two megabytes. Columns besides key and text are left out; an empty table
+    gives an empty one.
     """
     end = np.array([end_id], "<u4")
 
     def cut(batches):
         encode = _encoder(tokenizer)
         for batch in batches:
-            # a few texts at a time bound the memory that very long ones need
-            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
-            group = np.cumsum(size) // (2 << 20)
-            for g in np.unique(group):
-                at = np.flatnonzero(group == g)
-                part = batch.slice(at[0], len(at))
+            for part in in_groups(batch, 1):
                 ids, ends = encode(pc.fill_null(part.column(1), ""))
                 out = {n: [] for n in ("row", "piece", "start", "length", "ids_crc32", "ids")}
-                for r in range(len(at)):
+                for r in range(len(part)):
                     own = np.r_[ids[ends[r] : ends[r + 1]].astype("<u4"), end]
                     for p, s in enumerate(range(0, len(own), capacity)):
                         x = own[s : s + capacity]
@@ -114,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(key, text).mapInArrow(cut, schema)
+    return docs.select(quoted(key), quoted(text)).mapInArrow(released(cut), schema)
 
 
 def _complement(have: np.ndarray, gap: int, terms: int) -> list[int] | None:
@@ -201,13 +200,15 @@ def pack(df: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     Only the counts by length (at most capacity of them) and the plan made of them pass the driver. Rows get
     their rank among the rows of their length from counts by (length, salt), so that a length which a third of
     all rows have is no single task's, and the rank picks the place in the plan. Lengths must be from 1 to
-    capacity; others raise an error. An empty table gives an empty one. Columns of df named sequence_id or
-    offset are replaced.
+    capacity; others, and null, raise an error. An empty table gives an empty one, rows that repeat are packed each.
+    Other columns may have any name; those named sequence_id or offset are replaced.
     """
-    rows = df.drop("sequence_id", "offset").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    rows = stored(rows, "pieces")
-    groups = stored(rows.groupBy(F.col(length).cast("long").alias("_length"), "_salt").agg(F.count("*").alias("_n")), "lengths")
-    counts = {r[0]: r[1] for r in groups.groupBy("_length").agg(F.sum("_n")).limit(capacity + 2).collect()}
+    names = [c for c in df.columns if c not in ("sequence_id", "offset")]
+    held = df.select(*map(quoted, names))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")
+    rows = stored(held.select(boxed(held).alias("row"), quoted(length).cast("long").alias("n"), salt), "pieces")
+    groups = stored(rows.groupBy("n", "salt").agg(F.count("*").alias("k")), "lengths")
+    counts = {r[0]: r[1] for r in groups.groupBy("n").agg(F.sum("k")).limit(capacity + 2).collect()}
     if any(n is None or not 0 < n <= capacity for n in counts):
         raise ValueError(f"a length is not from 1 to {capacity}: {sorted(counts, key=str)[:3]}")
     runs, taken, sequence = [], dict.fromkeys(counts, 0), 0
@@ -228,12 +229,13 @@ def pack(df: DataFrame, capacity: int, length: str = "length") -> DataFrame:
         q = rank.to_numpy() - ranks[r]
         return pd.DataFrame({"sequence_id": first[r] + q // each[r], "offset": offset[r] + q % each[r] * n.to_numpy()})
 
-    before = F.sum("_n").over(Window.partitionBy("_length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    base = groups.withColumn("_base", F.coalesce(before, F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy("_length", "_salt").orderBy(*[c for c in ("doc_id", "piece") if c in df.columns] or [F.lit(0)])) - 1
-    ranked = rows.withColumn("_length", F.col(length).cast("long")).withColumn("_rank", within.cast("long"))
-    out = ranked.join(base, ["_length", "_salt"]).withColumn("_at", place("_length", F.col("_rank") + F.col("_base")))
-    return out.select(*[c for c in rows.columns if c != "_salt"], "_at.sequence_id", "_at.offset")
+    before = F.sum("k").over(Window.partitionBy("n").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    base = groups.select("n", "salt", F.coalesce(before, F.lit(0)).alias("base"))
+    order = [F.col("row").getField(c) for c in ("doc_id", "piece") if c in names]
+    within = F.row_number().over(Window.partitionBy("n", "salt").orderBy(*order or [F.lit(0)])) - 1
+    ranked = rows.withColumn("rank", within.cast("long")).join(base, ["n", "salt"])
+    out = ranked.select("row", place("n", F.col("rank") + F.col("base")).alias("at"))
+    return out.select(*unboxed("row", names), "at.sequence_id", "at.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,10 +67,71 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def in_groups(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
+def in_groups(batch: pa.RecordBatch, column: int, most: int = 2 << 20):
     """Slices of the batch with about most bytes of text each, so that very long texts don't meet in memory."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     group = np.cumsum(size) // most
     for g in np.unique(group):
         at = np.flatnonzero(group == g)
         yield batch.slice(at[0], len(at))
+
+
+def give_back() -> None:
+    """Returns memory that this process no longer uses: Python workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with its memory given back when the task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the lists of the codes one after another, offsets of each): list k is flat[starts[k] : starts[k] + sizes[k]]."""
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)
+    return flat[at], np.r_[0, ends]
+
+
+class IdCache:
+    """Token ids of words that a worker has met, in one growing array; learn gives the id lists of new words.
+
+    Over most words it starts anew, so that a worker's memory stays bounded.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list], most: int):
+        self.learn, self.most = learn, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words, for spread."""
+        if len(self.code) > self.most:
+            self.clear()
+        new = [w for w in words if w not in self.code]
+        if new:
+            made = self.learn(new)
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            own = np.fromiter((i for x in made for i in x), np.int32, int(sizes.sum()))
+            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
+            self.sizes, self.flat = np.r_[self.sizes, sizes], np.r_[self.flat, own]
+            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+
+    def lists(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return spread(self.flat, self.starts, self.sizes, codes)

@@ -321,6 +321,13 @@ def test_plan_uses_exact_complements():
     assert used == {60: 3, 40: 3, 50: 2, 30: 2, 20: 2, 25: 3, 100: 1}
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["row", "n", "salt", "k", "base", "rank", "at", "_salt", "_base", "_length", "_rank", "_at", "a.b"]
+    df = spark.createDataFrame([(k % 3, 5, *names) for k in range(9)], ["doc_id", "length", *names])
+    got = packing.pack(df, 10).collect()
+    assert len(got) == 9 and all([r[n] for n in names] == names for r in got) and len({r.sequence_id for r in got}) == 5
+
+
 def test_packing_edges(spark):
     assert packing.pack(packing.pieces(docs(spark, ["a"]).limit(0), WORDS, 64, 1), 64).count() == 0
     with pytest.raises(ValueError):
