@@ -9,15 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import components, maybe_among, stored
+from granary.llm.common import components, dropped, maybe_among, quoted, stored
 from granary.llm.ego_join import Forest
-from granary.llm.words import in_groups, shingle_sets
+from granary.llm.words import in_groups, released, shingle_sets
 
 SKETCH = 128
 PICKS = 3
 SMALL = 16
-CHUNK = 256
-DEPTH = 4
+DEPTH = 6
+#: Sets of a bucket whose tokens are looked at for those that many of its sets hold, and that share of them.
+SAMPLE, COMMON = 16, 0.4
+#: Most sets and shingles in a chunk of a group that is verified.
+CHUNK, CHUNK_SHINGLES = 2048, 1 << 20
 
 
 def runs_for(recall: float, threshold: float) -> int:
@@ -54,179 +57,206 @@ def _sets(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    return slim.mapInArrow(run, f"id {kind}, th long, n int, c long, sketch array<int>")
+    slim = docs.select(quoted(key).alias("id"), quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("th"))
+    return slim.mapInArrow(released(run), f"id {kind}, th long, n int, c long, sketch array<int>")
 
 
-def _picked(path: Column) -> Column:
-    """Child paths: about PICKS of the sketch's tokens, the same ones for every set that holds them at this path."""
-    chance = lambda t: F.shiftrightunsigned(F.xxhash64(path, t), 33) * F.size("sketch") < PICKS * 2**31
-    return F.transform(F.filter("sketch", chance), lambda t: F.xxhash64(path, t, F.lit(1)))
+def _picked(path: Column, tokens: Column) -> Column:
+    """Child paths: about PICKS of the tokens, the same ones for every set that holds them at this path."""
+    chance = lambda t: F.shiftrightunsigned(F.xxhash64(path, t), 33) * F.size(tokens) < PICKS * 2**31
+    return F.transform(F.filter(tokens, chance), lambda t: F.xxhash64(path, t, F.lit(1)))
+
+
+def _alike(a: str, b: str) -> Column:
+    """Share of the smallest tokens that two sketches have in common; 0.8 or more, on average, for Jaccard 0.8."""
+    return F.size(F.array_intersect(f"{a}.sketch", f"{b}.sketch")) / F.least(F.lit(SKETCH), F.greatest(f"{a}.n", f"{b}.n"))
 
 
 def _close(a: str, b: str, threshold: float) -> Column:
     """No pair at the threshold fails, but for one in millions whose sketches stray by over five deviations."""
-    fewest = F.least(F.lit(SKETCH), F.greatest(f"{a}.n", f"{b}.n"))
-    near = F.size(F.array_intersect(f"{a}.sketch", f"{b}.sketch")) >= (threshold - 0.18) * fewest
-    return near & (F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n"))
+    return (_alike(a, b) >= threshold - 0.18) & (F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n"))
+
 
+def _commons(rows: DataFrame) -> DataFrame:
+    """(path, common): tokens that at least COMMON of a bucket's sets hold, judged by about SAMPLE of them."""
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(3), "path", "c"), "size") < SAMPLE).groupBy("path")
+    held = drawn.agg(F.count("*").alias("k"), F.sort_array(F.flatten(F.collect_list("sketch"))).alias("t"))
+    often = F.greatest(F.ceil(F.col("k") * COMMON), F.lit(2)).cast("int") - 1
+    # a token that often + 1 sets hold stands at that many places of the sorted list
+    return held.select("path", F.array_distinct(F.filter("t", lambda x, i: F.get("t", i + often) == x)).alias("common"))
 
-def _dense_links(rows: DataFrame, classes: DataFrame, threshold: float) -> list[DataFrame]:
-    """Links (u, v) that connect the close pairs of buckets that do not split.
 
-    rows has path, c, n and sketch. Members close to the bucket's first one link with it, a row each. Only the others
-    are still to be compared with all members: both are cut into chunks, and a pair of chunks is one unit that compares
-    its sketches by one matrix product over 1024 folded tokens, checks the links of a spanning forest exactly
-    and returns them.
+def _split(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(links, children) of buckets (path, c, n, size, sketch) with over SMALL sets.
+
+    A bucket's pivot is a set at random. Sets alike enough that a common neighbour with the pivot is possible link with it;
+    those so close to it that all their neighbours do are done with. What most sets hold tells nothing: the others
+    split by tokens that are not common in the bucket. Sets that consist of common tokens for the most part
+    cannot be split so; they are alike, link with the least of them, and are done with where all their neighbours
+    link there too. At the last depth everything that is left links with the pivot. Links only say in which groups to
+    look, so one too many costs time and no wrong result.
     """
-    first = rows.groupBy("path").agg(F.min("c").alias("p"))
-    pivot = first.join(classes.select(F.col("c").alias("p"), F.struct("n", "sketch").alias("s")), "p")
-    tied = rows.join(pivot, "path").withColumn("own", F.struct("n", "sketch"))
-    tied = stored(tied.select("path", "c", "p", (F.col("c") == F.col("p")).alias("self"), _close("own", "s", threshold).alias("close")), "tied")
-    star = tied.filter("close and not self").select(F.col("p").alias("u"), F.col("c").alias("v")).distinct()
-    far = tied.filter("not close and not self").select("path", "c")
-    sizes = far.groupBy("path").agg(F.count("*").alias("fs")).join(tied.groupBy("path").agg(F.count("*").alias("size")), "path")
-    fc, ac = F.ceil(F.col("fs") / CHUNK), F.ceil(F.col("size") / CHUNK)
-    chunk = lambda k: F.pmod(F.xxhash64("c"), k)
-    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
-    left = far.join(sizes, "path").select("path", "c", chunk(fc).alias("i"), F.lit(True).alias("far"), each(ac).alias("j"))
-    right = tied.select("path", "c").join(sizes, "path").select("path", "c", chunk(ac).alias("j"), F.lit(False).alias("far"), each(fc).alias("i"))
-    units = left.unionByName(right).join(classes.select("c", "n", "sketch"), "c")
-
-    def run(key_: tuple, t: pa.Table) -> pa.Table:
-        c, n, far = t["c"].to_numpy(), t["n"].to_numpy(), t["far"].to_numpy()
-        sketch = t["sketch"].combine_chunks()
-        at = sketch.offsets.to_numpy() - sketch.offsets[0].as_py()
-        flat = sketch.flatten().to_numpy()
-        folded = np.zeros((len(c), 1024), np.float32)
-        np.add.at(folded, (np.repeat(np.arange(len(c)), np.diff(at)), flat & 1023), 1)
-        a, b = np.flatnonzero(far), np.flatnonzero(~far)
-        need = (threshold - 0.18) * np.minimum(SKETCH, np.maximum.outer(n[a], n[b]))
-        fits = np.minimum.outer(n[a], n[b]) >= threshold * np.maximum.outer(n[a], n[b])
-        # folding only adds to the number of shared tokens
-        x, y = np.nonzero((folded[a] @ folded[b].T >= need) & fits & (c[a][:, None] != c[b][None, :]))
-        sets = [flat[p:q] for p, q in zip(at, at[1:])]
-
-        def sure(i: int, j: int) -> bool:
-            return len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= (threshold - 0.18) * min(SKETCH, max(n[i], n[j]))
-
-        links = Forest(len(c)).unite(a[x], b[y], sure)
-        return pa.table({"u": c[[i for i, _ in links]].astype(np.int64), "v": c[[j for _, j in links]].astype(np.int64)})
-
-    return [stored(star, "star"), stored(units.groupBy("path", "i", "j").applyInArrow(run, "u long, v long").distinct(), "dense")]
+    pivot = rows.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "c").alias("r"), "c")).alias("p")).select("path", F.col("p.c").alias("p"))
+    lead = rows.join(pivot, "path").filter("c = p").select("path", "p", F.struct("n", "sketch").alias("lead"))
+    common = _commons(rows)
+    tied = rows.join(lead, "path").join(common, "path", "left").withColumn("own", F.struct("n", "sketch"))
+    rest = F.array_except("sketch", F.coalesce("common", F.array().cast("array<int>")))
+    judged = tied.select("path", "c", "n", "p", _alike("own", "lead").alias("near"), rest.alias("rest"), F.size("sketch").alias("all"))
+    judged = judged.withColumn("share", F.size("rest") / F.col("all"))
+    goes_on = F.lit(not last) & (F.col("c") != F.col("p")) & (F.col("near") < 0.9) & (F.col("share") > 0.4)
+    judged = stored(judged.select("path", "c", "n", "p", "near", "share", F.when(goes_on, F.col("rest")).alias("rest")), "judged")
+    star = judged.filter((F.col("near") >= (0.0 if last else 0.4)) & (F.col("c") != F.col("p"))).select(F.col("p").alias("u"), F.col("c").alias("v"))
+    core = judged.filter("share <= 0.6").select("path", "c")
+    least = core.groupBy("path").agg(F.min("c").alias("u"))
+    links = stored(star.unionByName(core.join(least, "path").filter("c <> u").select("u", F.col("c").alias("v"))).distinct(), "star")
+    children = judged.filter("rest is not null").select("c", "n", F.explode(_picked(F.col("path"), F.col("rest"))).alias("path"))
+    children = stored(children, "paths")
+    dropped(judged)
+    return links, children
 
 
 def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(u, v): links such that, but for a share 1 - recall, sets at the threshold are connected by them.
 
     Each level's buckets are counted first. One set alone goes; up to SMALL sets are paired; larger buckets
-    split by further tokens, unless a bucket kept over half of the one before, which no token splits, or has
-    reached the last depth: those are compared chunk by chunk.
+    split by further tokens, see _split. A set takes part in a bounded number of buckets a level, and no bucket
+    is held in one task.
     """
     links: list[DataFrame] = []
     level = classes.select("c", "n", "sketch", F.explode(F.sequence(F.lit(1), F.lit(runs_for(recall, threshold)))).alias("run"))
-    level = level.select("c", "n", F.explode(_picked(F.col("run").cast("long"))).alias("path"), F.lit(None).cast("long").alias("before"))
+    level = stored(level.select("c", "n", F.explode(_picked(F.col("run").cast("long"), F.col("sketch"))).alias("path")), "paths")
     for depth in range(1, DEPTH + 1):
-        level = stored(level.distinct(), "paths")
-        size = level.groupBy("path").agg(F.count("*").alias("size"), F.max("before").alias("before")).filter("size > 1")
-        held = level.drop("before").join(size, "path")
+        size = level.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
+        held = stored(level.join(size, "path"), "held")
+        dropped(level)
         some = held.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("cs"))
         like = lambda x, y: F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
         mates = lambda x, i: F.filter(F.slice("cs", i + 2, SMALL), lambda y: like(x, y))
         pair = F.flatten(F.transform("cs", lambda x, i: F.transform(mates(x, i), lambda y: F.struct(x["c"].alias("u"), y["c"].alias("v")))))
-        pairs = some.select(F.explode(pair).alias("p")).select("p.*").distinct()
+        pairs = stored(some.select(F.explode(pair).alias("p")).select("p.*").distinct(), "pairs")
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("k"))
+        named = maybe_among(classes.select("c", F.struct("n", "sketch").alias("s")), F.col("c"), nodes)
+        close = pairs
         for side in "uv":
-            pairs = pairs.join(classes.select(F.col("c").alias(side), F.struct("n", "sketch").alias(f"s{side}")), side)
-        links.append(stored(pairs.filter(_close("su", "sv", threshold)).select("u", "v"), "pairs"))
-        large = stored(held.filter(F.col("size") > SMALL), "large")
-        if large.isEmpty():
+            close = close.join(named.select(F.col("c").alias(side), F.col("s").alias(f"s{side}")), side)
+        links.append(stored(close.filter(_close("su", "sv", threshold)).select("u", "v"), "close"))
+        large = held.filter(F.col("size") > SMALL).select("path", "c", "n", "size")
+        sketched = maybe_among(classes.select("c", "sketch"), F.col("c"), large.select(F.col("c").alias("k")))
+        rows = stored(large.join(sketched, "c"), "large")
+        dropped(held)
+        dropped(pairs)
+        if rows.isEmpty():
             break
-        stuck = F.lit(depth == DEPTH) | (F.coalesce(F.col("size") * 2 > F.col("before"), F.lit(False)))
-        large = large.withColumn("stuck", stuck)
-        sketched = lambda rows: rows.join(classes.select("c", "sketch"), "c")
-        if not large.filter("stuck").isEmpty():
-            links += _dense_links(sketched(large.filter("stuck").select("path", "c", "n")), classes, threshold)
-        level = sketched(large.filter("not stuck")).select("c", "n", F.explode(_picked(F.col("path"))).alias("path"), F.col("size").alias("before"))
+        more, level = _split(rows, depth == DEPTH)
+        dropped(rows)
+        links.append(more)
     out = links[0]
     for x in links[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _shared(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Numbers of shingles that sets before split (rows) share with those from split on (columns).
+
+    Shingles that few sets hold add up pair by pair, others by products of blocks of them.
+    """
+    n = np.array([len(x) for x in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(codes, kind="stable")  # rows ascend within a code
+    codes, row = codes[order], row[order]
+    rows, columns = split, len(n) - split
+    on_left = np.bincount(codes[row < split], minlength=codes[-1] + 1)
+    on_right = np.bincount(codes[row >= split], minlength=codes[-1] + 1)
+    first = np.cumsum(on_left + on_right) - on_left - on_right
+    shared = np.zeros(rows * columns, np.float32)
+    few = on_left * on_right
+    # pair by pair: every place on the left meets the places on the right of its code
+    at = np.flatnonzero((row < split) & (few[codes] > 0) & (few[codes] <= 64))
+    for low in range(0, len(at), 1 << 16):
+        a = at[low : low + (1 << 16)]
+        times = on_right[codes[a]]
+        ends = np.cumsum(times)
+        b = np.arange(ends[-1]) + np.repeat(first[codes[a]] + on_left[codes[a]] - (ends - times), times)
+        np.add.at(shared, np.repeat(row[a], times) * columns + row[b] - split, np.float32(1))
+    shared = shared.reshape(rows, columns)
+    # in blocks
+    many = np.flatnonzero(few > 64)
+    place = np.full(len(few), -1)
+    place[many] = np.arange(len(many))
+    keep = place[codes] >= 0
+    codes, row = place[codes[keep]], row[keep]
+    for low in range(0, len(many), 1024):
+        p, q = np.searchsorted(codes, [low, low + 1024])
+        block = np.zeros((len(n), 1024), np.float32)
+        block[row[p:q], codes[p:q] - low] = 1
+        shared += block[:split] @ block[split:].T
+    return shared
+
+
+def _unit(side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], one: bool, threshold: float):
+    """Number of links of each set of a unit, copies counted, and a spanning forest of the links."""
+    n = np.array([len(x) for x in sets])
+    split = len(n) if one else int((~side).sum())
+    shared = _shared(sets + sets, split) if one else _shared(sets, split)
+    other = n if one else n[split:]
+    x, y = np.nonzero(shared * np.float64(1 + threshold) >= threshold * (n[:split, None] + other[None, :]) - 1e-6)
+    y = y + (0 if one else split)
+    keep = x < y
+    x, y = x[keep], y[keep]
+    links = np.bincount(x, copies[y], len(n)) + np.bincount(y, copies[x], len(n))
+    return links.astype(np.int64), Forest(len(n)).unite(x, y)
+
+
 def _verified(members: DataFrame, threshold: float, size: int) -> DataFrame:
     """Exact links inside groups of candidates: (c, other, links), other null for counts and set for a forest link.
 
-    members has comp, comp_size, c, copies and text. Groups are cut into chunks of about CHUNK sets; each pair
-    of chunks is a unit that counts shared shingles by matrix products, so no group stands in one task.
+    members has comp, chunks, c, copies and text. Groups are cut into chunks; each pair of chunks is a unit that
+    counts shared shingles, so no group stands in one task. A group of one chunk is a unit of its own.
     """
-    chunks = F.ceil(F.col("comp_size") / CHUNK)
-    own = F.pmod(F.xxhash64("c"), chunks)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    own = F.pmod(F.xxhash64("c"), "chunks")
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
     units = members.withColumn("own", own).withColumn("u", F.explode(pair))
     units = units.select("comp", "u.i", "u.j", (F.col("own") != F.col("u.i")).alias("side"), "c", "copies", "text")
     units = units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side")
-
-    def unit(side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], one: bool):
-        n = np.array([len(x) for x in sets])
-        split = len(n) if one else int((~side).sum())
-        tokens, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(n)), n)
-        shared = np.zeros((split, len(n) if one else len(n) - split), np.float32)
-        order = np.argsort(codes, kind="stable")
-        codes, row = codes[order], row[order]
-        for low in range(0, len(tokens), 4096):
-            p, q = np.searchsorted(codes, [low, low + 4096])
-            block = np.zeros((len(n), 4096), np.float32)
-            block[row[p:q], codes[p:q] - low] = 1
-            shared += block[:split] @ (block if one else block[split:]).T
-        b0 = 0 if one else split
-        union = n[:split, None] + n[None, b0:] - shared
-        x, y = np.nonzero(shared >= threshold * union - 1e-6)
-        y = y + b0
-        keep = x < y
-        x, y = x[keep], y[keep]
-        links = np.zeros(len(n), np.int64)
-        np.add.at(links, x, copies[y])
-        np.add.at(links, y, copies[x])
-        return links, Forest(len(n)).unite(x, y)
+    keys = ("comp", "i", "j")
+
+    def judge(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        sets = [x for b in t.to_batches() for g in in_groups(b, 6) for x in shingle_sets(g.column(6), size)]
+        comp, i, j = (t[k].to_numpy() for k in keys)
+        side, c, copies = t["side"].to_numpy(zero_copy_only=False), t["c"].to_numpy(), t["copies"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+        out: list[tuple] = []
+        for a, b in zip(edges, edges[1:]):
+            if b - a < 2 or i[a] != j[a] and side[a:b].all() == side[a:b].any():
+                continue
+            links, tree = _unit(side[a:b], copies[a:b], sets[a:b], i[a] == j[a], threshold)
+            out += [(int(c[a + k]), None, int(links[k])) for k in np.flatnonzero(links)]
+            out += [(int(c[a + x]), int(c[a + y]), 0) for x, y in tree]
+        columns = list(zip(*out)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["c", "other", "links"])
 
     def run(batches):
-        kept: pa.Table | None = None
-
-        def flush(t: pa.Table):
-            t = t.combine_chunks()
-            comp, i, j = (t[k].to_numpy() for k in ("comp", "i", "j"))
-            side, c, copies = t["side"].to_numpy(zero_copy_only=False), t["c"].to_numpy(), t["copies"].to_numpy()
-            sets = shingle_sets(t["text"].combine_chunks(), size)
-            edges = np.flatnonzero(np.r_[True, (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-            out_c, out_o, out_l = [], [], []
-            for a, b in zip(edges, edges[1:]):
-                if b - a < 2 or i[a] != j[a] and side[a:b].all() == side[a:b].any():
-                    continue
-                links, tree = unit(side[a:b], copies[a:b], sets[a:b], i[a] == j[a])
-                for k in np.flatnonzero(links):
-                    out_c.append(c[a + k])
-                    out_o.append(None)
-                    out_l.append(links[k])
-                for x, y in tree:
-                    out_c.append(c[a + x])
-                    out_o.append(c[a + y])
-                    out_l.append(0)
-            return pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_o, pa.int64()), pa.array(out_l, pa.int64())], ["c", "other", "links"])
-
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([kept, t]) if kept is not None else t
-            last = [t[k][-1].as_py() for k in ("comp", "i", "j")]
-            same = np.logical_and.reduce([t[k].to_numpy() == x for k, x in zip(("comp", "i", "j"), last)])
-            cut = len(t) - int(same.sum())
-            if cut:
-                yield flush(t.slice(0, cut))
-            kept = t.slice(cut)
-        if kept is not None and len(kept):
-            yield flush(kept)
-
-    return units.mapInArrow(run, "c long, other long, links long")
+            if not b.num_rows:
+                continue
+            key = [[x.column(k)[at].as_py() for k in range(3)] for x, at in ((b, 0), (b, -1), (held[-1] if held else b, -1))]
+            same = np.logical_and.reduce([b.column(k).to_numpy() == x for k, x in enumerate(key[1])])
+            cut = b.num_rows - int(same.sum())
+            if held and (cut or key[0] != key[2]):
+                # the unit that was held ends here, or before
+                yield judge([*held, b.slice(0, cut)])
+                held = []
+            elif cut:
+                yield judge([b.slice(0, cut)])
+            held.append(b.slice(cut))
+        if held:
+            yield judge(held)
+
+    return units.mapInArrow(released(run), "c long, other long, links long")
 
 
 def jaccard_links(df: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.9999, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -246,16 +276,17 @@ def jaccard_links(df: DataFrame, threshold: float = 0.8, size: int = 5, recall:
     filled = rows.filter("n > 0")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
     classes = stored(filled.groupBy("c", "n").agg(F.count("*").alias("copies"), first, F.any_value("sketch").alias("sketch")), "classes")
-    found = candidates(classes.select("c", "n", "copies", "sketch"), threshold, recall)
-    named = components(found, "u", "v")
-    named = stored(named.select(F.col("node").alias("c"), F.col("component").alias("comp")), "groups")
-    sizes = named.groupBy("comp").agg(F.count("*").alias("comp_size"))
-    wanted = stored(named.join(sizes, "comp").join(classes.select("c", "copies", "first.id", "first.th"), "c"), "wanted")
+    found = candidates(classes.select("c", "n", "sketch"), threshold, recall)
+    named = components(found, "u", "v").select(F.col("node").alias("c"), F.col("component").alias("comp"))
+    named = stored(named.join(classes.select("c", "n", "copies", "first.id", "first.th"), "c"), "groups")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).alias("chunks")
+    wanted = stored(named.join(named.groupBy("comp").agg(chunks), "comp").select("comp", "chunks", "c", "copies", "id", "th"), "wanted")
+    dropped(named)
     where = F.xxhash64("id", "th")
-    texts = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    texts = df.select(quoted(key).alias("id"), F.xxhash64(quoted(text)).alias("th"), quoted(text).alias("text"))
     texts = maybe_among(texts, where, wanted.select(where.alias("k")))
     same = texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])
-    members = texts.join(wanted, same).select("comp", "comp_size", "c", "copies", "text").dropDuplicates(["c"])
+    members = texts.join(wanted, same).select("comp", "chunks", "c", "copies", "text").dropDuplicates(["c"])
     exact = stored(_verified(members, threshold, size), "links")
     counts = exact.groupBy("c").agg(F.sum("links").alias("links"))
     groups = components(exact.filter("other is not null"), "c", "other").withColumnRenamed("node", "c")
