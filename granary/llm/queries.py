@@ -127,8 +127,7 @@ from component left join counts using (vec_id)"""
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by the public BPE model and decoded again."""
     path = tokenizer_file("piece_bpe_32k.model")
-    encoded = sp_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = sp_codec.decode(encoded, path)
+    decoded = sp_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
     text = F.coalesce("text", F.lit(""))
     return decoded.select(
         "doc_id", "ids", F.size("ids").alias("n_ids"), F.crc32("decoded").alias("decoded_crc32"), (F.col("decoded") == text).alias("round_trip")

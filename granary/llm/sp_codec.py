@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from granary.llm.common import fields, quoted
+from granary.llm.words import IdCache, released, spread
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -34,6 +39,8 @@ class Vocabulary:
             raise ValueError("a piece goes across words")
         self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
         self.worst = min((s for _, s in pieces.values()), default=0.0) - 10
+        inner = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.inner = np.array(sorted(ord(a) << 32 | ord(b) for a, b in inner), np.uint64)
         if self.kind == "bpe":
             self.fit: dict[tuple[str, str], bool] = {}
             self._grow()
@@ -112,6 +119,42 @@ class Vocabulary:
         return [self.unknown]
 
 
+@lru_cache(4)
+def _held(path: str, kind: str) -> tuple[Vocabulary, IdCache]:
+    """The vocabulary of a model file and the ids of the words met, made once in each worker process."""
+    voc = Vocabulary(path, kind)
+    one = {p: (i,) for p, (i, _) in voc.pieces.items()}
+
+    def learn(new: list[str]) -> list[list[int]]:
+        order = sorted(range(len(new)), key=new.__getitem__)
+        out: list[list[int]] = [[]] * len(new)
+        for at, parts in zip(order, walk([new[k] for k in order], voc)):
+            out[at] = [k for p in parts for k in (one[p] if p in one else voc.ids(p))]
+        return out
+
+    return voc, IdCache(learn, KNOWN)
+
+
+def stretches(words: list[str], voc: Vocabulary) -> tuple[list[str], np.ndarray]:
+    """The words cut where no piece holds the two characters side by side, and how many stretches each word has.
+
+    No piece goes across such a place, whatever the scores, so stretches are encoded on their own and words share them.
+    """
+    joined = "".join(words)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    pair = codes[:-1] << np.uint64(32) | codes[1:]
+    found = np.minimum(np.searchsorted(voc.inner, pair), max(len(voc.inner) - 1, 0))
+    cut = np.ones(len(codes), bool)
+    if len(voc.inner):
+        cut[1:] = voc.inner[found] != pair
+    starts = np.cumsum(sizes) - sizes
+    cut[starts] = True
+    at = np.flatnonzero(cut)
+    ends = [*at[1:].tolist(), len(joined)]
+    return [joined[a:b] for a, b in zip(at.tolist(), ends)], np.diff(np.r_[np.searchsorted(at, starts), len(at)])
+
+
 def walk(words: list[str], voc: Vocabulary) -> list[list[str]]:
     """The pieces of each word; words are sorted, so that walking them in order walks their trie depth-first.
 
@@ -201,47 +244,48 @@ def _in_groups(batch: pa.RecordBatch, size: np.ndarray, most: int):
         yield batch.slice(at[0], len(at))
 
 
-def encode(df: DataFrame, model: str, kind: str = "bpe", text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of df with ids, the piece ids of the text.
+def _encoded(texts: pa.Array, voc: Vocabulary, known: IdCache) -> pa.ListArray:
+    units = _units([voc.model.normalize(t) if t else "" for t in texts.to_pylist()])
+    coded = units.flatten().dictionary_encode()
+    parts, count = stretches(coded.dictionary.to_pylist(), voc) if len(coded) else ([], np.zeros(0, np.int64))
+    distinct = dict.fromkeys(parts)
+    place = dict(zip(distinct, known.codes(list(distinct)).tolist()))
+    of_part = np.fromiter((place[x] for x in parts), np.int64, len(parts))
+    after = np.r_[0, np.cumsum(count)]
+    starts, sizes = after[:-1], count
+    stretch, ends = spread(of_part, starts, sizes, coded.indices.to_numpy())
+    ids, id_ends = known.lists(stretch)
+    rows = id_ends[ends[units.offsets.to_numpy().astype(np.int64) - units.offsets[0].as_py()]]
+    return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def encode(df: DataFrame, model: str, kind: str = "bpe", text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """All columns of df with ids, the piece ids of the text, and, where it is named, decoded, the text of these ids.
 
     Each task takes its rows' distinct marked words (a run of word marks with what follows it; no piece of the
-    vocabulary goes across them), sorts them and walks them as a trie; no shuffle. The words of a batch are held at
-    once, known words up to a bound. Texts are normalised by the model, which marks spaces. Characters outside
-    the vocabulary become bytes or, without byte pieces, the unknown id.
+    vocabulary goes across them), cuts them where no piece can go across, sorts what is new and walks it as a trie; no
+    shuffle. A group of about two megabytes of texts is held at once, known words up to a bound. Texts are normalised
+    by the model, which marks spaces. Characters outside the vocabulary become bytes or, without byte pieces, the
+    unknown id.
 
-    Null and empty texts give an empty list. A column of df with the name of ids is replaced.
+    Null and empty texts give an empty list and decode to an empty text. Columns of df named as ids or decoded are
+    replaced. An empty table gives an empty one; repeated rows are encoded each.
     """
-    rest = [c for c in df.columns if c != ids]
+    out = [ids] if decoded is None else [ids, decoded]
+    rest = [c for c in df.columns if c not in out]
     at_text = rest.index(text)
 
     def run(batches):
-        voc = Vocabulary(model, kind)
-        one = {p: (i,) for p, (i, _) in voc.pieces.items()}
-        known: dict[str, list[int]] = {}
-        older: dict[str, list[int]] = {}
+        voc, known = _held(model, kind)
+        pieces = pa.array(voc.out, pa.binary())
         for whole in batches:
             for batch in _in_groups(whole, pc.fill_null(pc.binary_length(whole.column(at_text)), 0).to_numpy(), 2 << 20):
-                units = _units([voc.model.normalize(t) if t else "" for t in batch.column(at_text).to_pylist()])
-                coded = units.flatten().dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                if len(known) > KNOWN:
-                    known, older = {}, known
-                known.update((w, older[w]) for w in words if w not in known and w in older)
-                new = sorted(w for w in words if w not in known)
-                for w, parts in zip(new, walk(new, voc)):
-                    known[w] = [k for p in parts for k in (one[p] if p in one else voc.ids(p))]
-                own = [known[w] for w in words]
-                sizes = np.fromiter(map(len, own), np.int64, len(own))
-                table = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), pa.array([i for x in own for i in x], pa.int32()))
-                flat = table.take(coded.indices).flatten()
-                ends = np.r_[0, np.cumsum(sizes[coded.indices.to_numpy()])] if words else np.zeros(1, np.int64)
-                rows = ends[units.offsets.to_numpy().astype(np.int64) - units.offsets[0].as_py()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(rows.astype("int32")), flat)], [*rest, ids])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.select(*rest).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return df.select(*rest).mapInArrow(run, schema)
+                lists = _encoded(batch.column(at_text), voc, known)
+                made = [lists] if decoded is None else [lists, texts_of(lists, voc, pieces)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*rest, *out])
+
+    kinds = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.StringType())]
+    return df.select(*map(quoted, rest)).mapInArrow(released(run), T.StructType([*fields(df, rest), *kinds[: len(out)]]))
 
 
 def texts_of(lists: pa.ListArray, voc: Vocabulary, pieces: pa.Array) -> pa.Array:
@@ -282,13 +326,11 @@ def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded"
     at_ids = rest.index(ids)
 
     def run(batches):
-        voc = Vocabulary(model)
+        voc, _ = _held(model, "bpe")
         pieces = pa.array(voc.out, pa.binary())
         for whole in batches:
             for batch in _in_groups(whole, pc.fill_null(pc.list_value_length(whole.column(at_ids)), 0).to_numpy() * 4, 2 << 20):
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(batch.column(at_ids), voc, pieces)], [*rest, decoded])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.select(*rest).schema.fields, T.StructField(decoded, T.StringType())])
-    return df.select(*rest).mapInArrow(run, schema)
+    schema = T.StructType([*fields(df, rest), T.StructField(decoded, T.StringType())])
+    return df.select(*map(quoted, rest)).mapInArrow(released(run), schema)
