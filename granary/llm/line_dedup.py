@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import maybe_among, stored
+from granary.llm.common import boxed, dropped, maybe_among, quoted, stored, unboxed
 
 SEGMENTS = 32
 
@@ -46,7 +46,8 @@ def _segments(c: str) -> Column:
 
         return F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(m / s) - 1), one)
 
-    return F.concat(of(False), of(True))
+    # a line of one character has no shorter one but the empty line, which is blank
+    return F.when(F.length(c) > 1, F.concat(of(False), of(True))).otherwise(of(False))
 
 
 def _variants() -> Column:
@@ -64,25 +65,27 @@ def _variants() -> Column:
     return F.when(F.col("longer"), F.array_distinct(more)).otherwise(F.array_append(same, key("f", F.lit(2), mid)))
 
 
-def _earlier_within_one(lines: DataFrame, distinct: DataFrame, shortest: int) -> DataFrame:
+def _earlier_within_one(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h, g, first, near): the earliest line within one edit of each distinct line that has an earlier one.
 
     Three widths of neighbourhood keep the emitted rows few and lose no pair: lines that share no half with
     another line have no neighbour; of the others, segments whose outside no other line shares hold no edit; what
     is left emits its deletions. Groups of equal variants are only reduced to their earliest line, never paired.
     """
-    halves = distinct.filter(F.col("chars") >= shortest).select("h", "g", "first", F.explode("halves").alias("half"))
+    halves = distinct.select("h", "g", "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     suspects = stored(halves.join(shared, "half", "left_semi").select("h", "g", "first").distinct(), "suspects")
     where = F.xxhash64("h", "first")
     found = maybe_among(lines.select("h", "g", "line", F.col("at").alias("first")), where, suspects.select(where.alias("k")))
     # an inner join: a semi join would be moved below the filter and shuffle every line
     text = stored(found.join(suspects, ["h", "g", "first"]).dropDuplicates(["h", "g"]), "suspect_lines")
+    dropped(suspects)
 
-    cut = text.select("h", "g", "first", F.explode(_segments("line")).alias("s")).select("h", "g", "first", "s.*")
+    cut = stored(text.select("h", "g", "first", F.explode(_segments("line")).alias("s")).select("h", "g", "first", "s.*"), "segments")
     outers = cut.groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1").select("outer")
     near = cut.join(outers, "outer", "left_semi").select("h", "g", "first", F.explode(_variants()).alias("v"))
     near = stored(near.select("h", "g", "first", "v.*"), "variants")
+    dropped(cut)
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("first"))).alias(role)
     groups = near.groupBy("key").agg(F.count("*").alias("n"), least("s"), least("b"), least("f")).filter("n > 1").drop("n")
     partner = F.when(F.col("role") == "s", F.col("s")).when(F.col("role") == "f", F.col("b")).otherwise(F.col("f"))
@@ -93,48 +96,53 @@ def _earlier_within_one(lines: DataFrame, distinct: DataFrame, shortest: int) ->
     return sure.groupBy("h", "g").agg(F.min("near").alias("near"))
 
 
-def dedup_lines(df: DataFrame, bound: int = 1, shortest: int = 20, text: str = "text", order: str = "doc_id") -> DataFrame:
+def dedup_lines(df: DataFrame, bound: int = 1, text: str = "text", order: str = "doc_id") -> DataFrame:
     """All columns of df, the text without repeated lines, with n_lines and n_removed (both long).
 
-    Lines are what line feeds separate. A line goes if a line before it, by (order column, place in the document),
-    is equal, or within bound edits (0 or 1 characters inserted, deleted or replaced) where both have at least
-    shortest characters; whether the line before goes itself doesn't matter. Blank lines always stay.
+    Lines are what line feeds separate. A line goes if a line before it is equal or within bound edits (0 or 1
+    characters inserted, deleted or replaced), whatever their lengths; whether the line before goes itself doesn't
+    matter. Lines stand in order of (order column, hash of the text, place in the text). Blank lines always stay.
 
     A line that a third of all documents hold is one row after partial aggregation, and joins back to its places
-    in a join that Spark can split. Each document's text moves once, with the places of its lines that go.
-
-    Nulls: a null text stays null, with 0 lines; a null order value comes last. Rows that repeat an order value
-    count as one document: the same line at the same place in both stays in both. Empty texts have one blank line.
-    Columns of df named n_lines or n_removed are replaced.
+    in a join that Spark can split. Each document's text moves once, with the places of its lines that go. Very long
+    texts are rows like others: their lines are compared one by one. The filter before the join of near lines is
+    a bitmap of 2**23 bits: beyond some ten million distinct suspects it lets most lines pass, which costs a shuffle of
+    them and loses nothing.
+
+    Nulls: a null text stays null, with 0 lines; a null order value comes last. Rows that repeat an order value are
+    documents of their own, told apart by their texts; rows equal in both count as one document and stay alike.
+    Empty texts have one blank line. An empty table gives an empty one. Other columns may have any name; those named
+    n_lines or n_removed are replaced.
     """
     if bound not in (0, 1):
         raise ValueError("bound must be 0 or 1")
-    docs = df.drop("n_lines", "n_removed")
-    each = docs.select(F.col(order).alias("_id"), F.posexplode(F.split(text, "\n", -1)).alias("_no", "line"))
-    at = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_no").alias("no")).alias("at")
+    names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    held = df.select(*map(quoted, names))
+    docs = held.select(boxed(held).alias("row"), quoted(order).alias("id"), F.xxhash64(quoted(text)).alias("th"))
+    parts = F.split(F.col("row").getField(text), "\n", -1)
+    each = docs.select("id", "th", F.posexplode(parts).alias("no", "line"))
+    at = F.struct(F.col("id").isNull().alias("none"), "id", "th", "no").alias("at")
     lines = each.filter(F.col("line").rlike("\\S")).select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), at, "line")
-    slim = lines.select("h", "g", "at", F.length("line").alias("chars"), _halves("line").alias("halves") if bound else F.array(F.lit(0).cast("long")).alias("halves"))
+    slim = lines.select("h", "g", "at", _halves("line").alias("halves") if bound else F.array(F.lit(0).cast("long")).alias("halves"))
     part = [F.max(F.get("halves", F.lit(k))).alias(f"_{k}") for k in range(4)]
-    distinct = slim.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.max("chars").alias("chars"), *part)
+    distinct = slim.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("n"), *part)
     halves = F.array_compact(F.array(*[f"_{k}" for k in range(4)])).alias("halves")
-    distinct = stored(distinct.select("h", "g", "first", "n", "chars", halves), "lines")
+    distinct = stored(distinct.select("h", "g", "first", "n", halves), "lines")
     keep = distinct.select("h", "g", "first", "n")
     if bound:
-        keep = keep.join(_earlier_within_one(lines, distinct, shortest), ["h", "g"], "left").withColumn("first", F.least("first", "near"))
+        keep = keep.join(_earlier_within_one(lines, distinct), ["h", "g"], "left").withColumn("first", F.least("first", "near"))
         repeated = keep.filter((F.col("n") > 1) | F.col("near").isNotNull())
     else:
         repeated = keep.filter("n > 1")
     gone = lines.select("h", "g", "at").join(repeated.select("h", "g", "first"), ["h", "g"]).filter(F.col("at") > F.col("first"))
-    gone = gone.groupBy(F.col("at.id").alias("_id")).agg(F.collect_set("at.no").alias("_gone"))
-
-    others = [c for c in docs.columns if c != text]
-    cut = docs.select(*others, F.split(text, "\n", -1).alias("_lines"))
-    both = cut.join(gone, F.col(order).eqNullSafe(F.col("_id")), "left").drop("_id")
-    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.transform(places, lambda i: F.get("_lines", i))
-    out = both.withColumns({
-        text: F.when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"),
-    })
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    gone = gone.groupBy(F.col("at.id").alias("gone_id"), F.col("at.th").alias("gone_th")).agg(F.collect_set("at.no").alias("gone"))
+
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th"))
+    both = docs.join(gone, same, "left").withColumn("parts", parts)
+    places = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    kept = F.array_join(F.transform(places, lambda i: F.get("parts", i)), "\n")
+    left = F.when(F.col("gone").isNull(), F.col("row").getField(text)).otherwise(kept).alias(text)
+    columns = dict(zip(names, unboxed("row", names))) | {text: left}
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    some = lambda c: F.when(F.col(c).isNotNull(), count(c)).otherwise(F.lit(0).cast("long"))
+    return both.select(*columns.values(), some("parts").alias("n_lines"), some("gone").alias("n_removed"))

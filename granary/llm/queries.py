@@ -159,9 +159,8 @@ with cut as (select doc_id, text, string_split(text, chr(10)) as parts from docu
 each as (select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as no from cut),
 l as (select doc_id, no, line from each where regexp_matches(line, '[^ \\t\\n\\x0b\\f\\r]')),
 d as (select line, length(line) as k, min((doc_id, no)) as first from l group by line),
-long as (select * from d where k >= 20),
 keys as (select line, k, first, unnest([('p', k // 2, left(line, k // 2)), ('p', (k - 1) // 2, left(line, (k - 1) // 2)),
- ('s', k // 2, right(line, k // 2)), ('s', (k - 1) // 2, right(line, (k - 1) // 2))]) as half from long),
+ ('s', k // 2, right(line, k // 2)), ('s', (k - 1) // 2, right(line, (k - 1) // 2))]) as half from d),
 pairs as (select distinct a.line as line, a.k as ka, b.line as other, b.k as kb, b.first as near from keys a join keys b
  on a.half = b.half and a.line <> b.line and abs(a.k - b.k) <= 1 and b.first < a.first),
 edits as (select line, near from pairs where len(list_filter(range(0, greatest(ka, kb)::bigint), lambda i:

@@ -342,7 +342,7 @@ def test_packing_edges(spark):
 def near(a, b):
     if a == b:
         return True
-    if min(len(a), len(b)) < 20 or abs(len(a) - len(b)) > 1:
+    if abs(len(a) - len(b)) > 1:
         return False
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
@@ -381,5 +381,45 @@ def test_lines_equal_brute_force(spark):
         assert (got[i].text, got[i].n_removed) == ("\n".join(keep), len(x.split("\n")) - len(keep)), i
 
 
+def kept_lines(rows):
+    """[(id, text without repeated lines)] of rows (id, text) in the order that the operator states; rows are distinct."""
+    seen, out = [], []
+    for i, x in rows:
+        left = []
+        for line in x.split("\n"):
+            if not line.strip():
+                left.append(line)
+                continue
+            if not any(near(line, y) for y in seen):
+                left.append(line)
+            seen.append(line)
+        out.append((i, "\n".join(left)))
+    return out
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abc d") for _ in range(rng.choice([1, 2, 3, 6, 22]))) for _ in range(60)]
+    rows = {(rng.choice([1, 1, 2, None, None]), "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 4)))) for _ in range(40)}
+    df = spark.createDataFrame(list(rows), "doc_id long, text string")
+    order = df.orderBy(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).collect()
+    got = line_dedup.dedup_lines(df.withColumn("before", F.col("text"))).collect()
+    want = dict(zip([(r.doc_id, r.text) for r in order], [t for _, t in kept_lines([(r.doc_id, r.text) for r in order])]))
+    assert {(r.doc_id, r.before): r.text for r in got} == want
+    unique = spark.createDataFrame([(1, "foo bar\nunique one"), (1, "unique two\nother")], "doc_id long, text string")
+    assert {r.text for r in line_dedup.dedup_lines(unique).collect()} == {"foo bar\nunique one", "unique two\nother"}
+    twice = spark.createDataFrame([(1, "a long line\na long line")] * 3 + [(2, "a long line")], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.dedup_lines(twice).collect()) == ["", "a long line", "a long line", "a long line"]
+
+
+def test_lines_keep_columns_of_any_name_and_long_texts(spark):
+    names = ["id", "th", "no", "at", "h", "g", "row", "parts", "line", "gone", "gone_id", "first", "near", "a.b", "c`d"]
+    long = "\n".join(f"line {k} of a very long text with number {k * k}" for k in range(20_000))
+    df = spark.createDataFrame([(1, long, *names), (2, "line 7 of a very long text with number 49\nnew", *names)], ["doc_id", "text", *names])
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert [got[2][n] for n in names] == names and got[2].text == "new"
+    assert got[1].n_lines == 20_000 and got[1].n_removed == long.count("\n") + 1 - len(got[1].text.split("\n"))
+
+
 def test_lines_without_rows(spark):
     assert line_dedup.dedup_lines(docs(spark, ["a"]).limit(0)).count() == 0
