@@ -4,28 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import dropped, stored
+from granary.llm.common import boxed, dropped, quoted, stored, unboxed
 
 OFFSET = 1 << 63
+KEY = ("h", "i", "s")
+KEY_BYTES = 8 * len(KEY)
 
 
-def _as_bytes(h: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Two signed longs as one 16-byte string that sorts as the pair does."""
-    pair = np.empty((len(h), 2), dtype=">u8")
-    pair[:, 0] = h.astype(np.int64).view(np.uint64) ^ np.uint64(OFFSET)
-    pair[:, 1] = i.astype(np.int64).view(np.uint64) ^ np.uint64(OFFSET)
-    return np.frombuffer(pair.tobytes(), dtype="S16")
+def _as_bytes(b: pd.DataFrame) -> np.ndarray:
+    """The signed longs of each key as one string that sorts as the key does."""
+    parts = np.stack([b[k].to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(OFFSET) for k in KEY], 1)
+    return np.frombuffer(parts.astype(">u8").tobytes(), dtype=f"S{KEY_BYTES}")
 
 
-def _key(h: int, i: int) -> int:
-    return ((h + OFFSET) << 64) | (i + OFFSET)
+def _longs(key: int) -> list[int]:
+    """The signed longs of a key number; a number past the last key becomes the last."""
+    key = min(key, (1 << 8 * KEY_BYTES) - 1)
+    return [((key >> 64 * k) & (2 * OFFSET - 1)) - OFFSET for k in reversed(range(len(KEY)))]
 
 
 def _probe_bytes(keys: list[int]) -> np.ndarray:
-    return np.frombuffer(b"".join(k.to_bytes(16, "big") for k in keys), dtype="S16")
+    return np.frombuffer(b"".join(k.to_bytes(KEY_BYTES, "big") for k in keys), dtype=f"S{KEY_BYTES}")
 
 
 def _cells(keys: DataFrame, probes: list[int]) -> dict[int, tuple]:
@@ -36,60 +38,66 @@ def _cells(keys: DataFrame, probes: list[int]) -> dict[int, tuple]:
         for b in batches:
             if not len(b):
                 continue
-            k = _as_bytes(b["h"].to_numpy(), b["i"].to_numpy())
+            k = _as_bytes(b)
             cell = np.searchsorted(edges, k, side="right")
-            out = pd.DataFrame({"cell": cell, "size": b["size"], "k": [x.ljust(16, b"\0") for x in k.tolist()]})
-            yield out.groupby("cell").agg(bytes=("size", "sum"), rows=("size", "size"), low=("k", "min"), high=("k", "max")).reset_index()
+            out = pd.DataFrame({"cell": cell, "size": b["size"], "k": [x.ljust(KEY_BYTES, b"\0") for x in k.tolist()]})
+            yield out.groupby("cell").agg(bytes=("size", "sum"), low=("k", "min"), high=("k", "max")).reset_index()
 
-    made = keys.mapInPandas(count, "cell int, bytes long, rows long, low binary, high binary")
-    found = made.groupBy("cell").agg(F.sum("bytes"), F.sum("rows"), F.min("low"), F.max("high")).collect()
-    return {r[0]: (r[1], r[2], int.from_bytes(r[3], "big"), int.from_bytes(r[4], "big")) for r in found}
+    made = keys.mapInPandas(count, "cell int, bytes long, low binary, high binary")
+    found = made.groupBy("cell").agg(F.sum("bytes"), F.min("low"), F.max("high")).collect()
+    return {r[0]: (r[1], int.from_bytes(r[2], "big"), int.from_bytes(r[3], "big")) for r in found}
 
 
-def splitters(keys: DataFrame, pieces: int, tolerance: float, fan: int = 16) -> tuple[list[int], list[int]]:
-    """Boundaries that cut keys (h, i, size) into pieces of equal bytes, and the rows below each boundary.
+def splitters(keys: DataFrame, shards: int, tolerance: float, fan: int = 16) -> list[int]:
+    """Boundaries that cut keys (h, i, s, size) into shards of equal bytes.
 
     Every round counts the exact bytes below all probes over all partitions and puts new probes only inside
     the cells that hold a wanted boundary, until the bytes below a boundary are within tolerance (a share of
-    one piece) of the target or its cell holds one key. The driver sees at most fan probes a boundary.
+    one shard) of the target or its cell holds one key. The driver sees at most fan probes a boundary, whatever the
+    number of keys.
     """
-    # fixed in the first round: the whole key range
-    total, rows, low, high = _cells(keys, []).get(0, (0, 0, 0, 0))
-    targets = [total * p // pieces for p in range(1, pieces)]
-    if not rows or not targets:
-        return [], []
-    # for each boundary: least and greatest key of the cell that holds it, bytes and rows below the cell
-    state = [(low, high, 0, 0)] * len(targets)
-    done: dict[int, tuple[int, int]] = {}
-    slack = tolerance * total / pieces
+    total, low, high = _cells(keys, []).get(0, (0, 0, 0))
+    targets = [total * p // shards for p in range(1, shards)]
+    if not total or not targets:
+        return []
+    # for each boundary: least and greatest key of the cell that holds it, and bytes below the cell
+    state = [(low, high, 0)] * len(targets)
+    done: dict[int, int] = {}
+    slack = tolerance * total / shards
     while len(done) < len(targets):
         probes: set[int] = set()
-        for t, (lo, hi, _, _) in enumerate(state):
+        for t, (lo, hi, _) in enumerate(state):
             if t not in done:
                 probes |= {lo + (hi + 1 - lo) * j // fan for j in range(fan + 1)}
         edges = sorted(probes)
         cells = _cells(keys, edges)
-        at, n, below, least = 0, 0, [], [None] * (len(edges) + 1)
-        for c in range(len(edges) + 1):
-            below.append((at, n))
-            if c in cells:
-                at, n, least[c] = at + cells[c][0], n + cells[c][1], cells[c][2]
+        below = np.cumsum([cells.get(c, (0,))[0] for c in range(len(edges) + 1)]).tolist()
         for t, want in enumerate(targets):
             if t in done:
                 continue
-            # the last edge with no more than the wanted bytes below it
-            c = max(k for k in range(1, len(edges) + 1) if below[k][0] <= want or k == 1)
-            under, n_under = below[c]
-            size, count, lo, hi = cells.get(c, (0, 0, edges[c - 1], edges[c - 1]))
+            # the cell after the last edge with no more than the wanted bytes below it
+            c = max(1, int(np.searchsorted(below, want, side="right")))
+            c = min(c, len(edges))
+            under = below[c - 1]
+            size, lo, hi = cells.get(c, (0, edges[c - 1], edges[c - 1]))
             if want - under <= slack or not size:
-                done[t] = (edges[c - 1], n_under)
+                done[t] = edges[c - 1]
             elif under + size - want <= slack or lo == hi and under + size - want < want - under:
-                done[t] = (hi + 1, n_under + count)
+                done[t] = hi + 1
             elif lo == hi:
-                done[t] = (lo, n_under)
+                done[t] = lo
             else:
-                state[t] = (lo, hi, under, n_under)
-    return [done[t][0] for t in range(len(targets))], [done[t][1] for t in range(len(targets))]
+                state[t] = (lo, hi, under)
+    return [done[t] for t in range(len(targets))]
+
+
+def _shard(edges: list[int]) -> Column:
+    """How many edges are at or below the key: at most shards - 1 comparisons of three longs."""
+    key, out = F.struct(*KEY), F.lit(0)
+    for e in edges:
+        at = F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(KEY, _longs(e))])
+        out = out + (key >= at).cast("int")
+    return out
 
 
 def histogram_shards(
@@ -98,36 +106,36 @@ def histogram_shards(
     """All columns of df, with size (UTF-8 bytes of the text plus 1), shard (0 to shards-1) and slot.
 
     Rows sort by (hash of the text, order column): copies of a text stand together and are cut only where a
-    shard boundary falls among them. Each shard is made of equal pieces of about piece_bytes, so that no task
-    holds a shard; the counts give every piece its first slot and the rows move once. slot counts from 0
-    without gaps within a shard, in key order.
-
-    Nulls: a null text has size 1 and hashes as null; a null order value sorts as the smallest long. Rows
-    equal in text and order value are one key and lie in one shard. An empty table gives an empty one. Columns
-    of df named size, shard or slot are replaced.
+    shard boundary falls among them. A shard's rows are dealt to pieces of about piece_bytes by a hash of their key, so
+    that no task holds a shard; exact counts give every piece its first slot, and the rows move once. slot counts
+    from 0 without gaps within a shard. Only the shards' boundaries and their probes pass the driver.
+
+    Nulls: a null text has size 1 and hashes as null; a null order value sorts as the smallest long. Where rows repeat
+    text and order value, rows are numbered and written first, so that these are keys of their own and may be cut
+    apart like any others. Very long texts are one row each. An empty table gives an empty one. Other columns may have
+    any name; those named size, shard or slot are replaced.
     """
-    sized = df.withColumns({
-        "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
-        "_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()),
-        "_i": F.coalesce(F.col(order).cast("long"), F.lit(-OFFSET)),
-    })
-    keys = stored(sized.select(F.col("_h").alias("h"), F.col("_i").alias("i"), "size"), "keys")
+    names = [c for c in df.columns if c not in ("size", "shard", "slot")]
+    held = df.select(*map(quoted, names))
+    sized = held.select(
+        boxed(held).alias("row"),
+        (F.coalesce(F.octet_length(quoted(text)), F.lit(0)).cast("long") + 1).alias("size"),
+        F.xxhash64(F.coalesce(quoted(text), F.lit("")), quoted(text).isNull()).alias("h"),
+        F.coalesce(quoted(order).cast("long"), F.lit(-OFFSET)).alias("i"),
+    )
+    keys = stored(sized.select("h", "i", F.lit(0).cast("long").alias("s"), "size"), "keys")
+    if keys.groupBy("h", "i").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        rows = sized.withColumn("s", F.lit(0).cast("long"))
+    else:
+        dropped(keys)
+        rows = stored(sized.withColumn("s", F.monotonically_increasing_id()), "rows")
+        keys = rows.select(*KEY, "size")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    finer = max(1, -(-total // (shards * piece_bytes)))
-    edges, rows_below = splitters(keys, shards * finer, tolerance)
-    dropped(keys)
-    cut = _probe_bytes(edges)
-    below = [0, *rows_below]
-    first = [below[p] - below[p - p % finer] for p in range(len(below))]
-
-    @F.pandas_udf("int")
-    def piece(h: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cut, _as_bytes(h.to_numpy(), i.to_numpy()), side="right").astype("int32"))
-
-    dealt = sized.withColumn("_p", piece("_h", "_i"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy("_h", "_i")) - 1
-    start = F.element_at(F.lit(first or [0]).cast("array<long>"), F.col("_p") + 1)
-    return dealt.withColumns({
-        "slot": (within + start).cast("long"),
-        "shard": (F.col("_p") / finer).cast("int"),
-    }).drop("_h", "_i", "_p")
+    shard = _shard(splitters(keys, shards, tolerance)).alias("shard")
+    piece = F.pmod(F.xxhash64(*KEY), F.lit(max(1, -(-total // (shards * piece_bytes))))).alias("piece")
+    counts = stored(keys.select(shard, piece).groupBy("shard", "piece").agg(F.count("*").alias("n")), "counts")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select("shard", "piece", F.coalesce(before, F.lit(0)).alias("first"))
+    dealt = rows.select("row", "size", *KEY, shard, piece).join(first, ["shard", "piece"])
+    within = F.row_number().over(Window.partitionBy("shard", "piece").orderBy(*KEY)) - 1
+    return dealt.select(*unboxed("row", names), "size", "shard", (within + F.col("first")).cast("long").alias("slot"))

@@ -44,8 +44,14 @@ def test_shards_are_even_and_gapless(spark):
 
 def test_shards_of_repeated_rows_and_of_none(spark):
     one = docs(spark, ["a"]).crossJoin(spark.range(50)).drop("id")
-    got = sharding.histogram_shards(one, 4).collect()
-    assert sorted(r.slot for r in got) == list(range(50))
+    got = sharding.histogram_shards(one, 4, piece_bytes=10).collect()
+    for k in range(4):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+        assert 12 <= sum(r.shard == k for r in got) <= 13
+    nulls = spark.createDataFrame([(None, "same", "a.b")] * 40, "doc_id long, text string, `a.b` string")
+    names = ["row", "h", "i", "s", "piece", "first", "_h", "_i", "_p"]
+    got = sharding.histogram_shards(nulls.withColumns({n: F.lit(n) for n in names}), 4).collect()
+    assert all(9 <= sum(r.shard == k for r in got) <= 11 for k in range(4)) and all([r[n] for n in names] == names for r in got)
     assert sharding.histogram_shards(docs(spark, ["a"]).limit(0), 4).count() == 0
 
 
