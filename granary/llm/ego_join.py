@@ -7,13 +7,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import components, stored
-from granary.llm.vectors import finite, matrix
+from granary.llm.common import components, dropped, quoted, stored
+from granary.llm.vectors import finite, matrix, unit_rows
+from granary.llm.words import give_back, released
 
-BLOCK, LEAF, GRID = 8192, 256, 6
+BLOCK, LEAF, GRID = 16_384, 256, 6
 
 
 class Forest:
@@ -80,17 +81,17 @@ def join_intervals(v: np.ndarray, p: np.ndarray, a: tuple[int, int], b: tuple[in
 
 
 def principal_axes(rows: DataFrame, width: int, count: int) -> np.ndarray:
-    """The leading eigenvectors of the covariance of unit vectors v: partitions send sums, width * width numbers."""
+    """The leading eigenvectors of the covariance of vectors v at length 1: partitions send sums, width * width numbers."""
 
     def sums(batches):
         total = np.zeros((width + 1, width + 1))
         for b in batches:
-            m = np.c_[np.ones(b.num_rows), matrix(b.column(0), width)]
+            m = np.c_[np.ones(b.num_rows), unit_rows(matrix(b.column(0), width))]
             total += m.T @ m
         i, j = np.indices(total.shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "x"])
 
-    got = rows.select("v").mapInArrow(sums, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    got = rows.select("v").mapInArrow(released(sums), "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
     total = np.zeros((width + 1, width + 1))
     for r in got:
         total[r[0], r[1]] = r[2]
@@ -107,66 +108,69 @@ def cosine_links(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector:
     their cells of side eps on the leading principal axes and are cut into blocks of the sequence; a pair of
     blocks is dropped when the boxes of their leading coordinates lie over eps apart, else it is one unit of
     work that joins the two intervals recursively. A unit returns a link count a vector and a spanning forest of
-    its links, never the links themselves. Blocks are bounded; per block only its box reaches the driver.
+    its links, never the links themselves. Blocks hold BLOCK vectors, however they are partitioned. Per block its
+    box (2 * GRID numbers) passes the driver and is sent to the tasks that list the pairs.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing: n_links 0, own component.
     Keys should be unique (rows that repeat a key with the same vector link as copies). A null key is a row
     like any other, but no component takes its name while a key is there. Shorter vectors end in zeros.
-    Other columns are left out; an empty table gives an empty one.
+    Other columns are left out, whatever their names; an empty table gives an empty one.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
     kind = df.schema[key].dataType.simpleString()
-    some = F.exists(F.col(vector), lambda x: x != 0)
-    all_rows = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double") + F.lit(0.0)).alias("v"), (finite(vector) & some).alias("ok"))
+    some = F.exists(quoted(vector), lambda x: x != 0)
+    value = F.transform(quoted(vector), lambda x: x.cast("double") + F.lit(0.0))
+    all_rows = df.select(quoted(key).alias("id"), value.alias("v"), (finite(quoted(vector)) & some).alias("ok"))
     valid = all_rows.filter("ok")
     width = valid.agg(F.max(F.size("v"))).first()[0] or 1
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
 
     # copies fold: rep is the copies' smallest key
     folded = stored(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "folded")
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    big = F.array_max(F.transform("v", F.abs))
-    scaled = folded.withColumn("v", F.transform("v", lambda x: x / big))
-    unit = scaled.withColumn("v", F.transform("v", lambda x: x / size))
-    axes = principal_axes(unit, width, min(GRID, width))
+    axes = principal_axes(folded, width, min(GRID, width))
+    depth = axes.shape[1]
 
     def project(batches):
         for b in batches:
-            p = matrix(b.column(1), width) @ axes
+            v = unit_rows(matrix(b.column(1), width))
+            p = v @ axes
             cells = np.floor(p / eps).astype(np.int64)
-            columns = [b.column(0), b.column(1), b.column(2), pa.array(list(p)), pa.array(list(cells), pa.list_(pa.int64()))]
+            columns = [b.column(0), pa.array(list(v), pa.list_(pa.float64())), b.column(2), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["rep", "v", "copies", "p", "cells"])
 
-    placed = unit.select("rep", "v", "copies").mapInArrow(project, f"rep {kind}, v array<double>, copies long, p array<double>, cells array<long>")
-    n = folded.count()
-    blocks = max(1, -(-n // BLOCK))
-    ordered = placed.repartitionByRange(blocks, "cells", F.xxhash64("rep")).sortWithinPartitions("cells", "rep")
-    ordered = ordered.withColumn("at", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("block", F.shiftright("at", 33) * 4096 + F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK))
-    ordered = stored(ordered.drop("cells"), "ordered")
-    corner = [f(F.col("p")[d]).alias(f"{name}{d}") for d in range(axes.shape[1]) for name, f in (("low", F.min), ("high", F.max))]
-    boxes = ordered.groupBy("block").agg(*corner).orderBy("block").collect()
-    low = np.array([[r[f"low{d}"] for d in range(axes.shape[1])] for r in boxes], float).reshape(len(boxes), axes.shape[1])
-    high = np.array([[r[f"high{d}"] for d in range(axes.shape[1])] for r in boxes], float).reshape(len(boxes), axes.shape[1])
-    pairs: list[tuple[int, int, int]] = []
-    for i in range(len(boxes)):
-        gap = np.maximum(0, np.maximum(low[i] - high[i:], low[i:] - high[i]))
-        for j in np.flatnonzero((gap * gap).sum(1) <= eps * eps + 1e-9) + i:
-            unit_id = len(pairs)
-            pairs.append((boxes[i]["block"], unit_id, 0))
-            if i != j:
-                pairs.append((boxes[j]["block"], unit_id, 1))
-            else:
-                pairs.append((-1, unit_id, 1))
-    spark = df.sparkSession
-    # rows by number of block pairs near each other; no row of data
-    units = spark.createDataFrame([p for p in pairs if p[0] >= 0] or [(-1, -1, 0)], "block long, unit long, side int")
-    dealt = ordered.join(units, "block").select("unit", "side", "at", "rep", "v", "copies", "p")
+    shape = f"rep {kind}, v array<double>, copies long, p array<double>, cells array<long>"
+    placed = folded.select("rep", "v", "copies").mapInArrow(released(project), shape)
+    blocks = max(1, -(-folded.count() // BLOCK))
+    dealt = placed.repartitionByRange(blocks, "cells", F.xxhash64("rep")).sortWithinPartitions("cells", "rep")
+    dealt = stored(dealt.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).drop("cells"), "dealt")
+    ends = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition
+    starts = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(ends), F.lit(0)).alias("start"))
+    ordered = dealt.join(F.broadcast(starts), "part").withColumn("at", F.col("start") + F.col("row")).withColumn("block", F.floor(F.col("at") / BLOCK))
+    ordered = ordered.select("block", "at", "rep", "v", "copies", "p")
+    corner = [f(F.col("p")[d]).alias(f"{name}{d}") for name, f in (("low", F.min), ("high", F.max)) for d in range(depth)]
+    boxes = stored(ordered.groupBy("block").agg(*corner), "boxes")
+    sides = np.array([tuple(r) for r in boxes.orderBy("block").collect()], float).reshape(-1, 1 + 2 * depth)
+    held = boxes.sparkSession.sparkContext.broadcast(sides)
+
+    def near(batches):
+        every = held.value
+        for b in batches:
+            out = []
+            for block in b.column(0).to_pylist():
+                own, others = every[block], every[block:]
+                gap = np.maximum(0, np.maximum(own[1 : 1 + depth] - others[:, 1 + depth :], others[:, 1 : 1 + depth] - own[1 + depth :]))
+                for other in (np.flatnonzero((gap * gap).sum(1) <= eps * eps + 1e-9) + block).tolist():
+                    out += [(block, block, other, 0), (other, block, other, 1)][: 1 + (other != block)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [()] * 4)], ["block", "one", "two", "side"])
+
+    units = boxes.select("block").repartition(min(blocks, 1024)).mapInArrow(near, "block long, one long, two long, side long")
+    parts = ordered.join(units, "block").select("one", "two", "side", "at", "rep", "v", "copies", "p")
 
     def join(key_: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("side", "ascending"), ("at", "ascending")]).combine_chunks()
-        v, p = matrix(t["v"].combine_chunks(), width), matrix(t["p"].combine_chunks(), axes.shape[1])
+        v, p = matrix(t["v"].combine_chunks(), width), matrix(t["p"].combine_chunks(), depth)
         rep, copies = t["rep"], t["copies"].to_numpy()
         split = pc.sum(pc.equal(t["side"], 0)).as_py()
         both = split == len(copies)
@@ -178,6 +182,7 @@ def cosine_links(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector:
             tree.extend(forest.unite(i, j))
 
         join_intervals(v, p, (0, split), (0, split) if both else (split, len(copies)), eps, least, found)
+        give_back()
         some = np.flatnonzero(links)
         i = pa.array(np.r_[some, [x for x, _ in tree]].astype(np.int64))
         other = rep.take(pa.array([y for _, y in tree], pa.int64())).to_pylist()
@@ -185,7 +190,7 @@ def cosine_links(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector:
             "rep": rep.take(i), "other": pa.array([None] * len(some) + other, rep.type), "links": pa.array(np.r_[links[some], np.zeros(len(tree), np.int64)]),
         })
 
-    joined = stored(dealt.groupBy("unit").applyInArrow(join, f"rep {kind}, other {kind}, links long"), "joined")
+    joined = stored(parts.groupBy("one", "two").applyInArrow(join, f"rep {kind}, other {kind}, links long"), "joined")
     counts = joined.groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(joined.filter("other is not null"), "rep", "other")
     groups = folded.join(counts, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")

@@ -24,3 +24,9 @@ def matrix(lists: pa.Array, width: int) -> np.ndarray:
     at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[row, at] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1; none may be zero. Dividing by the largest component first keeps squares finite."""
+    m = m / np.abs(m).max(1, keepdims=True, initial=0.0)
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
