@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored
+from granary.llm.common import quoted, stored
 from granary.llm.vectors import finite, matrix
+from granary.llm.words import give_back
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 
@@ -54,13 +55,17 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int, scale: int = 256, key:
     a ranked window. Rows shuffled grow with (queries / 1024) times rows: the search is exhaustive.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a null key. Shorter
-    vectors end in zeros. Ties go to the smaller key. Keys should be unique; rows that repeat a key each count, and
+    vectors end in zeros. Components so large that a score may not fit 64 bits (width times the largest integer squared) raise
+    an error before anything is searched. Ties go to the smaller key. Keys should be unique; rows that repeat a key each count, and
     a query that repeats is asked once. Other columns are left out; an empty table gives an empty one.
     """
-    terms = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    valid = df.filter(finite(vector) & F.col(key).isNotNull())
-    slim = stored(valid.select(F.col(key).alias("id"), terms.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "terms")
-    n, width, n_queries = slim.agg(F.count("*"), F.max(F.size("v")), F.count_if("q")).first()
+    terms = F.transform(quoted(vector), lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    valid = df.filter(finite(quoted(vector)) & quoted(key).isNotNull())
+    slim = stored(valid.select(quoted(key).alias("id"), terms.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "terms")
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    n, width, n_queries, top = slim.agg(F.count("*"), F.max(F.size("v")), F.count_if("q"), largest).first()
+    if (width or 0) * (top or 0.0) ** 2 >= 2.0**63:
+        raise ValueError("components so large that a score may pass 64 bits")
     row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     asked = slim.filter("q").dropDuplicates(["id"])
     deal = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks).cast("long"))
@@ -75,6 +80,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int, scale: int = 256, key:
         ids = unit["id"].to_numpy()
         m = matrix(unit["v"].combine_chunks(), width).astype(np.int64)
         at, found, score = top_of_block(ids[is_q], m[is_q], ids[~is_q], np.ascontiguousarray(m[~is_q]), k)
+        give_back()
         return pa.table({"query_id": ids[is_q][at], "id": found, "score": score})
 
     kind = df.schema[key].dataType.simpleString()
