@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import stored
-from granary.llm.words import in_groups, split_words
+from granary.llm.words import in_groups, released, split_words
 
 HEAD = 131_072
 OWN = 2000
@@ -60,13 +60,13 @@ def vocabulary(training: DataFrame, text: str) -> tuple[Vocabulary, DataFrame]:
 
     def count(batches):
         for whole in batches:
-            for batch in in_groups(whole, 0, 32 << 20):
+            for batch in in_groups(whole, 0, 16 << 20):
                 words, at = split_words(batch.column(0))
                 n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
                 names = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.array([END])])
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.r_[n, len(at) - 1].astype(np.int64))], ["word", "c"])
 
-    counts = training.select(text).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = training.select(text).mapInArrow(released(count), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = stored(counts.filter("c > 0"), "vocabulary")
     # the head is made of whole steps of the count, so that no task sends more than its share of it to the driver
     step = F.floor(F.log2("c") * 8).cast("int")
@@ -201,7 +201,7 @@ def train(training: DataFrame, voc: Vocabulary, text: str, part: Column) -> Mode
             state = [np.zeros_like(x) for x in (model.first, model.second, model.target)] + [np.zeros((len(model.bias), 1))]
             rng, seen = np.random.default_rng(11), 0
             for whole in batches:
-                for batch in in_groups(whole, 0):
+                for batch in in_groups(whole, 0, 8 << 20):
                     _, cls, before, *_ = _stream(batch.column(0), voc)
                     train_on(model, state, cls, before, noise, rng)
                     seen += len(cls)
@@ -209,7 +209,7 @@ def train(training: DataFrame, voc: Vocabulary, text: str, part: Column) -> Mode
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), float(seen))), *map(pa.array, rows.T.copy())], ["row", "n", *columns])
 
-        sent = training.filter(part == k).select(text).mapInArrow(local, "row long, n double, " + ", ".join(f"{c} double" for c in columns))
+        sent = training.filter(part == k).select(text).mapInArrow(released(local), "row long, n double, " + ", ".join(f"{c} double" for c in columns))
         got = sent.groupBy("row").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in columns]).orderBy("row").collect()
         if got:
             model = Model.of(np.array([[r[c] for c in columns] for r in got]))
@@ -255,7 +255,7 @@ def language_model_scores(df: DataFrame, held_out: Column, text: str = "text", k
     def run(batches):
         voc, (one, two, norm) = pickle.loads(shared.value)
         for whole in batches:
-            for batch in in_groups(whole, 2):
+            for batch in in_groups(whole, 2, 4 << 20):
                 rank, cls, before, offsets, code, names = _stream(batch.column(2), voc)
                 c1, c2 = before
                 part = (one[c1, cls] + two[c2, cls] - norm[c1, c2]) / log10
@@ -284,7 +284,7 @@ def language_model_scores(df: DataFrame, held_out: Column, text: str = "text", k
 
     kind = df.schema[key].dataType.simpleString()
     fields = f"id {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word string, n long>>"
-    scored = stored(docs.mapInArrow(run, fields).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = stored(docs.mapInArrow(released(run), fields).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("known_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("extra"))
     out = scored.drop("rare").join(met, "row", "left")

@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from granary.llm.common import stored
-from granary.llm.words import in_groups
+from granary.llm.common import fields, quoted, stored
+from granary.llm.words import in_groups, released
 
 WINDOW = 4
 LEVELS = range(2, 8)
@@ -88,11 +89,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest:
 
     labels must hold training rows only. Documents over longest bytes are not trained on.
     """
-    known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("id"), F.col(label).alias("toxic")).distinct()
+    known = labels.filter(quoted(key).isNotNull() & quoted(label).isin(0, 1)).select(quoted(key).alias("id"), quoted(label).alias("toxic")).distinct()
     order = F.xxhash64("id")
     chosen = [known.filter(F.col("toxic") == t).orderBy(order, "id").limit(per_class) for t in (0, 1)]
     ids = stored(chosen[0].unionByName(chosen[1]), "sample_ids")  # at most 2 * per_class rows, so they may be broadcast
-    short = docs.filter(F.octet_length(text) <= longest).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    short = docs.filter(F.octet_length(quoted(text)) <= longest).select(quoted(key).alias("id"), quoted(text).alias("text"))
     return stored(short.join(F.broadcast(ids), "id").select("toxic", "text"), "sample")
 
 
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
         names = list({f for f, _ in held})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([held[f, t] for f in names], pa.int64()) for t in (0, 1))], ["f", "b", "a"])
 
-    counts = stored(sample.mapInArrow(count, "f string, b long, a long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "fragments")
+    counts = stored(sample.mapInArrow(released(count), "f string, b long, a long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "fragments")
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     g2 = 2 * (a * F.log(a * (n0 + n1) / ((a + b) * n1)) + F.when(b > 0, b * F.log(b * (n0 + n1) / ((a + b) * n0))).otherwise(0.0))
     often = (F.col("a") >= LEAST_DOCS) & (a / n1 > 4 * (b + 0.5) / n0)
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["toxic", "x"])
 
     kind = sample.schema["toxic"].dataType.simpleString()
-    got = sample.repartition(32).mapInArrow(measure, f"toxic {kind}, x array<double>").collect()
+    got = sample.repartition(32).mapInArrow(released(measure), f"toxic {kind}, x array<double>").collect()
     got.sort(key=lambda r: (r.toxic, r.x))
     x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got], float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -183,7 +184,5 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
                 x = np.array([of(t) for t in batch.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(x))], [*rest, out])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.select(*rest).schema.fields, T.StructField(out, T.DoubleType())])
-    return df.select(*rest).mapInArrow(run, schema)
+    schema = T.StructType([*fields(df, rest), T.StructField(out, T.DoubleType())])
+    return df.select(*map(quoted, rest)).mapInArrow(released(run), schema)
