@@ -47,13 +47,24 @@ def citations(hits: DataFrame, text: bool = False) -> DataFrame:
     return out if text else out.withColumnRenamed("doc_id", "document")
 
 
-def clamp_score(c: Column, default: Column | int = 1) -> Column:
-    """An integer from 1 to 5; what is no integer text or number becomes the default."""
-    whole = F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("int")).when(c.rlike(r"^[+-]?\d+\.\d+([eE][+-]?\d+)?$"), c.try_cast("double").try_cast("int"))
+def clamp_score(c: Column, default: Column | int = 1, text: Column | bool = False) -> Column:
+    """An integer from 1 to 5; what is no number or integer text becomes the default.
+
+    Numbers lose their fraction; text says that c was a JSON string, in which a fraction is no integer.
+    """
+    text = F.lit(text) if isinstance(text, bool) else text
+    number = c.rlike(r"^[+-]?\d+\.\d+([eE][+-]?\d+)?$") & ~text
+    whole = F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("int")).when(number, c.try_cast("double").try_cast("int"))
     held = F.when(whole.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), whole)))
     return F.coalesce(held, F.lit(default) if isinstance(default, int) else default)
 
 
+def _is_text(raw: str, name: str) -> Column:
+    """Whether the JSON field is a string."""
+    field = F.try_variant_get(F.try_parse_json(F.col(raw)), f"$.{name}", "variant")
+    return F.coalesce(F.schema_of_variant(field) == "STRING", F.lit(False))
+
+
 def _string_list(c: Column) -> Column:
     """A JSON list as strings; one value as a list of it; null and '' as empty."""
     return F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).when(F.startswith(c, F.lit("[")), F.from_json(c, "array<string>")).otherwise(F.array(c))
@@ -72,8 +83,8 @@ def normalise_judges(judges: DataFrame, raw: str = "judge_json") -> DataFrame:
     """
     get = lambda k: F.get_json_object(raw, f"$.{k}")
     bad = F.coalesce(F.try_parse_json(F.col(raw)).isNull() | ~F.ltrim(F.col(raw)).startswith("{"), F.lit(True))
-    out = judges.withColumn("parse_error", bad).withColumns({s: clamp_score(get(s)) for s in SCORES})
-    out = out.withColumn("overall_score", F.least(F.lit(5), clamp_score(get("overall_score"), F.least(*SCORES))))
+    out = judges.withColumn("parse_error", bad).withColumns({s: clamp_score(get(s), text=_is_text(raw, s)) for s in SCORES})
+    out = out.withColumn("overall_score", F.least(F.lit(5), clamp_score(get("overall_score"), F.least(*SCORES), _is_text(raw, "overall_score"))))
     by_score = F.when(F.col("overall_score") >= 4, "pass").when(F.col("overall_score") >= 3, "partial").otherwise("fail")
     out = out.withColumn("verdict", F.when(get("verdict").isin("pass", "partial", "fail"), get("verdict")).otherwise(by_score))
     confidence = F.when(bad, "low").when(get("confidence").isin("low", "medium", "high"), get("confidence")).otherwise("medium")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators import text as T
+from granary.sources.tables import snapshot
 
 FIXED = {"size": 320, "overlap": 60}
 SECTION = {"size": 380, "overlap": 70, "least": 20}
@@ -21,20 +23,51 @@ def _documents(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(first.alias("f")).select("doc_id", "f.file_name", "f.source_path")
 
 
-def fixed_size_chunks(pages: DataFrame, size: int = FIXED["size"], overlap: int = FIXED["overlap"]) -> DataFrame:
-    """Windows of words that run on across pages, without repeated lines. pages has clean_text.
+class Prepared(NamedTuple):
+    """Cleaned pages, their lines (blank ones null) and their repeated lines, each computed once and written."""
 
-    A document's words come together in one row, so a document must fit a task; documents spread freely.
+    pages: DataFrame
+    lines: DataFrame
+    repeated: DataFrame
+
+
+def prepare(pages: DataFrame) -> Prepared:
+    """pages has clean_text; all chunking reads what this writes to the shared folder."""
+    held = snapshot(pages.select("doc_id", "page_num", "file_name", "source_path", "clean_text"), "clean")
+    lines = snapshot(T.lines_of(held.select("doc_id", "page_num", "clean_text"), blanks=True), "lines")
+    return Prepared(held, lines, snapshot(T.repeated_lines(held, lines=lines.filter("line is not null")), "repeated"))
+
+
+def _pieces(lines: DataFrame, keys: list[str], size: int, overlap: int) -> DataFrame:
+    """keys, piece_index, text, word_count and page range of windows of words over the lines of each key.
+
+    A line's running word number says in which windows it takes part and with which words, so a window is put
+    together from its own lines and no document stands in one row.
     """
-    lines = T.without_repeated(T.lines_of(pages.select("doc_id", "page_num", "clean_text")), T.repeated_lines(pages))
-    words = F.filter(F.split("line", r"(?U)\s+"), lambda w: w != "")
-    held = F.array_sort(F.collect_list(F.struct("page_num", "line_no", words.alias("w"))))
-    docs = lines.groupBy("doc_id").agg(held.alias("l")).select("doc_id", F.flatten(F.transform("l", lambda x: F.transform(x["w"], lambda w: F.struct(w.alias("w"), x["page_num"].alias("p"))))).alias("t"))
-    cut = docs.select("doc_id", F.posexplode(T.windows(F.col("t"), size, overlap)).alias("piece_index", "t"))
-    text = F.array_join(F.transform("t", lambda x: x["w"]), " ")
-    page = F.transform("t", lambda x: x["p"])
-    made = cut.select("doc_id", "piece_index", text.alias("text"), F.array_min(page).alias("page_start"), F.array_max(page).alias("page_end"), F.size("t").alias("word_count"))
-    return made.join(_documents(pages), "doc_id").select(
+    stride = max(1, size - overlap)
+    own = Window.partitionBy(*keys)
+    words = lines.withColumn("w", F.split("line", " ")).withColumn("n", F.size("w"))
+    before = F.sum("n").over(own.orderBy("page_num", "line_no").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = words.select(*keys, "page_num", "line_no", "w", "n", before.alias("a"), F.sum("n").over(own).alias("all"))
+    last = F.ceil(F.greatest(F.col("all") - size, F.lit(0)) / stride)
+    low = F.greatest(F.floor((F.col("a") - size) / stride) + 1, F.lit(0))
+    high = F.least(F.floor((F.col("a") + F.col("n") - 1) / stride), last)
+    each = placed.filter(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
+    start = F.greatest(F.col("k") * stride - F.col("a"), F.lit(0))
+    end = F.least(F.col("k") * stride + size - F.col("a"), F.col("n"))
+    cut = F.array_join(F.slice("w", (start + 1).cast("int"), (end - start).cast("int")), " ")
+    part = F.struct("page_num", "line_no", cut.alias("t"))
+    made = each.withColumn("m", end - start).groupBy(*keys, F.col("k").cast("int").alias("piece_index")).agg(
+        F.array_sort(F.collect_list(part)).alias("l"), F.sum("m").cast("int").alias("word_count"), F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
+    return made.withColumn("text", F.array_join(F.transform("l", lambda x: x["t"]), " ")).drop("l")
+
+
+def fixed_size_chunks(pages: DataFrame, size: int = FIXED["size"], overlap: int = FIXED["overlap"], ready: Prepared | None = None) -> DataFrame:
+    """Windows of words that run on across pages, without repeated lines. pages has clean_text; ready is prepare(pages)."""
+    ready = ready or prepare(pages)
+    lines = T.without_repeated(ready.lines.filter("line is not null"), ready.repeated)
+    made = _pieces(lines, ["doc_id"], size, overlap)
+    return made.join(_documents(ready.pages), "doc_id").select(
         F.format_string("%s::fixed::%04d", T.slugify(F.col("doc_id")), "piece_index").alias("chunk_id"),
         "doc_id", "file_name", "source_path", F.lit("fixed_size").alias("strategy"), "text", "page_start", "page_end",
         F.lit("Fixed-size window").alias("section_title"), "word_count", F.length("text").alias("char_count"),
@@ -42,6 +75,7 @@ def fixed_size_chunks(pages: DataFrame, size: int = FIXED["size"], overlap: int
     )
 
 
+#: Patterns of headings (fixed values, here and in the functions below).
 SUBCLAUSE = r"^\d+\.\d+(\.\d+)*\b"
 BULLET = "^[\u2022\\-]"
 
@@ -101,31 +135,29 @@ def _without_edge_numbers(lines: DataFrame) -> DataFrame:
     return lines
 
 
-def _flushed(lines: DataFrame) -> DataFrame:
-    """Sections of lines that carry starts (a new section's heading): title, text and page range."""
+def _numbered(lines: DataFrame) -> DataFrame:
+    """lines that carry starts (a section's heading) with section, the running number of the section."""
     w = Window.partitionBy("doc_id").orderBy("page_num", "line_no")
-    numbered = lines.withColumn("section", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.array_sort(F.collect_list(F.struct("page_num", "line_no", "line", "starts")))
-    found = numbered.groupBy("doc_id", "section").agg(held.alias("l"), F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
-    title = F.when(F.col("l")[0]["starts"], F.col("l")[0]["line"]).otherwise(F.lit("Document Overview"))
-    text = T.strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    return found.select("doc_id", "section", title.alias("section_title"), text.alias("text"), "page_start", "page_end").filter("text <> ''")
+    kept = lines.select("doc_id", "page_num", "line_no", "line", "starts")
+    return kept.withColumn("section", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def numeric_sections(pages: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sections opened by numbered and appendix headings, and (doc_id, major) their number of headings."""
-    cut = pages.select("doc_id", "page_num", T.strip(break_inline_headings(F.coalesce("clean_text", F.lit("")))).alias("clean_text"))
+def numeric_lines(pages: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Lines in sections opened by numbered and appendix headings.
+
+    Only documents with a digit or an appendix can have such headings, so only their pages are read.
+    """
+    may = pages.filter(F.col("clean_text").rlike("(?i)[0-9]|appendix")).select("doc_id").distinct()
+    cut = pages.join(may, "doc_id", "left_semi").select("doc_id", "page_num", T.strip(break_inline_headings(F.coalesce("clean_text", F.lit("")))).alias("clean_text"))
     lines = join_split_headings(_without_edge_numbers(T.without_repeated(T.lines_of(cut), repeated)))
     w = Window.partitionBy("doc_id").orderBy("page_num", "line_no")
     lines = lines.withColumn("line", T.clean_line(F.col("line"))).withColumn("appendix", is_appendix_heading(F.col("line")))
     after = F.coalesce(F.max("appendix").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    lines = lines.withColumn("starts", F.col("appendix") | (~after & is_numeric_heading(F.col("line"))))
-    return _flushed(lines), lines.groupBy("doc_id").agg(F.count_if("starts").alias("major"))
+    return _numbered(lines.withColumn("starts", F.col("appendix") | (~after & is_numeric_heading(F.col("line")))))
 
 
-def fallback_sections(pages: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Sections opened by heading-like lines after a blank or removed line, or at a page's start."""
-    lines = T.lines_of(pages.select("doc_id", "page_num", "clean_text"), blanks=True)
+def fallback_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Lines in sections opened by heading-like lines after a blank or removed line, or at a page's start."""
     marked = lines.join(repeated.withColumn("_rep", F.lit(True)), ["doc_id", "line"], "left")
     marked = marked.withColumn("line", F.when(F.col("_rep").isNull(), F.col("line"))).drop("_rep")
     page = Window.partitionBy("doc_id", "page_num")
@@ -133,34 +165,45 @@ def fallback_sections(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     marked = marked.withColumn("_edge", (F.col("line_no") == F.min(full).over(page)) | (F.col("line_no") == F.max(full).over(page)))
     marked = marked.withColumn("line", F.when(~(F.coalesce("_edge", F.lit(False)) & F.coalesce(F.col("line").rlike(r"^\d{1,4}$"), F.lit(False))), F.col("line"))).drop("_edge")
     before = F.lag(F.col("line").isNull(), 1, True).over(page.orderBy("line_no"))
-    return _flushed(marked.withColumn("_b", before).filter("line is not null").withColumn("starts", F.col("_b") & is_fallback_heading(F.col("line"))))
+    return _numbered(marked.withColumn("_b", before).filter("line is not null").withColumn("starts", F.col("_b") & is_fallback_heading(F.col("line"))))
+
+
+def section_lines(ready: Prepared) -> DataFrame:
+    """Lines with section and whole: numbered sections where a document has two headings or more, else fallback ones,
+    else the whole document, repeated lines kept."""
+    numeric = snapshot(numeric_lines(ready.pages, ready.repeated), "numeric")
+    many = numeric.groupBy("doc_id").agg(F.count_if("starts").alias("major")).filter("major >= 2").select("doc_id")
+    others = ready.lines.join(many, "doc_id", "left_anti")
+    found = snapshot(numeric.join(many, "doc_id", "left_semi").unionByName(fallback_lines(others, ready.repeated)), "sections")
+    none = ready.lines.filter("line is not null").join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    whole = none.select("doc_id", "page_num", "line_no", "line", F.lit(False).alias("starts"), F.lit(0).cast("long").alias("section"))
+    return found.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)))
 
 
-def full_document_sections(pages: DataFrame) -> DataFrame:
-    """Each document as one section, repeated lines kept."""
-    lines = T.lines_of(pages.select("doc_id", "page_num", "clean_text")).withColumn("starts", F.lit(False))
-    return _flushed(lines).withColumn("section_title", F.lit("Full document"))
+def _titles(lines: DataFrame) -> DataFrame:
+    """doc_id, section, section_title and page range of the sections."""
+    first = F.min(F.struct("page_num", "line_no", "starts", "line", "whole")).alias("f")
+    found = lines.groupBy("doc_id", "section").agg(first, F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
+    title = F.when(F.col("f.whole"), "Full document").when(F.col("f.starts"), F.col("f.line")).otherwise("Document Overview")
+    return found.select("doc_id", "section", title.alias("section_title"), "page_start", "page_end")
 
 
-def sections(pages: DataFrame) -> DataFrame:
-    """Numbered sections where a document has two headings or more, else fallback ones, else the whole document."""
-    repeated = T.repeated_lines(pages)
-    numeric, major = numeric_sections(pages, repeated)
-    many = major.filter("major >= 2").select("doc_id")
-    rest = fallback_sections(pages, repeated).join(many, "doc_id", "left_anti")
-    found = numeric.join(many, "doc_id", "left_semi").unionByName(rest)
-    none = pages.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    return found.unionByName(full_document_sections(none))
+def sections(pages: DataFrame, ready: Prepared | None = None) -> DataFrame:
+    """doc_id, section, section_title, text and page range: each section's lines in one text."""
+    lines = section_lines(ready or prepare(pages))
+    held = F.array_sort(F.collect_list(F.struct("page_num", "line_no", "line")))
+    texts = lines.groupBy("doc_id", "section").agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("text"))
+    return _titles(lines).join(texts, ["doc_id", "section"])
 
 
-def structure_aware_chunks(pages: DataFrame, size: int = SECTION["size"], overlap: int = SECTION["overlap"], least: int = SECTION["least"]) -> DataFrame:
-    """Word windows of the sections; short pieces go but keep their index."""
+def structure_aware_chunks(pages: DataFrame, size: int = SECTION["size"], overlap: int = SECTION["overlap"], least: int = SECTION["least"], ready: Prepared | None = None) -> DataFrame:
+    """Word windows of the sections; short pieces go but keep their index. pages has clean_text; ready is prepare(pages)."""
+    ready = ready or prepare(pages)
+    lines = section_lines(ready)
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1
-    words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    cut = sections(pages).withColumn("section_index", order).withColumn("w", words)
-    cut = cut.select("doc_id", "section_index", "section_title", "page_start", "page_end", F.posexplode(T.windows(F.col("w"), size, overlap)).alias("piece_index", "w"))
-    made = cut.withColumn("word_count", F.size("w")).filter(F.col("word_count") >= least).withColumn("text", F.array_join("w", " "))
-    return made.join(_documents(pages), "doc_id").select(
+    titles = _titles(lines).withColumn("section_index", order)
+    cut = _pieces(lines, ["doc_id", "section"], size, overlap).drop("page_start", "page_end").filter(F.col("word_count") >= least)
+    return cut.join(titles, ["doc_id", "section"]).join(_documents(ready.pages), "doc_id").select(
         F.format_string("%s::section::%04d-%02d", T.slugify(F.col("doc_id")), "section_index", "piece_index").alias("chunk_id"),
         "doc_id", "file_name", "source_path", F.lit("structure_aware").alias("strategy"), "text", "page_start", "page_end",
         "section_title", "word_count", F.length("text").alias("char_count"), "section_index", "piece_index",
@@ -209,5 +252,6 @@ def embed(chunks: DataFrame, batch_function: Callable[[list[str]], list[list[flo
 
 def ingest(pages: DataFrame, old: DataFrame | None = None, force: bool = False) -> DataFrame:
     """Chunks of both strategies from pages cleaned once; merged into old unless force starts anew."""
-    made = fixed_size_chunks(pages).unionByName(structure_aware_chunks(pages))
+    ready = prepare(pages)
+    made = fixed_size_chunks(pages, ready=ready).unionByName(structure_aware_chunks(pages, ready=ready))
     return made if force or old is None else upsert(old, made, ["doc_id", "strategy", "section_index", "piece_index"])

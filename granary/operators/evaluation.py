@@ -115,6 +115,30 @@ def question_metrics(questions: DataFrame, matched: DataFrame, gold: DataFrame,
     )
 
 
+def ranked_hits(matched: DataFrame, gold: DataFrame, k: int, chars: int = 600) -> DataFrame:
+    """The first k hits per (id, strategy) as evaluation rows: relevant, the gold source as it was written, an excerpt."""
+    raw = gold.select("id", F.col("pos").alias("matched_pos"), F.col("raw").alias("_raw"))
+    top = matched.filter(F.col("rank") <= k).join(raw, ["id", "matched_pos"], "left")
+    given = [c for c in ("section_title", "page_start", "page_end", "score", "vector_score", "metadata_boost") if c in matched.columns]
+    source = F.coalesce(F.nullif(F.col("source_strategy"), F.lit("")), "strategy") if "source_strategy" in matched.columns else F.col("strategy")
+    return top.select(
+        "id", "strategy", "rank", "chunk_id", "file_name", "source_path", *given, source.alias("source_strategy"), F.col("matched_norm").isNotNull().alias("relevant"),
+        F.coalesce("_raw", F.lit("")).alias("matched_gold_source"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text_excerpt"),
+    )
+
+
+def full_audit(items: DataFrame, results: DataFrame, metrics: DataFrame, hits: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """One row per item and strategy: its result, metrics and ranked hits (a list of at most k), and the item's comparison.
+
+    results (id, strategy, ...) are compact_results with id for question_id, comparisons (id, comparison); an item
+    without one has a null comparison.
+    """
+    row = F.struct(*[c for c in hits.columns if c not in ("id", "strategy")])
+    lists = hits.groupBy("id", "strategy").agg(F.array_sort(F.collect_list(row)).alias("hits"))
+    both = results.join(metrics, ["id", "strategy"]).join(lists, ["id", "strategy"], "left")
+    return items.join(both, "id").join(comparisons, "id", "left")
+
+
 def macro_summary(metrics: DataFrame, membership: DataFrame) -> DataFrame:
     """Means per subset and strategy; membership (id, subsets) may name several subsets an item."""
     each = metrics.join(membership.select("id", F.explode("subsets").alias("subset")), "id").filter("precision_at_k is not null")
@@ -131,11 +155,16 @@ def confusion(summary: DataFrame) -> DataFrame:
     return out.withColumn("source_micro_f1", f1(F.col("source_micro_precision"), F.col("source_micro_recall")))
 
 
+#: Quotation marks of UTF-8 read as Windows-1252, and what they stand for (fixed values).
+MISREAD = [("\u00e2\u20ac\u2122", "'"), ("\u00e2\u20ac\u0153", '"'), ("\u00e2\u20ac\u009d", '"')]
+
+
 def plain_text(c: Column) -> Column:
-    """Lower-case with plain quotes, dashes and single spaces."""
-    for bad, good in (("\u2019", "'"), ("\u2018", "'"), ("\u201c", '"'), ("\u201d", '"'), ("\u2013", "-"), ("\u2014", "-"), ("\u00a0", " ")):
+    """Lower-case with misread quotation marks mended and single spaces; real marks and spaces at the ends stay."""
+    c = F.lower(F.coalesce(c, F.lit("")))
+    for bad, good in MISREAD:
         c = F.replace(c, F.lit(bad), F.lit(good))
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
 def group_coverage(text: Column, groups: Column) -> tuple[Column, Column]:

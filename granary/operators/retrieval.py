@@ -41,8 +41,11 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     joined = each.join(packed, "block").select("strategy", "qs", "vs")
     qid, cid = questions.schema["question_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
 
-    def unit(rows: list) -> np.ndarray:
-        m = np.array([r["embedding"] for r in rows], dtype=float)
+    def unit(rows: list, width: int) -> np.ndarray:
+        m = np.full((len(rows), width), np.nan)
+        for at, r in enumerate(rows):
+            if len(r["embedding"]) == width:
+                m[at] = r["embedding"]
         size = np.sqrt((m * m).sum(1, keepdims=True))
         return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
 
@@ -50,9 +53,17 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         for f in frames:
             for strategy, qs, vs in zip(f["strategy"], f["qs"], f["vs"]):
                 vs = sorted(vs, key=lambda r: r["chunk_id"])
-                distance = 1 - unit(qs) @ unit(vs).T
-                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                rows = [(q["question_id"], strategy, vs[j]["chunk_id"], distance[i, j]) for i, q in enumerate(qs) for j in best[i] if distance[i, j] == distance[i, j]]
+                rows = []
+                for width in sorted({len(q["embedding"]) for q in qs}):
+                    same = [q for q in qs if len(q["embedding"]) == width]
+                    distance = 1 - unit(same, width) @ unit(vs, width).T
+                    distance[np.isnan(distance)] = np.inf
+                    # the k-th smallest bounds the few that need sorting; ties at the bound stay in
+                    bound = np.partition(distance, min(k, len(vs)) - 1, axis=1)[:, min(k, len(vs)) - 1]
+                    for q, own, most in zip(same, distance, bound):
+                        few = np.flatnonzero(own <= most)
+                        best = few[np.argsort(own[few], kind="stable")[:k]]
+                        rows += [(q["question_id"], strategy, vs[j]["chunk_id"], own[j]) for j in best if own[j] < np.inf]
                 yield pd.DataFrame(rows, columns=["question_id", "strategy", "chunk_id", "distance"])
 
     found = joined.mapInPandas(search, f"question_id {qid}, strategy string, chunk_id {cid}, distance double")

@@ -15,8 +15,12 @@ def once(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+#: All characters of white space (fixed values).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 @F.pandas_udf(StringType())
@@ -30,7 +34,7 @@ def replace_unknown(c: Column) -> Column:
 
 
 def join_hyphenated(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)(\w)-\n(\w)", "$1$2")
+    return F.when(F.contains(c, F.lit("-\n")), F.regexp_replace(c, r"(?U)(\w)-\n(\w)", "$1$2")).otherwise(c)
 
 
 def tidy_newlines(c: Column) -> Column:
@@ -53,14 +57,17 @@ def is_bare_number(line: Column) -> Column:
 
 def drop_page_labels(c: Column, window: int = 3) -> Column:
     """Without page labels anywhere and without bare numbers among the first and last non-blank lines."""
+    # what a line is, found once for each: blank, a label, a bare number or anything else
+    kind = lambda s: F.when(s == "", 0).when(is_page_label(s), 1).when(is_bare_number(s), 2).otherwise(3)
+
     def kept(ranked: Column) -> Column:
-        full = F.transform(F.filter(ranked, lambda r: strip(r["x"]) != ""), lambda r: r["i"])
+        full = F.transform(F.filter(ranked, lambda r: r["k"] != 0), lambda r: r["i"])
         edges = F.concat(F.slice(full, 1, window), F.slice(F.reverse(full), 1, window))
-        keep = lambda edge: lambda r: (strip(r["x"]) == "") | ~(is_page_label(r["x"]) | (is_bare_number(r["x"]) & F.array_contains(edge, r["i"])))
+        keep = lambda edge: lambda r: r["k"].isin(0, 3) | ((r["k"] == 2) & ~F.array_contains(edge, r["i"]))
         return once(edges, lambda edge: F.array_join(F.transform(F.filter(ranked, keep(edge)), lambda r: r["x"]), "\n"))
 
     lines = F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n", -1)
-    return strip(once(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), kept))
+    return strip(once(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"), once(strip(x), kind).alias("k"))), kept))
 
 
 def basic_clean(c: Column) -> Column:
@@ -77,7 +84,8 @@ def with_clean(df: DataFrame, text: str, out: str, normalize: bool = True) -> Da
 
 def clean_line(c: Column) -> Column:
     """One line: plain spaces, no zero-width marks, single spaces, '1 .' as '1.', '1.X' as '1. X'; null as empty."""
-    c = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\u00a0", " "), r"[\u200B-\u200D\uFEFF]", "")
+    # the first character becomes a space, the others go
+    c = F.translate(F.coalesce(c, F.lit("")), "\u00a0\u200b\u200c\u200d\ufeff", " ")
     c = F.regexp_replace(strip(c), r"(?U)\s+", " ")
     return F.regexp_replace(F.regexp_replace(c, r"^(\d+)\s+\.", "$1."), r"^(\d+)\.([A-Za-z(\[])", "$1. $2")
 
@@ -100,14 +108,15 @@ def clean_pages(pages: DataFrame, normalize: bool = True) -> DataFrame:
     return with_clean(pages.withColumn("likely_scanned", looks_scanned(F.col("text"))), "text", "clean_text", normalize)
 
 
-def repeated_lines(pages: DataFrame, share: float = 0.4, longest: int = 120) -> DataFrame:
+def repeated_lines(pages: DataFrame, share: float = 0.4, longest: int = 120, lines: DataFrame | None = None) -> DataFrame:
     """(doc_id, line): lines on at least max(2, share of the pages) pages of their document.
 
     Lines over longest characters and lone list marks are exempt, as are documents of one page. Both aggregations
-    combine before their shuffle; a page counts a line once.
+    combine before their shuffle; a page counts a line once. lines are lines_of(pages), if they are there already.
     """
     count = pages.groupBy("doc_id").agg(F.count_distinct("page_num").alias("n")).filter("n > 1")
-    lines = lines_of(pages).filter((F.length("line") <= longest) & ~F.col("line").rlike(r"^(\d+\.|[a-zA-Z]\))$"))
+    lines = lines_of(pages) if lines is None else lines
+    lines = lines.filter((F.length("line") <= longest) & ~F.col("line").rlike(r"^(\d+\.|[a-zA-Z]\))$"))
     seen = lines.select("doc_id", "page_num", "line").distinct().groupBy("doc_id", "line").agg(F.count("*").alias("k"))
     least = F.greatest(F.lit(2), F.floor(F.col("n") * share))
     return seen.join(count, "doc_id").filter(F.col("k") >= least).select("doc_id", "line")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import accumulate
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -13,50 +15,67 @@ from granary.operators import text as T
 from granary.sources.tables import snapshot
 
 #: Tags whose text is not read, tags that break lines, and endings of files that are not pages (fixed values).
-SKIPPED = set("button canvas footer form header nav noscript script select style svg".split())
-BREAKS = set(
-    "article aside blockquote br dd div dl dt figcaption h1 h2 h3 h4 h5 h6 li main nav ol p section table td th tr ul".split()
-)
-NOT_PAGES = "avi css csv doc docx gif ico jpeg jpg js json mp3 mp4 pdf png svg webp xls xlsx zip".split()
+SKIPPED = ["button", "canvas", "footer", "form", "header", "nav", "noscript", "script", "select", "style", "svg"]
+BREAKS = [
+    "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "li", "main", "nav", "ol", "p",
+    "section", "table", "td", "th", "tr", "ul",
+]
+NOT_PAGES = [
+    "avi", "css", "csv", "doc", "docx", "gif", "ico", "jpeg", "jpg", "js", "json", "mp3", "mp4", "pdf", "png", "svg", "webp", "xls", "xlsx", "zip",
+]
 
 
-class _Reader(HTMLParser):
-    """Text with line breaks, the title, and links, which count inside skipped tags too."""
+class Token(NamedTuple):
+    kind: str  # open, close or text
+    value: str
+    href: str | None = None
 
-    def __init__(self, base: str):
-        super().__init__(convert_charrefs=True)
-        self.base, self.in_title = base, False
-        self.open: list[str] = []
-        self.parts: list[str] = []
-        self.title: list[str] = []
-        self.links: list[str] = []
 
-    def _break(self, tag: str) -> None:
-        if tag in BREAKS:
-            self.parts.append("\n")
+class _Tokens(HTMLParser):
+    """The page as a list of tokens, character references decoded."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[Token] = []
+        self.handle_data = lambda data: self.found.append(Token("text", data.strip()))
+        self.handle_endtag = lambda tag: self.found.append(Token("close", tag))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SKIPPED:
-            self.open.append(tag)
-            return
-        self.in_title |= tag == "title"
-        if tag == "a" and (target := dict(attrs).get("href")):
-            self.links.append(urljoin(self.base, target))
-        self._break(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.open[-1:] == [tag]:
-            self.open.pop()
-        else:
-            self.in_title &= tag != "title"
-            self._break(tag)
-
-    def handle_data(self, data: str) -> None:
-        if not self.open and (words := data.strip()):
-            if self.in_title:
-                self.title.append(words)
-            else:
-                self.parts += [words, " "]
+        self.found.append(Token("open", tag, dict(attrs).get("href") if tag == "a" else None))
+
+
+def _tokens(source: str) -> list[Token]:
+    parser = _Tokens()
+    try:
+        parser.feed(source)
+        parser.close()
+    except (ValueError, AssertionError):
+        pass  # what was read before the fault counts
+    return parser.found
+
+
+def _after(state: tuple[tuple[str, ...], bool], token: Token) -> tuple[tuple[str, ...], bool]:
+    """(open skipped tags, whether a title is open) once the token is read."""
+    skipped, title = state
+    if token.kind == "open" and token.value in SKIPPED:
+        return (*skipped, token.value), title
+    if token.kind == "close" and skipped[-1:] == (token.value,):
+        return skipped[:-1], title
+    return skipped, token.kind == "open" if token.kind != "text" and token.value == "title" else title
+
+
+def page_parts(source: str, base: str) -> tuple[str, str, list[str]]:
+    """(title, text with line breaks, absolute links) of a page; links count inside skipped tags too."""
+    tokens = _tokens(source)
+    states = list(accumulate(tokens, _after, initial=((), False)))
+    title, text = [], []
+    for token, (before, _), (skipped, in_title) in zip(tokens, states, states[1:]):
+        if token.kind != "text":
+            # a tag that opens or closes a skipped part breaks no line
+            text += ["\n"] * (token.value in BREAKS and before == skipped)
+        elif token.value and not skipped:
+            (title if in_title else text).append(token.value if in_title else f"{token.value} ")
+    return " ".join(title), "".join(text), [urljoin(base, t.href) for t in tokens if t.href and t.kind == "open"]
 
 
 def read_html(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -67,13 +86,7 @@ def read_html(pages: DataFrame, key: str = "page_id", url: str = "url", source:
         for f in frames:
             rows = []
             for k, u, h in zip(f[key], f[url], f[source]):
-                reader = _Reader(u or "")
-                try:
-                    reader.feed(h or "")
-                    reader.close()
-                except (ValueError, AssertionError):
-                    pass
-                rows.append((k, u, " ".join(reader.title), "".join(reader.parts), reader.links))
+                rows.append((k, u, *page_parts(h or "", u or "")))
             yield pd.DataFrame(rows, columns=[key, url, "title", "raw_text", "links"])
 
     return pages.select(key, url, source).mapInPandas(run, f"`{key}` {kind}, `{url}` string, title string, raw_text string, links array<string>")
@@ -122,11 +135,16 @@ def skip_reason(url: Column, domains: list[str], include: list[str] | None = Non
 
 
 def robots_allow(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """Adds allowed: by the first rule (host, agent, ord, prefix, allow) whose prefix fits the path.
+    """Adds allowed: by the first rule (host, agent, ord, prefix, allow) of the agent's group whose prefix fits the path.
 
+    The group named * counts for hosts that have none for the agent.
     A host without any rule row is unreadable and denied; one whose rules don't fit is allowed.
     """
-    own = rules.filter(F.col("agent").isin(agent, "*")).select(F.col("host").alias("_host"), "ord", "prefix", "allow")
+    group = F.when(F.col("agent") == agent, 0).when(F.col("agent") == "*", 1)
+    each = rules.withColumn("_g", group).filter("_g is not null")
+    # an agent's own group counts alone where the host has one
+    best = each.groupBy("host").agg(F.min("_g").alias("_best"))
+    own = each.join(best, "host").filter("_g = _best").select(F.col("host").alias("_host"), "ord", "prefix", "allow")
     keyed = urls.withColumn("_host", host_of(F.col("url")))
     fits = F.startswith(F.coalesce(F.nullif(path_of(F.col("url")), F.lit("")), F.lit("/")), F.col("prefix"))
     first = keyed.join(own, "_host").filter(fits).groupBy("url").agg(F.min_by("allow", "ord").alias("_rule"))
@@ -183,7 +201,8 @@ def crawl(seeds: DataFrame, fetched: DataFrame, edges: DataFrame, domains: list[
     """(url, depth, ord, reason): pages visited breadth-first over fetched pages, in order, null reason if kept.
 
     seeds (url, pos), fetched (url, words; null words means the fetch failed), edges (src, dst, pos), rules those of
-    robots_allow; without them no URL is blocked. Each level is one join and one anti-join; levels end at max_depth, or
+    robots_allow; without them no URL is blocked. Links that skip_reason names are not queued; seeds are, and get their
+    reason. Each level is one join and one anti-join; levels end at max_depth, or
     when max_pages pages were kept, if that is given.
     """
     level = first_urls(seeds.select(canonical_url(F.col("url")).alias("url"), "pos").filter("url <> ''")).select("url", F.lit(0).alias("depth"), "pos")
@@ -202,8 +221,10 @@ def crawl(seeds: DataFrame, fetched: DataFrame, edges: DataFrame, domains: list[
             judged = judged.filter(F.col("_k") - F.col("reason").isNull().cast("int") < max_pages - before)
         judged = snapshot(judged.select("url", "depth", F.col("_n").alias("ord"), "reason"), "frontier")
         done = judged if done is None else done.unionByName(judged)
-        parents = judged.filter("reason is null").select(F.col("url").alias("src"), "ord")
+        # pages with little text were fetched: they are not kept, but their links are followed
+        parents = judged.filter("reason is null or reason = 'too_little_text'").select(F.col("url").alias("src"), "ord")
         links = parents.join(edges, "src").select(canonical_url(F.col("dst")).alias("url"), F.struct("ord", "pos").alias("at")).filter("url <> ''")
+        links = links.filter(skip_reason(F.col("url"), domains, include, exclude).isNull())
         nxt = links.groupBy("url").agg(F.min("at").alias("at")).join(done.select("url").distinct(), "url", "left_anti")
         level = nxt.select("url", F.lit(depth + 1).alias("depth"), (F.col("at.ord").cast("long") * F.lit(10**9) + F.col("at.pos")).alias("pos"))
         level = snapshot(level, "level")
@@ -212,14 +233,48 @@ def crawl(seeds: DataFrame, fetched: DataFrame, edges: DataFrame, domains: list[
     return done
 
 
-def sitemap_urls(documents: DataFrame) -> DataFrame:
-    """(source, url, is_sitemap) from sitemap XML and robots texts (source, body)."""
+def sitemap_urls(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(source, at, url, is_sitemap) from sitemap XML and robots texts (source, body), at being the place in the text; keep
+    names further columns to keep."""
     locs = F.regexp_extract_all("body", F.lit(r"(?s)<(?:\w+:)?loc>\s*(.*?)\s*</(?:\w+:)?loc>"))
     robots = F.transform(F.filter(F.split("body", "\r?\n"), lambda x: x.rlike("(?i)^\\s*sitemap:")), lambda x: F.trim(F.regexp_replace(x, "(?i)^\\s*sitemap:", "")))
-    each = documents.select("source", F.explode(F.concat(locs, robots)).alias("url"))
+    each = documents.select("source", *(keep or []), F.posexplode(F.concat(locs, robots)).alias("at", "url"))
     return each.withColumn("is_sitemap", F.lower(path_of(F.col("url"))).endswith(".xml"))
 
 
+def expand_sitemaps(sitemaps: DataFrame, documents: DataFrame, domains: list[str], most: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, visited): pages (url, pos) that sitemaps list, and visited (url, depth, pos, reason) sitemaps.
+
+    sitemaps (url, pos) are read from documents (source, body), fetched before; what they list goes level by level,
+    each level a join and an anti-join. A sitemap outside domains or without a document has a reason. Pages are
+    canonical, within domains and path filters, each at its first place; most, if given, keeps the first so many.
+    """
+    body = documents.select(F.col("source").alias("url"), "body")
+    level = snapshot(first_urls(sitemaps).withColumn("depth", F.lit(0)), "sitemaps")
+    visited = pages = None
+    while not level.isEmpty():
+        depth = level.select("depth").first()[0]
+        judged = level.join(body, "url", "left")
+        reason = F.when(~domain_allowed(F.col("url"), domains), "sitemap_outside_allowed_domains").when(F.col("body").isNull(), "fetch_error")
+        judged = numbered(judged.select("url", "depth", "pos", reason.alias("reason")), ["pos", "url"], F.lit(True))
+        judged = snapshot(judged.select("url", "depth", F.col("_n").alias("pos"), "reason"), "sitemaps")
+        visited = judged if visited is None else visited.unionByName(judged)
+        read = judged.filter("reason is null").join(body, "url").select(F.col("url").alias("source"), "pos", "body")
+        place = F.struct(F.lit(depth).alias("depth"), "pos", "at")
+        found = snapshot(sitemap_urls(read, ["pos"]).select(place.alias("place"), "url", "is_sitemap"), "listed")
+        listed = found.filter("not is_sitemap").select(canonical_url(F.col("url")).alias("url"), "place")
+        listed = listed.filter((F.col("url") != "") & skip_reason(F.col("url"), domains, include, exclude).isNull())
+        pages = listed if pages is None else pages.unionByName(listed)
+        below = found.filter("is_sitemap").groupBy("url").agg(F.min("place").alias("place")).join(visited.select("url"), "url", "left_anti")
+        order = F.col("place.pos") * F.lit(10**9) + F.col("place.at")
+        level = snapshot(below.select("url", order.alias("pos"), F.lit(depth + 1).alias("depth")), "sitemaps")
+    if pages is None:
+        empty = first_urls(sitemaps).limit(0)
+        return empty, empty.select("url", F.lit(0).alias("depth"), "pos", F.lit("").alias("reason"))
+    pages = numbered(pages.groupBy("url").agg(F.min("place").alias("place")), ["place", "url"], F.lit(True)).select("url", F.col("_n").alias("pos"))
+    return (pages if most is None else pages.filter(F.col("pos") <= most)), visited
+
+
 def plain_words(c: Column) -> Column:
     """Lower-case letters a-z and digits, everything else as single spaces."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))

@@ -75,20 +75,20 @@ def clean_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {PAGES} select doc_id, line from repeated")
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
-    return T.repeated_lines(cleaned(spark, d))
+    return C.prepare(cleaned(spark, d)).repeated
 
 
 @query(f"with {PAGES} select doc_id, page_num, line_no::int as line_no, line from lines anti join repeated using (doc_id, line)")
 def lines_without_repeated(spark: SparkSession, d: str) -> DataFrame:
-    pages = cleaned(spark, d)
-    kept = T.without_repeated(T.lines_of(pages.select("doc_id", "page_num", "clean_text")), T.repeated_lines(pages))
+    ready = C.prepare(cleaned(spark, d))
+    kept = T.without_repeated(ready.lines.filter("line is not null"), ready.repeated)
     return kept.select("doc_id", "page_num", "line_no", "line")
 
 
-@query(f"""select doc_id, len(regexp_extract_all(text, '\\S+'))::int as words, length(text)::int as chars, {SLUG.format("left(text, 300)")} as slug from documents""")
+@query(f"""select doc_id, len(regexp_extract_all(text, '\\S+'))::int as words, length(text)::int as chars, {SLUG.format("text")} as slug from documents""")
 def text_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = t(spark, d, "documents")
-    return docs.select("doc_id", T.word_count(F.col("text")).alias("words"), F.length("text").alias("chars"), T.slugify(F.substring("text", 1, 300)).alias("slug"))
+    return docs.select("doc_id", T.word_count(F.col("text")).alias("words"), F.length("text").alias("chars"), T.slugify(F.col("text")).alias("slug"))
 
 
 # --- chunks ---------------------------------------------------------------------------------------------------

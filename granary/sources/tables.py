@@ -20,15 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _OWN: dict[str, str] = {}
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, else one folder of the session's own: a temporary one where driver and tasks are one process."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if app not in _OWN:
+        one = master == "local" or master.startswith("local[")
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-granary-") if one else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/granary_scratch"
+    return _OWN[app]
+
+
 def snapshot(df: DataFrame, name: str) -> DataFrame:
-    """df written to the session's shared checkpoint folder and read again, which cuts its lineage."""
+    """df written to the session's shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        local = spark.sparkContext.master.startswith("local")
-        own = tempfile.mkdtemp(prefix="spark-granary-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/granary_scratch"
-        folder = _OWN.setdefault(spark.sparkContext.applicationId, own)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from granary.operators.analytics import GATE
 
+LOG = logging.getLogger(__name__)
 DECISION = "id long, user_id long, session_id long, ts timestamp, show boolean, reason string, query_count long"
 #: A gate's counts and last prompt as JSON; Python state rows hold no maps.
 STATE = "state string"
@@ -33,8 +35,12 @@ class Gate:
         queries, prompts, last = json.loads(text)
         return Gate(settings, dict(queries), dict(prompts), last and datetime.fromisoformat(last))
 
-    def decide(self, session: int, ts, score: float | None, reviewed: bool) -> tuple[bool, str, int]:
-        n = self.queries[session] = self.queries.get(session, 0) + 1
+    def decide(self, session: int | None, ts, score: float | None, reviewed: bool) -> tuple[bool, str, int]:
+        """An event without a session is counted among all of the user's, and has no session limit."""
+        self.queries[None] = self.queries.get(None, 0) + 1
+        if session is not None:
+            self.queries[session] = self.queries.get(session, 0) + 1
+        n = self.queries[session]
         if not self.s["enabled"]:
             return False, "disabled", n
         if reviewed:
@@ -46,7 +52,7 @@ class Gate:
         return *self.decide_due(session, ts, every, low), n
 
     def decide_due(self, session: int | None, ts, every: bool, low: bool) -> tuple[bool, str]:
-        if 0 < self.s["max_per_session"] <= self.prompts.get(session, 0):
+        if session is not None and 0 < self.s["max_per_session"] <= self.prompts.get(session, 0):
             return False, "session_limit"
         if self.s["cooldown_minutes"] > 0 and self.last is not None and ts - self.last < timedelta(minutes=self.s["cooldown_minutes"]):
             return False, "cooldown"
@@ -56,7 +62,7 @@ class Gate:
 
     def rows(self, events: pd.DataFrame) -> pd.DataFrame:
         events = events.sort_values(["ts", "id"])
-        out = [self.decide(int(s), t.to_pydatetime(), c, bool(r)) for s, t, c, r in zip(events["session_id"], events["ts"], events["score"], events["reviewed"])]
+        out = [self.decide(None if pd.isna(s) else int(s), t.to_pydatetime(), c, bool(r)) for s, t, c, r in zip(events["session_id"], events["ts"], events["score"], events["reviewed"])]
         made = pd.DataFrame(out, columns=["show", "reason", "query_count"])
         return pd.concat([events[["id", "user_id", "session_id", "ts"]].reset_index(drop=True), made], axis=1)
 
@@ -69,7 +75,8 @@ def review_gate(events: DataFrame, settings: dict) -> DataFrame:
     """
     s = GATE | settings
     order = [F.asc_nulls_last("ts"), F.asc("id")]
-    counted = events.withColumn("query_count", F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy(*order)).cast("long"))
+    of_user, of_session = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) for keys in (["user_id"], ["user_id", "session_id"]))
+    counted = events.withColumn("query_count", F.when(F.col("session_id").isNull(), of_user).otherwise(of_session).cast("long"))
     every = (F.col("query_count") % s["interval"] == 0) if s["interval"] > 0 else F.lit(False)
     low = F.coalesce(~F.isnan(F.col("score").cast("double")) & (F.col("score") <= s["threshold"]), F.lit(False))
     known = F.lit("disabled") if not s["enabled"] else F.when(F.col("reviewed"), "already_reviewed").when(~(every | low), "not_due")
@@ -118,26 +125,45 @@ def review_gate_stream(events: DataFrame, settings: dict) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(GateProcessor(settings), DECISION, "Append", "None")
 
 
-def mirror(events: DataFrame, kind: str, payload: list[str], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Sends event envelopes to sink; a failing sink is logged by name of the batch and does not stop the stream."""
+def mirror(events: DataFrame, kind: str, payload: list[str], sink: Callable[[DataFrame, int], None], checkpoint: str, failed: str | None = None) -> StreamingQuery:
+    """Sends event envelopes to sink; a failing sink is logged and does not stop the stream.
+
+    Batches that failed are kept under the folder failed, if it is given, to be sent again.
+    """
     from granary.sources.tables import envelope
 
     def send(batch: DataFrame, number: int) -> None:
         try:
             sink(batch, number)
         except Exception as e:  # the mirror never breaks the flow it copies
-            print(f"mirror: batch {number} failed: {e}")
+            LOG.warning("mirror: batch %s failed: %s", number, e)
+            if failed:
+                batch.write.mode("overwrite").parquet(f"{failed}/batch={number}")
 
     return envelope(events, kind, payload).writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).start()
 
 
 def ingest_stream(pages: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Chunks of newly arrived pages, a snapshot folder per batch: store/version=N. A replay rewrites its own version."""
-    from granary.operators.chunking import ingest
+    """Chunks of newly arrived pages merged into the last version; a batch writes store/pages and store/chunks, version=N.
+
+    A document that arrives in parts is chunked anew from all its pages so far. Versions are kept whole, so a replayed
+    batch starts from the version before its own and rewrites its own.
+    """
+    from granary.operators.chunking import ingest, upsert
     from granary.operators.text import clean_pages
 
     def step(batch: DataFrame, number: int) -> None:
-        ingest(clean_pages(batch), force=True).write.mode("overwrite").parquet(f"{store}/version={number + 1}")
+        spark = batch.sparkSession
+        new, old_chunks = clean_pages(batch), None
+        if number:
+            old_chunks = spark.read.parquet(f"{store}/chunks/version={number}")
+            new = upsert(spark.read.parquet(f"{store}/pages/version={number}"), new, ["doc_id", "page_num"])
+        new.write.mode("overwrite").parquet(f"{store}/pages/version={number + 1}")
+        touched = spark.read.parquet(f"{store}/pages/version={number + 1}").join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
+        made = ingest(touched, force=True)
+        if old_chunks is not None:
+            made = old_chunks.join(batch.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(made)
+        made.write.mode("overwrite").parquet(f"{store}/chunks/version={number + 1}")
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 

@@ -1,7 +1,6 @@
 """Hand-made cases: chunking, headings, web pages, judges, the review gate, evaluation arithmetic."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,51 +19,61 @@ def pages(spark, rows):
     return spark.createDataFrame([(d, f"{d}.pdf", f"/{d}", n, x, x) for d, n, x in rows], "doc_id string, file_name string, source_path string, page_num int, text string, clean_text string")
 
 
-def test_fixed_windows_overlap(spark):
-    got = C.fixed_size_chunks(pages(spark, [("a", 1, " ".join(f"word{i}" for i in range(120)))]), 50, 10).orderBy("piece_index").collect()
-    assert [r.word_count for r in got] == [50, 50, 40]
-    assert got[0].text.split()[-10:] == got[1].text.split()[:10]
-    assert got[0].chunk_id == "a::fixed::0000"
-
-
-def test_numeric_sections(spark):
-    text = "1. PURPOSE\n" + " ".join(["purpose"] * 30) + "\n2. SCOPE\n" + " ".join(["scope"] * 30)
-    got = {r.section_title for r in C.structure_aware_chunks(pages(spark, [("a", 1, text)]), 80, 10, 1).collect()}
-    assert {"1. PURPOSE", "2. SCOPE"} <= got
-
-
-def test_appendix_ends_numbering(spark):
-    text = "1. One\nx\n2. Two\ny\nAppendix A\nz\n3. Three\nw"
-    got = [r.section_title for r in C.sections(pages(spark, [("a", 1, text)])).orderBy("section").collect()]
-    assert got == ["1. One", "2. Two", "Appendix A"]
-
-
-def greedy_join(lines):
-    def title(v):
-        return bool(re.match(r"^[A-Z(\[]", v))
-
-    out, i = [], 0
-    while i < len(lines):
-        a = lines[i]
-        if re.fullmatch(r"\d+", a) and i + 2 < len(lines) and lines[i + 1] == "." and title(lines[i + 2]):
-            out.append(f"{a}. {lines[i + 2]}")
-            i += 3
-        elif re.fullmatch(r"\d+\.?", a) and i + 1 < len(lines) and title(lines[i + 1]):
-            out.append(f"{a.rstrip('.')}. {lines[i + 1]}")
-            i += 2
-        else:
-            out.append(a)
-            i += 1
-    return out
-
-
-def test_split_headings_equal_a_scan(spark):
-    rng = random.Random(3)
-    cases = {n: [rng.choice(["1", "2.", ".", "Title", "(a", "text", "10.1", "7"]) for _ in range(rng.randrange(1, 9))] for n in range(200)}
-    rows = [("d", n, k, x) for n, c in cases.items() for k, x in enumerate(c)]
+def test_fixed_windows_run_on_over_lines_and_pages(spark):
+    rows = [("a", 1, "p q r\ns t"), ("a", 2, "u\nv w x y"), ("b", 1, "only"), ("c", 1, " \n")]
+    got = C.fixed_size_chunks(pages(spark, rows), 4, 1).orderBy("doc_id", "piece_index").collect()
+    assert [(r.chunk_id, r.text, r.page_start, r.page_end, r.word_count) for r in got] == [
+        ("a::fixed::0000", "p q r s", 1, 1, 4), ("a::fixed::0001", "s t u v", 1, 2, 4), ("a::fixed::0002", "v w x y", 2, 2, 4), ("b::fixed::0000", "only", 1, 1, 1),
+    ]
+
+
+def test_windows_equal_slices_of_all_words(spark):
+    rng = random.Random(9)
+    docs = {f"d{k}": [[rng.randrange(99) for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(1, 12))] for k in range(20)}
+    rows = [(d, n // 3 + 1, " ".join(f"w{x}" for x in line)) for d, ls in docs.items() for n, line in enumerate(ls)]
+    lines = spark.createDataFrame([(d, p, k, x) for k, (d, p, x) in enumerate(rows)], "doc_id string, page_num int, line_no int, line string")
+    for size, overlap in ((5, 2), (7, 0), (3, 9)):
+        step, want = max(1, size - overlap), set()
+        for d, ls in docs.items():
+            words = [f"w{x}" for line in ls for x in line]
+            for k in range(-(-max(len(words) - size, 0) // step) + 1):
+                want.add((d, k, " ".join(words[k * step : k * step + size])))
+        assert {(r.doc_id, r.piece_index, r.text) for r in C._pieces(lines, ["doc_id"], size, overlap).collect()} == want
+
+
+def test_numbered_headings_open_sections(spark):
+    text = "before\n1. First part\nalpha beta\n2. Second part\ngamma\n2.1 not a section\nAppendix B\ndelta\n3. no longer one"
+    got = C.sections(pages(spark, [("a", 1, text)])).orderBy("section").collect()
+    assert [(r.section_title, r.text) for r in got] == [
+        ("Document Overview", "before"), ("1. First part", "1. First part\nalpha beta"), ("2. Second part", "2. Second part\ngamma\n2.1 not a section"),
+        ("Appendix B", "Appendix B\ndelta\n3. no longer one"),
+    ]
+    chunks = C.structure_aware_chunks(pages(spark, [("a", 1, text)]), 3, 1, 2).orderBy("section_index", "piece_index").collect()
+    assert [(r.section_index, r.piece_index, r.text) for r in chunks][:3] == [(1, 0, "1. First part"), (1, 1, "part alpha beta"), (2, 0, "2. Second part")]
+
+
+def test_inline_headings_are_broken(spark):
+    df = spark.createDataFrame([("the end. 2. Next part",), ("(see x] 12 Fees apply",), ("word 3. Scope of it",), ("version 3. scope",)], "t string")
+    assert [r[0] for r in df.select(C.break_inline_headings(F.col("t"))).collect()] == ["the end.\n2. Next part", "(see x]\n12 Fees apply", "word\n3. Scope of it", "version 3. scope"]
+
+
+SPLIT_HEADINGS = [
+    (["1", ".", "Title", "text"], ["1. Title", "text"]),
+    (["2.", "Title", "3", "Other"], ["2. Title", "3. Other"]),
+    (["1", ".", "lower"], ["1", ".", "lower"]),
+    (["1", "2.", "Title"], ["1", "2. Title"]),
+    (["7", "(a)", "(b)"], ["7. (a)", "(b)"]),
+    (["10.1", "Title"], ["10.1", "Title"]),
+    (["4"], ["4"]),
+    (["1", ".", "2", ".", "Last"], ["1", ".", "2. Last"]),
+]
+
+
+def test_split_headings_are_joined(spark):
+    rows = [("d", n, k, x) for n, (c, _) in enumerate(SPLIT_HEADINGS) for k, x in enumerate(c)]
     got = C.join_split_headings(spark.createDataFrame(rows, "doc_id string, page_num int, line_no int, line string")).collect()
-    for n, c in cases.items():
-        assert [r.line for r in sorted(got, key=lambda r: r.line_no) if r.page_num == n] == greedy_join(c)
+    for n, (_, want) in enumerate(SPLIT_HEADINGS):
+        assert [r.line for r in sorted(got, key=lambda r: r.line_no) if r.page_num == n] == want
 
 
 def test_repeated_lines_need_two_pages_and_a_share(spark):
@@ -95,6 +104,49 @@ def test_crawl_order_and_depth(spark):
     assert [r.url[-1] for r in two] == ["a", "b"]
 
 
+def test_thin_pages_links_are_followed_and_others_not_queued(spark):
+    u = "http://e.com/"
+    edges = spark.createDataFrame([(u + "a", u + "b", 0), (u + "a", "http://other.org/x", 1), (u + "a", u + "c.pdf", 2), (u + "b", u + "d", 0)], "src string, dst string, pos int")
+    fetched = spark.createDataFrame([(u + "a", 10), (u + "b", 100), (u + "d", 100)], "url string, words int")
+    seeds = spark.createDataFrame([(u + "a", 0), ("http://other.org/", 1)], "url string, pos int")
+    got = {r.url: r.reason for r in W.crawl(seeds, fetched, edges, ["e.com"], 3).collect()}
+    assert got == {u + "a": "too_little_text", "http://other.org": "outside_allowed_domains", u + "b": None, u + "d": None}
+
+
+def test_sitemaps_expand_level_by_level(spark):
+    loc = lambda *urls: "".join(f"<loc>{x}</loc>" for x in urls)
+    bodies = [("http://e.com/s.xml", loc("http://e.com/a", "http://e.com/t.xml", "http://e.com/b.png")), ("http://e.com/t.xml", loc("http://e.com/a/", "http://e.com/c#x", "http://o.org/d", "http://e.com/s.xml"))]
+    documents = spark.createDataFrame(bodies, "source string, body string")
+    sitemaps = spark.createDataFrame([("http://e.com/s.xml", 0), ("http://e.com/gone.xml", 1), ("http://o.org/s.xml", 2)], "url string, pos long")
+    found, visited = W.expand_sitemaps(sitemaps, documents, ["e.com"])
+    assert [(r.url, r.pos) for r in found.orderBy("pos").collect()] == [("http://e.com/a", 1), ("http://e.com/c", 2)]
+    assert {r.url: r.reason for r in visited.collect()} == {"http://e.com/s.xml": None, "http://e.com/t.xml": None, "http://e.com/gone.xml": "fetch_error", "http://o.org/s.xml": "sitemap_outside_allowed_domains"}
+    assert [r.url for r in W.expand_sitemaps(sitemaps, documents, ["e.com"], most=1)[0].collect()] == ["http://e.com/a"]
+
+
+def test_robots_own_group_counts_alone(spark):
+    urls = spark.createDataFrame([("http://a.com/x",), ("http://a.com/z",)], "url string")
+    rules = spark.createDataFrame([("a.com", "*", 0, "/x", False), ("a.com", "bot", 1, "/z", False)], "host string, agent string, ord int, prefix string, allow boolean")
+    assert {r.url: r.allowed for r in W.robots_allow(urls, rules, "bot").collect()} == {"http://a.com/x": True, "http://a.com/z": False}
+
+
+def test_misread_quotation_marks(spark):
+    df = spark.createDataFrame([("It\u00e2\u20ac\u2122s  \u201creal\u201d ",), (None,)], "t string")
+    assert [r[0] for r in df.select(E.plain_text(F.col("t"))).collect()] == ["it's \u201creal\u201d ", ""]
+
+
+def test_vectors_of_another_width_never_match(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "question_id long, embedding array<double>")
+    v = spark.createDataFrame([(7, "s", [1.0, 1.0]), (8, "s", [2.0, 0.0]), (9, "s", [0.0, 0.0, 3.0]), (10, "s", [0.0, 0.0])], "chunk_id long, strategy string, embedding array<double>")
+    assert [(r.question_id, r.chunk_id) for r in R.nearest(q, v, 5).orderBy("question_id", "vector_rank").collect()] == [(1, 8), (1, 7), (2, 9)]
+
+
+def test_scores_in_text_have_no_fraction(spark):
+    df = spark.createDataFrame([('{"clarity_score": "4.9", "citation_score": 4.9, "relevance_score": "3"}',)], "judge_json string")
+    r = G.normalise_judges(df).first()
+    assert (r.clarity_score, r.citation_score, r.relevance_score) == (1, 4, 3)
+
+
 def test_robots(spark):
     urls = spark.createDataFrame([("http://a.com/x/1",), ("http://a.com/y",), ("http://b.com/",)], "url string")
     rules = spark.createDataFrame([("a.com", "*", 0, "/x", False)], "host string, agent string, ord int, prefix string, allow boolean")
@@ -145,6 +197,15 @@ def test_review_gate_limits(spark):
     assert off == {"disabled"}
 
 
+def test_review_gate_without_sessions(spark):
+    events = gate_events(spark, 10).withColumn("session_id", F.when(F.col("id") > 3, F.col("session_id")))
+    got = {r.id: (r.show, r.reason, r.query_count) for r in X.review_gate(events, {"enabled": True, "interval": 3, "cooldown_minutes": 0}).collect()}
+    assert got[3] == (True, "interval", 3) and got[4] == (False, "not_due", 1) and got[6] == (True, "interval", 3) and got[9] == (False, "session_limit", 6)
+    gate = X.Gate({"enabled": True, "interval": 3, "cooldown_minutes": 0})
+    rows = gate.rows(events.orderBy("id").toPandas())
+    assert {r.id: (r.show, r.reason, r.query_count) for r in rows.itertuples()} == got
+
+
 def test_review_gate_stream_equals_batch(spark, tmp_path):
     events, settings = gate_events(spark, 40), {"enabled": True, "max_per_session": 3, "cooldown_minutes": 7}
     for k in range(4):
