@@ -223,6 +223,12 @@ def corpus_gaps(enriched: DataFrame, audits: DataFrame, stats: DataFrame, resolu
     return suggest_action(out).orderBy(F.desc("count"), "first").limit(n).drop("first")
 
 
+def with_judge_snapshot(audits: DataFrame, logs: DataFrame) -> DataFrame:
+    """audits with llm_overall_score, the judge's overall score of the audited log; null where there is none."""
+    score = F.get_json_object("judge_json", "$.overall_score").try_cast("int")
+    return audits.join(logs.select(F.col("id").alias("chat_log_id"), score.alias("llm_overall_score")), "chat_log_id", "left")
+
+
 def suggest_action(gaps: DataFrame, boundary: tuple[str, ...] = (), private: tuple[str, ...] = (), sources: tuple[str, ...] = ()) -> DataFrame:
     """action_type by the first rule that holds; boundary categories, private phrases and source words are parameters."""
     has = lambda s: F.array_contains("signals", s)

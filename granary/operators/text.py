@@ -37,14 +37,19 @@ def join_hyphenated(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("-\n")), F.regexp_replace(c, r"(?U)(\w)-\n(\w)", "$1$2")).otherwise(c)
 
 
+def _line_feeds(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c)
+
+
 def tidy_newlines(c: Column) -> Column:
     """Line feeds only, at most one blank line in a row, every line and the whole stripped."""
-    c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "\n{3,}", "\n\n")
+    c = F.regexp_replace(_line_feeds(c), "\n{3,}", "\n\n")
     return strip(F.array_join(F.transform(F.split(c, "\n", -1), strip), "\n"))
 
 
 def collapse_spaces(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), " *\n *", "\n"))
+    # single spaces and bare line feeds, the usual ones, match nothing
+    return strip(F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}|\t", " "), " +\n *|\n +", "\n"))
 
 
 def is_page_label(line: Column) -> Column:
@@ -58,7 +63,8 @@ def is_bare_number(line: Column) -> Column:
 def drop_page_labels(c: Column, window: int = 3) -> Column:
     """Without page labels anywhere and without bare numbers among the first and last non-blank lines."""
     # what a line is, found once for each: blank, a label, a bare number or anything else
-    kind = lambda s: F.when(s == "", 0).when(is_page_label(s), 1).when(is_bare_number(s), 2).otherwise(3)
+    other = lambda s: ~F.lower(F.substring(s, 1, 1)).isin("p", *"0123456789")
+    kind = lambda s: F.when(s == "", 0).when(other(s), 3).when(is_page_label(s), 1).when(is_bare_number(s), 2).otherwise(3)
 
     def kept(ranked: Column) -> Column:
         full = F.transform(F.filter(ranked, lambda r: r["k"] != 0), lambda r: r["i"])
@@ -66,7 +72,7 @@ def drop_page_labels(c: Column, window: int = 3) -> Column:
         keep = lambda edge: lambda r: r["k"].isin(0, 3) | ((r["k"] == 2) & ~F.array_contains(edge, r["i"]))
         return once(edges, lambda edge: F.array_join(F.transform(F.filter(ranked, keep(edge)), lambda r: r["x"]), "\n"))
 
-    lines = F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n", -1)
+    lines = F.split(_line_feeds(c), "\n", -1)
     return strip(once(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"), once(strip(x), kind).alias("k"))), kept))
 
 
@@ -82,25 +88,38 @@ def with_clean(df: DataFrame, text: str, out: str, normalize: bool = True) -> Da
     return df.withColumn(out, basic_clean(F.col(text)))
 
 
+def is_ascii(c: Column) -> Column:
+    """Whether plain character classes do for c: Unicode ones are far slower."""
+    return F.octet_length(c) == F.length(c)
+
+
 def clean_line(c: Column) -> Column:
     """One line: plain spaces, no zero-width marks, single spaces, '1 .' as '1.', '1.X' as '1. X'; null as empty."""
-    # the first character becomes a space, the others go
-    c = F.translate(F.coalesce(c, F.lit("")), "\u00a0\u200b\u200c\u200d\ufeff", " ")
-    c = F.regexp_replace(strip(c), r"(?U)\s+", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"^(\d+)\s+\.", "$1."), r"^(\d+)\.([A-Za-z(\[])", "$1. $2")
+    c = F.coalesce(c, F.lit(""))
+    plain = strip(c)
+    # the first character becomes a space, the others go; single plain spaces match nothing
+    full = F.regexp_replace(strip(F.translate(c, "\u00a0\u200b\u200c\u200d\ufeff", " ")), r"(?U)\s{2,}|[^\S ]", " ")
+    full = F.regexp_replace(F.regexp_replace(full, r"^(\d+)\s+\.", "$1."), r"^(\d+)\.([A-Za-z(\[])", "$1. $2")
+    odd = F.contains(c, F.lit("  ")) | F.substring(plain, 1, 1).between("0", "9") | c.rlike(r"[\t\x0b-\r\x1c-\x1f]")
+    return F.when(is_ascii(c) & ~odd, plain).otherwise(full)
 
 
 def lines_of(pages: DataFrame, text: str = "clean_text", blanks: bool = False) -> DataFrame:
     """One row per cleaned line, with line_no from 0: blank lines as null, or left out."""
-    each = pages.select("*", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "_line"))
-    each = each.withColumn("line", F.nullif(clean_line(F.col("_line")), F.lit(""))).drop("_line", text)
-    return each if blanks else each.filter("line is not null")
+    each = pages.select("*", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "_line")).drop(text)
+    if not blanks:
+        # on the raw line: a condition on the cleaned one would clean it twice
+        seen = F.when(is_ascii(F.col("_line")), F.col("_line")).otherwise(F.translate("_line", "\u200b\u200c\u200d\ufeff", ""))
+        return each.filter(strip(seen) != "").withColumn("line", clean_line(F.col("_line"))).drop("_line")
+    return each.withColumn("line", F.nullif(clean_line(F.col("_line")), F.lit(""))).drop("_line")
 
 
 def looks_scanned(c: Column, least_chars: int = 80, least_letters: float = 0.35) -> Column:
-    compact = F.regexp_replace(c, r"(?U)\s+", "")
-    letters = F.regexp_count(compact, F.lit(r"\p{L}")) / F.greatest(F.length(compact), F.lit(1))
-    return F.when(c.isNull(), True).otherwise((F.length(compact) < least_chars) | (letters < least_letters))
+    """Fewer than least_chars characters besides white space, or too few letters among them; null is scanned."""
+    without = lambda plain, any_: F.length(F.when(is_ascii(c), F.regexp_replace(c, plain, "")).otherwise(F.regexp_replace(c, any_, "")))
+    letters = without("[^A-Za-z]+", r"\P{L}+")
+    few = lambda n: (n < least_chars) | (letters / F.greatest(n, F.lit(1)) < least_letters)
+    return F.when(c.isNull(), True).otherwise(once(without(r"[\s\x1c-\x1f]+", r"(?U)\s+"), few))
 
 
 def clean_pages(pages: DataFrame, normalize: bool = True) -> DataFrame:

@@ -136,9 +136,10 @@ def chunk_table(spark: SparkSession, d: str) -> DataFrame:
     return S.snapshot(C.ingest(cleaned(spark, d)), "chunks")
 
 
-@query()
+@query(f"""select *, fixed_size > 0 and structure_aware > 0 as ready from (select (select count(*) from ({ORACLE_SQL["fixed_size_chunks"]})) as fixed_size, (select count(*) from ({ORACLE_SQL["structure_aware_chunks"]})) as structure_aware,
+ (with {PAGES} select count(*) from pages) as pages, 3 as corpus_version, 2 as index_version)""")
 def index_status(spark: SparkSession, d: str) -> DataFrame:
-    return S.index_status(chunk_table(spark, d))
+    return S.index_status(chunk_table(spark, d), S.document_pages(t(spark, d, "documents")), 3, 2)
 
 
 @query("""with b as (select 'pdf' as type, source || '-' || doc_id as name, strlen(text)::bigint as bytes from documents
@@ -511,10 +512,11 @@ m as (select id, strategy, count(*) filter (ok) as tp, (count(distinct 'policy g
 metrics as (select id, strategy, tp / 5.0 as p, tps / 1.0 as r, case when tp > 0 then 2 * (tp / 5.0) * tps / (tp / 5.0 + tps) else 0.0 end as f, tp, tps, fps, 1 - tps as fn from m)"""
 
 
-@query(f"with {EVAL} select id, strategy, round(p, 9) as precision_at_k, round(r, 9) as recall_at_k, round(f, 9) as f1_at_k, tps as tp_sources, fps as fp_sources, fn as fn_sources, greatest(0, 75 - tps - fps - fn) as tn_sources from metrics")
+@query(f"with {EVAL} select id, strategy, round(p, 9) as precision_at_k, round(r, 9) as recall_at_k, round(f, 9) as f1_at_k, tps as tp_sources, fps as fp_sources, fn as fn_sources, greatest(0, (select count(distinct label) from embeddings) - tps - fps - fn) as tn_sources from metrics")
 def question_metrics(spark: SparkSession, d: str) -> DataFrame:
     q, matched, gold = evaluation_tables(spark, d)
-    out = E.question_metrics(q, matched, gold, 5, 75)
+    universe = E.source_universe(vectors(spark, d)[2]).first()[0]
+    out = E.question_metrics(q, matched, gold, 5, universe)
     return out.select("id", "strategy", *[F.round(c, 9).alias(c) for c in ("precision_at_k", "recall_at_k", "f1_at_k")], "tp_sources", "fp_sources", "fn_sources", "tn_sources")
 
 
@@ -571,3 +573,6 @@ def review_gate(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "events")
     events = e.select(F.col("event_id").alias("id"), "user_id", F.unix_date(F.to_date("ts")).cast("long").alias("session_id"), "ts", (F.col("value") % 6).alias("score"), F.lit(False).alias("reviewed"))
     return X.review_gate(events, {"enabled": True})
+
+
+from granary.plans import records  # noqa: E402, F401  registers its queries beside these

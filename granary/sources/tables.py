@@ -148,10 +148,14 @@ def corpus_listing(documents: DataFrame, web: DataFrame, kind: str | None = None
     return both.orderBy(*keys[order])
 
 
-def index_status(chunks: DataFrame) -> DataFrame:
-    """One row: chunks per strategy, ready if both have some."""
+def index_status(chunks: DataFrame, pages: DataFrame, corpus_version: int, index_version: int) -> DataFrame:
+    """One row: chunks per strategy, pages, versions, ready if both strategies have chunks."""
     n = [F.count_if(F.col("strategy") == s).alias(s) for s in ("fixed_size", "structure_aware")]
-    return chunks.agg(*n).withColumn("ready", (F.col("fixed_size") > 0) & (F.col("structure_aware") > 0))
+    count = pages.agg(F.count("*").alias("n")).scalar()
+    return chunks.agg(*n).select(
+        "fixed_size", "structure_aware", count.alias("pages"), F.lit(corpus_version).alias("corpus_version"), F.lit(index_version).alias("index_version"),
+        ((F.col("fixed_size") > 0) & (F.col("structure_aware") > 0)).alias("ready"),
+    )
 
 
 def document_pages(documents: DataFrame, lines: int = 5) -> DataFrame:
