@@ -203,7 +203,11 @@ def html_texts(spark: SparkSession, d: str) -> DataFrame:
     return read.select("page_id", "title", "text", F.size("links").alias("n_links"), (T.word_count(F.col("text")) >= 80).alias("enough"))
 
 
-@query()
+@query(rf"""with a as (select page_id, url as src, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) as ls from pages),
+e as (select page_id, src, unnest(ls) as l, generate_subscripts(ls, 1) - 1 as pos from a),
+r as (select page_id, src, pos, replace(l, '&amp;', '&') as l from e where l <> ''),
+u as (select page_id, src, pos, case when regexp_matches(l, '^[a-z]+:') then l when starts_with(l, '/') then regexp_extract(src, '^[a-z]+://[^/?#]*') || l else src || l end as full_ from r)
+select page_id, pos::int as pos, src, {CANON.format("full_")} as dst from u""")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
     read = W.read_html(t(spark, d, "pages"))
     return read.select("page_id", F.posexplode("links").alias("pos", "dst"), F.col("url").alias("src")).withColumn("dst", W.canonical_url(F.col("dst")))

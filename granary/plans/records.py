@@ -225,8 +225,8 @@ def valid_surveys(spark: SparkSession, d: str) -> DataFrame:
     return good.select(k.alias("id"), F.lit(False).alias("rejected")).unionByName(bad.select(k.alias("id"), F.lit(True).alias("rejected")))
 
 
-@query("""with e as (select user_id % 40 as k, event_type = 'click' as active, ts, event_id from events), last as (select k, arg_max(active, ts) as active, bool_or(active) as some, max(ts) as seen from e group by k)
-select 'refused' as issue_type, coalesce(k, o)::varchar as item_key, coalesce(active, true) as active, coalesce(seen, timestamp '2020-01-01') as "at" from last full join (select n_nationkey * 2 as o from nation) n on k = o where o is not null or some""")
+@query("""with e as (select user_id % 40 as k, event_type = 'click' as active, ts, event_id from events), last as (select k, arg_max(active, ts) as active, bool_or(active) as ever, max(ts) as seen from e group by k)
+select 'refused' as issue_type, coalesce(k, o)::varchar as item_key, coalesce(active, true) as active, coalesce(seen, timestamp '2020-01-01') as "at" from last full join (select n_nationkey * 2 as o from nation) n on k = o where o is not null or ever""")
 def resolved_issues(spark: SparkSession, d: str) -> DataFrame:
     old = t(spark, d, "nation").select(F.lit("refused").alias("issue_type"), (F.col("n_nationkey") * 2).cast("string").alias("item_key"), F.lit("old").alias("note"), F.lit(True).alias("active"), F.to_timestamp(F.lit("2020-01-01")).alias("at"))
     events = t(spark, d, "events").select(F.lit("refused").alias("issue_type"), (F.col("user_id") % 40).cast("string").alias("item_key"), F.lit("n").alias("note"), (F.col("event_type") == "click").alias("active"), F.col("ts").alias("at"))
