@@ -12,6 +12,8 @@ from granary.llm.common import boxed, dropped, quoted, stored, unboxed
 OFFSET = 1 << 63
 KEY = ("h", "i", "s")
 KEY_BYTES = 8 * len(KEY)
+#: Text that one task is to sort into slots.
+TASK_BYTES = 64 << 20
 
 
 def _as_bytes(b: pd.DataFrame) -> np.ndarray:
@@ -136,6 +138,8 @@ def histogram_shards(
     counts = stored(keys.select(shard, piece).groupBy("shard", "piece").agg(F.count("*").alias("n")), "counts")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("shard", "piece", F.coalesce(before, F.lit(0)).alias("first"))
-    dealt = rows.select("row", "size", *KEY, shard, piece).join(first, ["shard", "piece"])
+    # as many partitions as the bytes need, so that a task's share does not grow with the table
+    moved = rows.select("row", "size", *KEY, shard, piece).repartition(max(1, -(-total // TASK_BYTES)), "shard", "piece")
+    dealt = moved.join(first, ["shard", "piece"])
     within = F.row_number().over(Window.partitionBy("shard", "piece").orderBy(*KEY)) - 1
     return dealt.select(*unboxed("row", names), "size", "shard", (within + F.col("first")).cast("long").alias("slot"))
