@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -59,8 +60,16 @@ def unboxed(box: str, names: list[str]) -> list[Column]:
     return [F.col(box).getField(n).alias(n) for n in names]
 
 
-def fields(df: DataFrame, names: list[str]) -> list:
-    return [df.schema[n] for n in names]
+def mapped(df: DataFrame, names: list[str], run, made: list[T.StructField]) -> DataFrame:
+    """Columns names of df and those that run adds behind them, by mapInArrow.
+
+    Spark's mapInArrow looks columns up by unquoted names, so it sees numbered ones.
+    """
+    plain = [f"c{k}" for k in range(len(names) + len(made))]
+    kinds = [df.schema[n].dataType for n in names] + [f.dataType for f in made]
+    schema = T.StructType([T.StructField(p, kind) for p, kind in zip(plain, kinds)])
+    out = df.select(*[quoted(n).alias(p) for n, p in zip(names, plain)]).mapInArrow(lambda batches: (b.rename_columns(plain) for b in run(batches)), schema)
+    return out.select(*[F.col(p).alias(n) for p, n in zip(plain, [*names, *(f.name for f in made)])])
 
 
 def lower_ascii(c: Column) -> Column:

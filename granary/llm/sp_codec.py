@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from granary.llm.common import fields, quoted
+from granary.llm.common import mapped
 from granary.llm.words import IdCache, released, spread
 
 MARK = "▁"
@@ -285,7 +285,7 @@ def encode(df: DataFrame, model: str, kind: str = "bpe", text: str = "text", ids
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*rest, *out])
 
     kinds = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.StringType())]
-    return df.select(*map(quoted, rest)).mapInArrow(released(run), T.StructType([*fields(df, rest), *kinds[: len(out)]]))
+    return mapped(df, rest, released(run), kinds[: len(out)])
 
 
 def texts_of(lists: pa.ListArray, voc: Vocabulary, pieces: pa.Array) -> pa.Array:
@@ -332,5 +332,4 @@ def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded"
             for batch in _in_groups(whole, pc.fill_null(pc.list_value_length(whole.column(at_ids)), 0).to_numpy() * 4, 2 << 20):
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(batch.column(at_ids), voc, pieces)], [*rest, decoded])
 
-    schema = T.StructType([*fields(df, rest), T.StructField(decoded, T.StringType())])
-    return df.select(*map(quoted, rest)).mapInArrow(released(run), schema)
+    return mapped(df, rest, released(run), [T.StructField(decoded, T.StringType())])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import fields, quoted, stored
+from granary.llm.common import mapped, quoted, stored
 from granary.llm.words import in_groups, released
 
 WINDOW = 4
@@ -184,5 +184,4 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
                 x = np.array([of(t) for t in batch.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(x))], [*rest, out])
 
-    schema = T.StructType([*fields(df, rest), T.StructField(out, T.DoubleType())])
-    return df.select(*map(quoted, rest)).mapInArrow(released(run), schema)
+    return mapped(df, rest, released(run), [T.StructField(out, T.DoubleType())])

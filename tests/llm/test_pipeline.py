@@ -29,3 +29,22 @@ def test_planted_cases(spark):
     docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], table(spark, FOLDER, "documents").schema)
     assert sorted(r.doc_id for r in p.drop_near_copies(spark, docs, FOLDER).collect()) == [1, 3, 4, 5]
     assert sorted(r.doc_id for r in p.drop_lines(spark, docs, FOLDER).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_stages_keep_columns_of_any_name_nulls_and_no_rows(spark):
+    names = ["score", "_score", "n_removed", "n_lines", "_id", "_th", "th", "own_id", "own_th", "row", "rest", "parts", "gone", "a.b"]
+    texts = [(1, "alpha beta gamma delta epsilon zeta\nline two here"), (None, "some other words in a line of text"), (None, "keepme\nyyy"), (5, None), (6, "")]
+    texts += [(7, texts[0][1]), (8, "word " * 60_000)]
+    kinds = "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(i, x, len(x or ""), *names) for i, x in texts], kinds)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all([r[n] for n in names] == names for r in rows), name
+        left = {(r.doc_id, r.text) for r in rows}
+        # the later copy goes where copies or lines are judged; everything else stays
+        gone = set() if name == "toxicity" else {(7, texts[0][1])}
+        assert left == set(texts) - gone, name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
+    assert p.STAGES[-1][1](spark, docs, "").count() == 6 + -(-60_001 // 4096)
