@@ -23,7 +23,7 @@ def differences(spark, name: str, query, sql: str, folder: str) -> str:
             if pd.api.types.is_float_dtype(x[c]) and x[c].notna().all() and (x[c] == x[c].round()).all() and (x[c].abs() < 2**53).all():
                 x[c] = x[c].astype("int64")
             elif pd.api.types.is_numeric_dtype(x[c]) and not pd.api.types.is_bool_dtype(x[c]):
-                x[c] = x[c].astype("int64" if pd.api.types.is_integer_dtype(x[c]) else float)
+                x[c] = x[c].astype("int64" if pd.api.types.is_integer_dtype(x[c]) and x[c].notna().all() else float)
         return x.astype(str).sort_values(columns).reset_index(drop=True)
 
     a, b = plain(want), plain(got)
