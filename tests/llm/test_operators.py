@@ -147,6 +147,36 @@ def test_rules_hosts_and_nulls(spark):
     assert (got[3].host, got[3].path, got[4].host) == ("", "", "") and got[6].rule == "example.net/de/8"
 
 
+def test_registered_domains(spark):
+    lines = ("co.uk", "*.ck", "!www.ck", "com", "a.b.com")
+    cases = {
+        "x.y.co.uk:80": ("y.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "me@shop.example.com.": ("example.com", "com"),
+        "example.com.:443": ("example.com", "com"),
+        "p.q.r.ck": ("q.r.ck", "r.ck"),
+        "p.www.ck": ("www.ck", "ck"),
+        "ck": ("ck", "ck"),
+        "z.a.b.com": ("z.a.b.com", "a.b.com"),
+        "one.two.three": ("two.three", "three"),
+        "10.0.0.1:8080": ("10.0.0.1", reputation.ADDRESS),
+        "[::1]:80": ("[::1]", reputation.ADDRESS),
+        "": ("", ""),
+        ".": ("", ""),
+    }
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string")
+    got = hosts.select("host", *reputation.domain_parts(F.col("host"), lines)).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == cases
+
+
+def test_no_pages_and_repeated_ones(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x" * 200_000), (1, "http://a.com/" + "x" * 200_000), (None, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 1), (None, 1)], "page_id long, bad int")
+    got = reputation.host_reputation(pages, outcomes, []).collect()
+    assert sorted((r.page_id or 0, r.host, r.n_labelled) for r in got) == [(0, "", 0), (1, "a.com", 2), (1, "a.com", 2)]
+    assert reputation.host_reputation(pages.limit(0), outcomes, []).count() == 0
+
+
 def test_bad_host_is_blocked_and_rare_one_is_shrunk(spark):
     hosts = ["bad.a.com"] * 60 + ["once.a.com"] + [f"ok{k}.a.com" for k in range(20) for _ in range(10)]
     pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
