@@ -16,6 +16,8 @@ from granary.llm.words import in_groups, released
 
 WINDOW = 4
 LEVELS = range(2, 8)
+#: Numbers that describe a text: windows over each level, as a logarithm and as a share, and the most saved, twice; windows.
+STATISTICS = 2 * (2 * len(LEVELS) + 1) + 1
 ORDINARY_BYTES = 8192
 #: Least likelihood ratio statistic and documents of a fragment of the toxic dictionary.
 LEAST_G2, LEAST_DOCS = 50.0, 5
@@ -56,20 +58,25 @@ def _compressor(content: bytes, log: int):
 
 
 def _statistics(ordinary: bytes, toxic: bytes):
-    """A function from a text to its window statistics: how far the toxic dictionary shortens which share of windows."""
+    """A function from a text to its window statistics: how far the toxic dictionary shortens which share of windows.
+
+    Each window is compressed three times: with the toxic dictionary, with the ordinary one and with neither.
+    """
     log = max(len(ordinary), len(toxic)).bit_length()
-    plain, bad = _compressor(ordinary, log), _compressor(toxic, log)
+    with_none, with_ordinary, with_toxic = (_compressor(content, log) for content in (CARRIER, ordinary, toxic))
 
     def of(text: str | None) -> np.ndarray:
         words = (text or "").lower().split()
-        over, n, most = np.zeros(len(LEVELS)), 0, 0
+        over, n, most = np.zeros((2, len(LEVELS))), 0, np.full(2, -np.inf)
         for low in range(0, max(len(words), 1), 8192 * WINDOW):
             part = words[low : low + 8192 * WINDOW]
             windows = [CARRIER + f" {' '.join(part[i : i + WINDOW])} ".encode("utf-8", "replace") for i in range(0, max(len(part), 1), WINDOW)]
-            saved = np.fromiter((len(p) - len(t) for p, t in zip(plain.multi_compress_to_buffer(windows), bad.multi_compress_to_buffer(windows))), np.int64, len(windows))
-            over += [(saved >= k).sum() for k in LEVELS]
-            n, most = n + len(windows), max(most, int(saved.max()))
-        return np.r_[np.log1p(over), np.log(n), over / n, most]
+            none, plain, bad = (np.array([len(x) for x in c.multi_compress_to_buffer(windows)]) for c in (with_none, with_ordinary, with_toxic))
+            for k, saved in enumerate((none - bad, plain - bad)):
+                over[k] += [(saved >= level).sum() for level in LEVELS]
+                most[k] = max(most[k], saved.max())
+            n += len(windows)
+        return np.r_[np.log1p(over).ravel(), (over / n).ravel(), most, np.log(n)]
 
     return of
 
@@ -100,11 +107,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 20_000, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Trains both dictionaries and the calibration on a bounded sample of labelled rows.
 
-    The ordinary dictionary holds the words that most ordinary documents use, up to ORDINARY_BYTES. The toxic one
-    holds the same, and before it all word beginnings whose documents are toxic far over their share (likelihood
-    ratio over LEAST_G2), save those that begin another one or go on from it; only the sample bounds their number.
+    The dictionaries are trained apart and share nothing but the carrier. The ordinary one holds the words that most
+    ordinary documents use, up to ORDINARY_BYTES. The toxic one holds all word beginnings whose documents are toxic far
+    over their share (likelihood ratio over LEAST_G2), save those that begin another one or go on from it; only the
+    sample bounds their number. What counts of a window is how much shorter the toxic dictionary makes it than none
+    does, and than the ordinary one does.
     The calibration is a logistic regression on the sample's window statistics, moved to the share of toxic among all
-    training labels. Counts and statistics are made in tasks; the driver sees the fragments that pass and one row of
+    training labels. Labels that are null or neither 0 nor 1 are left out, null ids too; a null text is an empty one; rows
+    with equal hashes of the key go by the key, fragments with equal statistics by length and text; with one class only
+    every text gets the class's share. Counts and statistics are made in tasks; the driver sees the fragments that pass and one row of
     statistics for each of at most 2 * per_class documents.
     """
     sample = training_sample(docs, labels, per_class, longest, text, key, label)
@@ -112,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
         rate = (n1 + 1) / (n0 + n1 + 2)
-        return Model(CARRIER, CARRIER, np.zeros(14), np.ones(14), np.r_[np.log(rate / (1 - rate)), np.zeros(14)])
+        return Model(CARRIER, CARRIER, np.zeros(STATISTICS), np.ones(STATISTICS), np.r_[np.log(rate / (1 - rate)), np.zeros(STATISTICS)])
 
     def count(batches):
         held: Counter = Counter()
@@ -145,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
             break
         content.append(r.f)
     ordinary = "".join(content[::-1]).encode() + CARRIER
-    toxic = "".join(f"{f} " for f in chosen[::-1]).encode() + ordinary
+    toxic = "".join(f"{f} " for f in chosen[::-1]).encode() + CARRIER
 
     def measure(batches):
         of = _statistics(ordinary, toxic)
