@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ego_join, jaccard_join, line_dedup, lm, packing, reputation, sharding, sp_codec, topk, toxicity
+from granary.llm import ego_join, jaccard_join, line_dedup, lm, packing, prefix_trie, reputation, sharding, sp_codec, topk, toxicity
+from granary.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -203,3 +204,45 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs.select("doc_id", "text"), toxicity_model(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    seqs = stored(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))), "turns")
+    ends = prefix_trie.member_digests(prefix_trie.members(seqs))
+    sha = F.coalesce("sha256", prefix_trie.empty_digest())
+    nodes = prefix_trie.trie(seqs)
+    held = nodes.filter("node is not null").join(ends, "node", "left").unionByName(nodes.filter("node is null").withColumn("sha256", F.lit(None).cast("string")))
+    return held.withColumn("ends_sha256", sha).drop("node", "sha256")
+
+
+# crc32 of a text bit by bit: only the low two bits of the result matter, the polynomial is the usual one
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::bigint], range(0::bigint, 8 * length({0}))), lambda x, k: "
+    "case when (xor(x, case when k % 8 = 0 then ascii(substr({0}, k // 8 + 1, 1)) else 0 end) & 1) = 1 "
+    "then xor(xor(x, case when k % 8 = 0 then ascii(substr({0}, k // 8 + 1, 1)) else 0 end) >> 1, 3988292384::bigint) "
+    "else xor(x, case when k % 8 = 0 then ascii(substr({0}, k // 8 + 1, 1)) else 0 end) >> 1 end), 4294967295::bigint)"
+)
+
+ORACLE_SQL["op12_prefix_trie"] = f"""
+with recursive t as (select conv_id as c, turn, md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as d,
+ len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as w from conversations where conv_id is not null),
+o as (select c, d, w, row_number() over (partition by c order by turn nulls first, d) as i from t),
+convs as (select distinct c from o),
+hs as (select c, c - c % 20 as b, {_CRC.format("c::varchar")} % 4 as h from convs),
+heads as (select hs.c, o.i, o.d, o.w from hs join o on o.c = hs.b and o.i <= hs.h),
+n_heads as (select c, count(*) as n from heads group by c),
+r as (select c, i, d, w from heads union all
+ select o.c, o.i - hs.h + coalesce(n, 0), d, w from o join hs on hs.c = o.c left join n_heads on n_heads.c = o.c where o.i > hs.h),
+walk as (select c, 0::bigint as i, md5('') as k, null::varchar as up, 0::bigint as w from convs
+ union all select r.c, r.i, md5(k || r.d), k, r.w from walk join r on r.c = walk.c and r.i = walk.i + 1),
+lasts as (select c, max(i) as n from walk group by c),
+node as (select k, any_value(up) as up, any_value(i) as depth, min(walk.c) as conv_id, count(*) as n_convs, any_value(w) as w,
+ string_agg(case when n = i then walk.c::varchar end, ',' order by walk.c) as ids from walk join lasts on lasts.c = walk.c group by k),
+kids as (select up as k, count(*) as n from node where up is not null group by up),
+own as (select node.*, coalesce(kids.n, 0) as n_children, (n_convs - 1) * w as saves from node left join kids on kids.k = node.k),
+pairs as (select k as top, k from own union all select own.up, pairs.k from pairs join own on own.k = pairs.top where own.up is not null),
+sums as (select top, sum(saves)::bigint as saved_tokens, sum((n_children = 0)::int)::bigint as n_leaves from pairs join own on own.k = pairs.k group by top)
+select own.conv_id, own.depth, p.conv_id as parent_conv_id, own.n_convs, own.n_children::bigint as n_children, n_leaves, saved_tokens,
+ sha256(coalesce(own.ids, '')) as ends_sha256 from own join sums on sums.top = own.k left join node p on p.k = own.up"""
