@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ego_join, jaccard_join, line_dedup, lm, packing, prefix_trie, reputation, sharding, sp_codec, topk, toxicity
+from granary.llm import ego_join, jaccard_join, line_dedup, lm, packing, prefix_trie, repeats, reputation, sharding, sp_codec, topk, toxicity
 from granary.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,17 @@ pairs as (select k as top, k from own union all select own.up, pairs.k from pair
 sums as (select top, sum(saves)::bigint as saved_tokens, sum((n_children = 0)::int)::bigint as n_leaves from pairs join own on own.k = pairs.k group by top)
 select own.conv_id, own.depth, p.conv_id as parent_conv_id, own.n_convs, own.n_children::bigint as n_children, n_leaves, saved_tokens,
  sha256(coalesce(own.ids, '')) as ends_sha256 from own join sums on sums.top = own.k left join node p on p.k = own.up"""
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that start elsewhere too."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return out.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
