@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ego_join, jaccard_join, line_dedup, lm, packing, prefix_trie, repeats, reputation, sharding, sp_codec, topk, toxicity
+from granary.llm import collocations, ego_join, jaccard_join, line_dedup, lm, packing, prefix_trie, repeats, reputation, sharding, sp_codec, topk, toxicity
 from granary.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,32 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of each language over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_JOINED = {k: " || ' ' || ".join(f"w{j}" for j in range(1, k + 1)) for k in (1, 2, 3, 4)}
+_CUTS = " union all ".join(
+    f"select c.*, {j} as k, x.f as l, y.f as r from c join f x on x.lang = c.lang and x.size = {j} and x.phrase = array_to_string(c.ws[1:{j}], ' ')"
+    f" join f y on y.lang = c.lang and y.size = c.size - {j} and y.phrase = array_to_string(c.ws[{j + 1}:], ' ') where c.size > {j}"
+    for j in (1, 2, 3)
+)
+ORACLE_SQL["op11_collocations"] = f"""
+with pieces as (select doc, lang, p, unnest(regexp_extract_all(piece, '[^ \t]+')) as w, generate_subscripts(regexp_extract_all(piece, '[^ \t]+'), 1) as i
+ from (select doc, lang, unnest(ps) as piece, generate_subscripts(ps, 1) as p from (select row_number() over () as doc, coalesce(lang, 'und') as lang,
+ string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\n-\r]') as ps from documents))),
+t as (select lang, w as w1, lead(w, 1) over o as w2, lead(w, 2) over o as w3, lead(w, 3) over o as w4 from pieces window o as (partition by doc, p order by i)),
+f as ({" union all ".join(f"select lang, {k} as size, {_JOINED[k]} as phrase, count(*) as f from t where w{k} is not null group by all" for k in (1, 2, 3, 4))}),
+c as (select lang, size, phrase, f as a, string_split(phrase, ' ') as ws from f where size > 1 and f >= 30),
+s as (select *, 2000000::hugeint * a // (l + r) as score from ({_CUTS})),
+best as (select * from s qualify row_number() over (partition by lang, phrase, size order by score, k) = 1),
+gone as (select distinct lang, unnest([array_to_string(ws[1:size - 1], ' '), array_to_string(ws[2:], ' ')]) as phrase, a from c where size > 2),
+covered as (select lang, phrase, max(a) as most from gone group by 1, 2),
+n as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+kept as (select best.* from best left join covered v on v.lang = best.lang and v.phrase = best.phrase where v.most is null or 100 * v.most < 80 * best.a),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select r.lang, rank, phrase, a, l, r.r, n.n, score::bigint as score from r join n on n.lang = r.lang where rank <= 2000"""
