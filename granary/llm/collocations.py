@@ -16,9 +16,9 @@ from granary.llm.words import MIX_A, STEP, in_groups, mixed, released
 ENDS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 LONGEST = 4
 #: Pairs and neighbours that a task counts before it passes them on; phrases that one pass over the texts expands.
-HELD, PHRASES = 2 << 20, 1 << 20
-#: Prefixes a language expands in the first round; every further round takes four times as many.
-FIRST_ROUND = 4000
+HELD, PHRASES = 3 << 19, 1 << 20
+#: Prefixes a language expands in the first round; every further round takes four times as many. Bytes of text taken together.
+FIRST_ROUND, GROUP = 16_000, 8 << 20
 
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS + GAPS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(ENDS) + b" " * len(GAPS))
 
@@ -48,7 +48,7 @@ class Tokens:
 
 def _tokens(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[str, Tokens]]:
     for whole in batches:
-        for b in in_groups(whole, 1):
+        for b in in_groups(whole, 1, GROUP):
             coded = b.column(0).dictionary_encode()
             codes = coded.indices.to_numpy()
             for k, lang in enumerate(coded.dictionary.to_pylist()):
