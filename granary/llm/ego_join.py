@@ -112,13 +112,12 @@ def cosine_links(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector:
     box (2 * GRID numbers) passes the driver and is sent to the tasks that list the pairs.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing: n_links 0, own component.
-    Keys should be unique (rows that repeat a key with the same vector link as copies). A null key is a row
-    like any other, but no component takes its name while a key is there. Shorter vectors end in zeros.
+    Keys should be unique (rows that repeat a key link like any others). A null key is a row like any other; a component
+    has a null name, and keeps its rows of null key, only where none of its rows has a key. Shorter vectors end in zeros.
     Other columns are left out, whatever their names; an empty table gives an empty one.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
-    kind = df.schema[key].dataType.simpleString()
     some = F.exists(quoted(vector), lambda x: x != 0)
     value = F.transform(quoted(vector), lambda x: x.cast("double") + F.lit(0.0))
     all_rows = df.select(quoted(key).alias("id"), value.alias("v"), (finite(quoted(vector)) & some).alias("ok"))
@@ -126,8 +125,9 @@ def cosine_links(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector:
     width = valid.agg(F.max(F.size("v"))).first()[0] or 1
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
 
-    # copies fold: rep is the copies' smallest key
-    folded = stored(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "folded")
+    # copies fold: name is the copies' smallest key, rep a number of the vector's own
+    folded = valid.groupBy("v").agg(F.min("id").alias("name"), F.count("*").alias("copies"))
+    folded = stored(folded.withColumn("rep", F.monotonically_increasing_id()), "folded")
     axes = principal_axes(folded, width, min(GRID, width))
     depth = axes.shape[1]
 
@@ -139,7 +139,7 @@ def cosine_links(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector:
             columns = [b.column(0), pa.array(list(v), pa.list_(pa.float64())), b.column(2), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["rep", "v", "copies", "p", "cells"])
 
-    shape = f"rep {kind}, v array<double>, copies long, p array<double>, cells array<long>"
+    shape = "rep long, v array<double>, copies long, p array<double>, cells array<long>"
     placed = folded.select("rep", "v", "copies").mapInArrow(released(project), shape)
     blocks = max(1, -(-folded.count() // BLOCK))
     dealt = placed.repartitionByRange(blocks, "cells", F.xxhash64("rep")).sortWithinPartitions("cells", "rep")
@@ -190,12 +190,13 @@ def cosine_links(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector:
             "rep": rep.take(i), "other": pa.array([None] * len(some) + other, rep.type), "links": pa.array(np.r_[links[some], np.zeros(len(tree), np.int64)]),
         })
 
-    joined = stored(parts.groupBy("one", "two").applyInArrow(join, f"rep {kind}, other {kind}, links long"), "joined")
+    joined = stored(parts.groupBy("one", "two").applyInArrow(join, "rep long, other long, links long"), "joined")
     counts = joined.groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(joined.filter("other is not null"), "rep", "other")
     groups = folded.join(counts, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    groups = groups.select("v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = valid.join(groups, "v").select("id", "n_links", "component_id")
+    groups = groups.select("v", "name", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    names = groups.groupBy("component").agg(F.min("name").alias("component_id"))
+    linked = valid.join(groups.join(names, "component"), "v").select("id", "n_links", "component_id")
     alone = all_rows.filter("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
