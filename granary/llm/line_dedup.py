@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import boxed, dropped, maybe_among, quoted, stored, unboxed
 
-SEGMENTS = 32
+#: Segments of a line, and characters up to which a segment is not cut again.
+SEGMENTS, LONG_SEGMENT = 32, 64
 
 
 def _left(c: str, n: Column) -> Column:
@@ -28,26 +29,61 @@ def _halves(c: str) -> Column:
     return F.array_distinct(F.array(*out))
 
 
-def _segments(c: str) -> Column:
-    """Structs (longer, outer, mid): outer hashes all of the line but segment j, mid is that segment.
+def _segments(c: str, longer: bool, outer: Column | None = None) -> Column:
+    """Structs (longer, outer, mid): outer hashes all of the text but segment j, mid is that segment.
 
-    Once for the line's own length, and once for one character less, where mid is a character longer: a line and
-    one with one more character then share the outer hash of the segment that holds the edit.
+    Without longer, segments are those of the text's own length; with it, of one character less, and mid is a character
+    longer: a text and one with one more character then share the outer hash of the segment that holds the edit.
     """
+    m = F.length(c) - int(longer)
+    s = F.ceil(m / SEGMENTS)
 
-    def of(longer: bool) -> Column:
-        m = F.length(c) - int(longer)
-        s = F.ceil(m / SEGMENTS)
+    def one(j: Column) -> Column:
+        rest = F.greatest(m - (j + 1) * s, F.lit(0))
+        mid = F.substring(F.col(c), (j * s + 1).cast("int"), (F.length(c) - j * s - rest).cast("int"))
+        within = [] if outer is None else [outer]
+        return F.struct(F.lit(longer).alias("longer"), F.xxhash64(*within, m, j, _left(c, j * s), _right(c, rest)).alias("outer"), mid.alias("mid"))
 
-        def one(j: Column) -> Column:
-            rest = F.greatest(m - (j + 1) * s, F.lit(0))
-            mid = F.substring(F.col(c), (j * s + 1).cast("int"), (F.length(c) - j * s - rest).cast("int"))
-            return F.struct(F.lit(longer).alias("longer"), F.xxhash64(m, j, _left(c, j * s), _right(c, rest)).alias("outer"), mid.alias("mid"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(m / s) - 1), one)
 
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(m / s) - 1), one)
+
+def _within_one(a: str, b: str) -> Column:
+    """Whether one edit or none lies between two texts: the end of what they begin with alike is halved for, then the rest must be equal."""
+    la, lb = F.length(a), F.length(b)
+    whole = F.struct(F.lit(0).alias("low"), F.least(la, lb).alias("high"))
+
+    def halve(x: Column, _: Column) -> Column:
+        mid = F.floor((x["low"] + x["high"] + 1) / 2).cast("int")
+        same = _left(a, mid) == _left(b, mid)
+        return F.struct(F.when(same, mid).otherwise(x["low"]).alias("low"), F.when(same, x["high"]).otherwise(mid - 1).alias("high"))
+
+    # 2**31 halves to nothing in 31 steps; short texts stop moving sooner
+    alike = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.least(la, lb) + 1)).cast("int") + 1), whole, halve, lambda x: x["low"])
+    rest = lambda c, more: F.substring(F.col(c), alike + 1 + more.cast("int"), F.length(c))
+    return (F.abs(la - lb) <= 1) & (rest(a, la >= lb) == rest(b, lb >= la))
+
+
+def _cut_lines(text: DataFrame) -> DataFrame:
+    """(h, g, first, longer, outer, mid) of the segments whose outside another line shares, cut again while they are long."""
+
+    def shared(cut: DataFrame) -> DataFrame:
+        outers = cut.groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1").select("outer")
+        return stored(cut.join(outers, "outer", "left_semi"), "segments")
 
     # a line of one character has no shorter one but the empty line, which is blank
-    return F.when(F.length(c) > 1, F.concat(of(False), of(True))).otherwise(of(False))
+    first = F.when(F.length("line") > 1, F.concat(_segments("line", False), _segments("line", True))).otherwise(_segments("line", False))
+    whole = stored(text.select("h", "g", "first", F.explode(first).alias("s")).select("h", "g", "first", "s.*"), "cut")
+    near = shared(whole)
+    dropped(whole)
+    size = F.length("mid") - F.col("longer").cast("int")  # the same for both of a pair
+    while (near.agg(F.max(size)).first()[0] or 0) > LONG_SEGMENT:
+        short = F.array(F.struct("longer", "outer", "mid"))
+        again = F.when(F.col("longer"), _segments("mid", True, F.col("outer"))).otherwise(_segments("mid", False, F.col("outer")))
+        parts = F.when(size <= LONG_SEGMENT, short).otherwise(again)
+        closer = shared(near.select("h", "g", "first", F.explode(parts).alias("s")).select("h", "g", "first", "s.*"))
+        dropped(near)
+        near = closer
+    return near
 
 
 def _variants() -> Column:
@@ -81,10 +117,8 @@ def _earlier_within_one(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     text = stored(found.join(suspects, ["h", "g", "first"]).dropDuplicates(["h", "g"]), "suspect_lines")
     dropped(suspects)
 
-    cut = stored(text.select("h", "g", "first", F.explode(_segments("line")).alias("s")).select("h", "g", "first", "s.*"), "segments")
-    outers = cut.groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1").select("outer")
-    near = cut.join(outers, "outer", "left_semi").select("h", "g", "first", F.explode(_variants()).alias("v"))
-    near = stored(near.select("h", "g", "first", "v.*"), "variants")
+    cut = _cut_lines(text)
+    near = stored(cut.select("h", "g", "first", F.explode(_variants()).alias("v")).select("h", "g", "first", "v.*"), "variants")
     dropped(cut)
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("first"))).alias(role)
     groups = near.groupBy("key").agg(F.count("*").alias("n"), least("s"), least("b"), least("f")).filter("n > 1").drop("n")
@@ -92,7 +126,7 @@ def _earlier_within_one(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     pairs = near.join(groups, "key").select("h", "g", "first", partner.alias("near")).filter(F.col("near") < F.col("first")).distinct()
     own = text.select("h", "g", F.col("line"))
     other = text.select(F.col("first").alias("near"), F.col("line").alias("near_line"))
-    sure = pairs.join(own, ["h", "g"]).join(other, "near").filter(F.levenshtein("line", "near_line") <= 1)
+    sure = pairs.join(own, ["h", "g"]).join(other, "near").filter(_within_one("line", "near_line"))
     return sure.groupBy("h", "g").agg(F.min("near").alias("near"))
 
 
@@ -105,7 +139,8 @@ def dedup_lines(df: DataFrame, bound: int = 1, text: str = "text", order: str =
 
     A line that a third of all documents hold is one row after partial aggregation, and joins back to its places
     in a join that Spark can split. Each document's text moves once, with the places of its lines that go. Very long
-    texts are rows like others: their lines are compared one by one. The filter before the join of near lines is
+    texts are rows like others: their lines are compared one by one, and a very long line is cut into segments of segments, so
+    that the deletions of a short one are emitted whatever the line's length. The filter before the join of near lines is
     a bitmap of 2**23 bits: beyond some ten million distinct suspects it lets most lines pass, which costs a shuffle of
     them and loses nothing.
 
