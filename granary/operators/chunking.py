@@ -41,14 +41,16 @@ def prepare(pages: DataFrame) -> Prepared:
 def _pieces(lines: DataFrame, keys: list[str], size: int, overlap: int) -> DataFrame:
     """keys, piece_index, text, word_count and page range of windows of words over the lines of each key.
 
-    A line's running word number says in which windows it takes part and with which words, so a window is put
-    together from its own lines and no document stands in one row.
+    Lines are cut into runs of at most a window's step first, so a row is bounded whatever a line's length. A run's
+    running word number says in which windows it takes part and with which words, so a window is put together
+    from its own runs and no document stands in one row.
     """
     stride = max(1, size - overlap)
     own = Window.partitionBy(*keys)
-    words = lines.withColumn("w", F.split("line", " ")).withColumn("n", F.size("w"))
-    before = F.sum("n").over(own.orderBy("page_num", "line_no").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    placed = words.select(*keys, "page_num", "line_no", "w", "n", before.alias("a"), F.sum("n").over(own).alias("all"))
+    runs = F.regexp_extract_all("line", F.lit(f"(?:[^ ]++ ?+){{1,{stride}}}+"), F.lit(0))
+    words = lines.select(*keys, "page_num", "line_no", F.posexplode(runs).alias("run_no", "run")).withColumn("w", F.split(F.rtrim("run"), " ")).withColumn("n", F.size("w"))
+    before = F.sum("n").over(own.orderBy("page_num", "line_no", "run_no").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = words.select(*keys, "page_num", "line_no", "run_no", "w", "n", before.alias("a"), F.sum("n").over(own).alias("all"))
     last = F.ceil(F.greatest(F.col("all") - size, F.lit(0)) / stride)
     low = F.greatest(F.floor((F.col("a") - size) / stride) + 1, F.lit(0))
     high = F.least(F.floor((F.col("a") + F.col("n") - 1) / stride), last)
@@ -56,7 +58,7 @@ def _pieces(lines: DataFrame, keys: list[str], size: int, overlap: int) -> DataF
     start = F.greatest(F.col("k") * stride - F.col("a"), F.lit(0))
     end = F.least(F.col("k") * stride + size - F.col("a"), F.col("n"))
     cut = F.array_join(F.slice("w", (start + 1).cast("int"), (end - start).cast("int")), " ")
-    part = F.struct("page_num", "line_no", cut.alias("t"))
+    part = F.struct("page_num", "line_no", "run_no", cut.alias("t"))
     made = each.withColumn("m", end - start).groupBy(*keys, F.col("k").cast("int").alias("piece_index")).agg(
         F.array_sort(F.collect_list(part)).alias("l"), F.sum("m").cast("int").alias("word_count"), F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
     return made.withColumn("text", F.array_join(F.transform("l", lambda x: x["t"]), " ")).drop("l")

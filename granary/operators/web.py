@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from itertools import accumulate
 from typing import NamedTuple
 from urllib.parse import urljoin
 
@@ -54,28 +53,29 @@ def _tokens(source: str) -> list[Token]:
     return parser.found
 
 
-def _after(state: tuple[tuple[str, ...], bool], token: Token) -> tuple[tuple[str, ...], bool]:
-    """(open skipped tags, whether a title is open) once the token is read."""
-    skipped, title = state
-    if token.kind == "open" and token.value in SKIPPED:
-        return (*skipped, token.value), title
-    if token.kind == "close" and skipped[-1:] == (token.value,):
-        return skipped[:-1], title
-    return skipped, token.kind == "open" if token.kind != "text" and token.value == "title" else title
-
-
 def page_parts(source: str, base: str) -> tuple[str, str, list[str]]:
     """(title, text with line breaks, absolute links) of a page; links count inside skipped tags too."""
-    tokens = _tokens(source)
-    states = list(accumulate(tokens, _after, initial=((), False)))
-    title, text = [], []
-    for token, (before, _), (skipped, in_title) in zip(tokens, states, states[1:]):
+    title: list[str] = []
+    text: list[str] = []
+    links: list[str] = []
+    skipped: list[str] = []  # skipped tags that are open
+    in_title = False
+    for token in _tokens(source):
+        depth = len(skipped)
+        if token.kind == "open" and token.value in SKIPPED:
+            skipped.append(token.value)
+        elif token.kind == "close" and skipped and skipped[-1] == token.value:
+            skipped.pop()
         if token.kind != "text":
+            in_title = token.kind == "open" if token.value == "title" else in_title
             # a tag that opens or closes a skipped part breaks no line
-            text += ["\n"] * (token.value in BREAKS and before == skipped)
+            if token.value in BREAKS and depth == len(skipped):
+                text.append("\n")
+            if token.href and token.kind == "open":
+                links.append(urljoin(base, token.href))
         elif token.value and not skipped:
             (title if in_title else text).append(token.value if in_title else f"{token.value} ")
-    return " ".join(title), "".join(text), [urljoin(base, t.href) for t in tokens if t.href and t.kind == "open"]
+    return " ".join(title), "".join(text), links
 
 
 def read_html(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -337,6 +337,92 @@ def near_duplicates(records: DataFrame, threshold: float = 0.86, size: int = 8,
     return held.select("left", "right", jaccard(F.col("gl"), F.col("gr")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+#: Sets of one token that are compared with one another; of a commoner token only some are compared with all at a time.
+LIGHT = 32
+
+
+def near_groups(records: DataFrame, threshold: float = 0.86, size: int = 8, key: str = "url", light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
+    """(members, links): groups of different plain texts that near_duplicates() would chain together, and links that chain them.
+
+    members has (key, group, copies): a row for each distinct text in a group, by its smallest key; group is the smallest of all
+    and copies the number of records with that text. links has (left, right, similarity), at least one for each member but one.
+
+    Texts that share a token of their prefix are compared while they may be in different groups: all of them if the token
+    has few, else a few pivots of it with all others, round by round. What is in one group already is not compared again,
+    so a group of n near copies costs some n comparisons, and a token is settled once all its sets but those of one
+    group have been pivots or all are in one group. Nothing is left out.
+    """
+    sets, prefix, copies = _prefixes(records, threshold, size, key)
+    buckets = prefix.groupBy("t").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1")
+    prefix = snapshot(prefix.join(buckets, "t"), "prefix")
+    few, many = prefix.filter(F.col("in_bucket") <= light), prefix.filter(F.col("in_bucket") > light)
+
+    def alike(a: DataFrame, b: DataFrame, apart: Column) -> DataFrame:
+        """Links among pairs of a and b that share a token."""
+        fits = (F.col("a.t") == F.col("b.t")) & apart & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
+        pairs = a.alias("a").join(b.alias("b"), fits).select(F.least("a.id", "b.id").alias("left"), F.greatest("a.id", "b.id").alias("right")).distinct()
+        held = pairs.join(sets.select(F.col("id").alias("left"), F.col("g").alias("gl")), "left").join(sets.select(F.col("id").alias("right"), F.col("g").alias("gr")), "right")
+        return held.select("left", "right", jaccard(F.col("gl"), F.col("gr")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+    first = many.groupBy("t").agg(F.min("id").alias("pivot"))
+    pivots = many.join(first, (many["t"] == first["t"]) & (many["id"] == first["pivot"]), "left_semi").select("t", "id", "n")
+    used = snapshot(pivots.select("t", "id"), "used")
+    links = snapshot(alike(few, few, F.col("a.id") < F.col("b.id")).union(alike(pivots, many, F.col("a.id") != F.col("b.id"))).distinct(), "links")
+    take = 4
+    while True:
+        groups = connected(links, "left", "right")
+        placed = many.select("t", "id", "n").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
+        placed = snapshot(placed, "placed")
+        of = placed.groupBy("t", "group").agg(F.count("*").alias("k"))
+        largest = of.groupBy("t").agg(F.max_by("group", F.struct("k", "group")).alias("largest"), F.count("*").alias("groups")).filter("groups > 1")
+        left = placed.join(largest, "t").filter("group <> largest").join(used, ["t", "id"], "left_anti")
+        turn = F.row_number().over(Window.partitionBy("t").orderBy("group", "id"))
+        pivots = snapshot(left.select("t", "id", "n", "group", turn.alias("turn")).filter(F.col("turn") <= take).drop("turn"), "pivots")
+        if pivots.isEmpty():
+            break
+        used = snapshot(used.union(pivots.select("t", "id")), "used")
+        links = snapshot(links.union(alike(pivots, placed, F.col("a.group") != F.col("b.group"))).distinct(), "links")
+        take *= 2
+    members = groups.join(copies, "id").select(F.col("id").alias(key), "group", "copies")
+    return members, links
+
+
+def _prefixes(records: DataFrame, threshold: float, size: int, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets (id, g), prefixes (id, n, t), copies (id, copies)) of distinct plain texts, see near_duplicates."""
+    plain = records.select(F.col(key).alias("id"), plain_words(F.col("text")).alias("_n")).filter("_n <> ''")
+    texts = plain.groupBy(F.sha2("_n", 256).alias("_h")).agg(F.min(F.struct("id", "_n")).alias("s"), F.count("*").alias("copies"))
+    sets = snapshot(texts.select("s.id", "copies", F.transform(shingles(F.col("s._n"), size), lambda x: F.xxhash64(x)).alias("g")), "shingles")
+    tokens = sets.select("id", F.size("g").alias("n"), F.explode("g").alias("t"))
+    shared = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"), "t")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
+    # tokens in one set only sort before the shared ones, so they use up the prefix first
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    prefix = shared.withColumn("_r", place + alone).filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "t")
+    return sets.select("id", "g"), prefix, sets.select("id", "copies")
+
+
+def connected(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, group): what links reach from one another, by the smallest id; ids without links have no row.
+
+    Every id takes the least group among its neighbours', its group's id takes the least of its members', and all go on to
+    the group of their group, so that a chain halves with every round; a round is a few joins and combined minima.
+    """
+    both = links.select(F.col(a).alias("id"), F.col(b).alias("to")).union(links.select(F.col(b), F.col(a))).distinct()
+    both = snapshot(both, "both")
+    now = snapshot(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("group")), "groups")
+    while True:
+        near = both.join(now.select(F.col("id").alias("to"), "group"), "to").groupBy("id").agg(F.min("group").alias("near"))
+        least = now.join(near, "id").select("id", F.least("group", "near").alias("group"), F.col("group").alias("before"))
+        # a group's own id learns what its members have seen, then everyone goes on to the group of its group
+        told = least.filter("group <> before").groupBy(F.col("before").alias("id")).agg(F.min("group").alias("told"))
+        hooked = snapshot(least.join(told, "id", "left").select("id", F.least("group", F.coalesce("told", "group")).alias("group"), "before"), "hooked")
+        further = hooked.select(F.col("id").alias("_of"), F.col("group").alias("_further"))
+        after = snapshot(hooked.join(further, F.col("group") == F.col("_of")).select("id", F.col("_further").alias("group"), "before"), "groups")
+        if after.filter("group <> before").isEmpty():
+            return after.select("id", "group")
+        now = after.select("id", "group")
+
+
 def duplicate_report(records: DataFrame, threshold: float = 0.86, key: str = "url") -> DataFrame:
     """kind (exact, near) with its number of groups and pages, and kind total for all records."""
     exact = exact_groups(records, key).agg(F.count("*").alias("groups"), F.coalesce(F.sum("copies"), F.lit(0)).alias("pages"))

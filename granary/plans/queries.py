@@ -14,6 +14,7 @@ from granary.operators import evaluation as E
 from granary.operators import retrieval as R
 from granary.operators import text as T
 from granary.operators import web as W
+from granary.sources import events as N
 from granary.sources import tables as S
 from granary.streaming import jobs as X
 
@@ -484,7 +485,7 @@ def settings_merged(spark: SparkSession, d: str) -> DataFrame:
 @query("""select event_id as local_id, user_id, null::bigint as session_id, null::bigint as chat_log_id, 'click' as event_type from events where event_type = 'click'""")
 def event_envelopes(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "events").filter("event_type = 'click'").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"), "value")
-    return S.envelope(e, "click", ["id", "value"]).drop("payload", "created_at")
+    return N.envelope(e, "click", ["id", "value"]).drop("payload", "created_at")
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------
@@ -579,4 +580,4 @@ def review_gate(spark: SparkSession, d: str) -> DataFrame:
     return X.review_gate(events, {"enabled": True})
 
 
-from granary.plans import records  # noqa: E402, F401  registers its queries beside these
+from granary.plans import records, services  # noqa: E402, F401  register their queries beside these

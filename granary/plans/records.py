@@ -12,6 +12,7 @@ from granary.operators import evaluation as E
 from granary.operators import retrieval as R
 from granary.operators import web as W
 from granary.plans.queries import CANON, HYBRID, LOGS, PAGES, PATH, evaluation_tables, query, t, vectors
+from granary.sources import events as N
 from granary.sources import tables as S
 
 # --- sections -------------------------------------------------------------------------------------------------
@@ -102,7 +103,7 @@ def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
  from events where event_type = 'click'""")
 def event_records(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "events").filter("event_type = 'click'").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"), "event_type")
-    return S.envelope(e, "click", ["id", "event_type"])
+    return N.envelope(e, "click", ["id", "event_type"])
 
 
 @query("select coalesce(max(l_linenumber), 0) + 1 as version from lineitem")

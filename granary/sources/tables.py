@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +35,36 @@ def _shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def snapshot(df: DataFrame, name: str) -> DataFrame:
-    """df written to the session's shared folder and read again, which cuts its lineage."""
+    """df written to the session's shared folder and read again, which cuts its lineage; see scratch()."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Within it, every snapshot of the library is a scratch table that is deleted at its end: for results written inside.
+
+    Scratches nest; what an inner one made goes with it.
+    """
+    held: list[str] = []
+    token = _SCRATCH.set(held)
+    try:
+        yield snapshot
+    finally:
+        _SCRATCH.reset(token)
+        for name in held:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def load_corpus(documents: DataFrame | None, web: DataFrame | None) -> DataFrame:
     """Pages of documents and of the web together; an error when there are none."""
     parts = [d for d in (documents, web) if d is not None]
@@ -99,10 +124,6 @@ def write_confusion(summary: DataFrame, path: str) -> None:
     summary.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_events(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
-
-
 def export_tables(tables: dict[str, DataFrame], path: str, json_columns: dict[str, dict[str, str]] | None = None, secret: tuple[str, ...] = ("password_hash",)) -> None:
     """Every table as JSON in order of id, its JSON texts decoded and secret columns left out."""
     for name, df in tables.items():
@@ -112,14 +133,6 @@ def export_tables(tables: dict[str, DataFrame], path: str, json_columns: dict[st
         df.orderBy("id").write.mode("overwrite").json(f"{path}/{name}")
 
 
-def envelope(events: DataFrame, kind: Column | str, payload: list[str]) -> DataFrame:
-    """Event rows as (event_type, local_id, user_id, session_id, chat_log_id, created_at, payload JSON)."""
-    own = {c: F.col(c) if c in events.columns else F.lit(None).cast("long") for c in ("user_id", "session_id", "chat_log_id")}
-    return events.select(
-        (F.lit(kind) if isinstance(kind, str) else kind).alias("event_type"), F.col("id").alias("local_id"), *[c.alias(n) for n, c in own.items()],
-        "created_at", F.to_json(F.struct(*payload)).alias("payload"))
-
-
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """file_name, bytes and sha256 of PDF files, by ending and first bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
