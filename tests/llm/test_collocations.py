@@ -49,7 +49,7 @@ def corpus(seed):
     return rows + [(None, "en", None), (1, "fr", ""), (2, "fr", "..."), (3, "en", "w" * 200_000 + " the end"), rows[0], rows[0]]
 
 
-@pytest.mark.parametrize("top,first_round", [(2000, 4000), (12, 3), (3, 1)])
+@pytest.mark.parametrize("top,first_round", [(2000, 4000), (3, 2)])
 def test_equals_brute_force(spark, top, first_round):
     rows = corpus(top)
     got = c.collocations(spark.createDataFrame(rows, DOCS).repartition(3), top=top, least=20, first_round=first_round).collect()
