@@ -149,10 +149,24 @@ def active_resolutions(resolutions: DataFrame) -> DataFrame:
     return resolutions.filter(F.col("active") & F.col("issue_type").isin(*ISSUES))
 
 
+def resolver_rows(resolutions: DataFrame, users: DataFrame) -> DataFrame:
+    """Resolutions with resolved_by_email; one whose user (id, email) is gone does not count."""
+    known = users.select(F.col("id").alias("resolved_by"), F.col("email").alias("resolved_by_email"))
+    return resolutions.join(known, "resolved_by")
+
+
 def overlay(items: DataFrame, resolutions: DataFrame, issue_type: str, key: str, include_resolved: bool = False) -> DataFrame:
-    """items with resolved and resolution_note; resolved ones only if asked for."""
-    own = active_resolutions(resolutions).filter(F.col("issue_type") == issue_type).select(F.col("item_key").alias("_k"), F.col("note").alias("resolution_note"), F.lit(True).alias("_r"))
-    out = items.join(own, items[key].cast("string") == own["_k"], "left").withColumn("resolved", F.coalesce("_r", F.lit(False))).drop("_k", "_r")
+    """items with issue_type, item_key, resolved, resolved_at, resolved_by_email and resolution_note; resolved ones only if asked for.
+
+    Resolutions without the columns at and resolved_by_email give nulls. Of several for one key the latest counts.
+    """
+    have = lambda c, kind: F.col(c) if c in resolutions.columns else F.lit(None).cast(kind)
+    at = F.struct(have("at", "timestamp").alias("at"), have("resolved_by_email", "string").alias("by"), have("note", "string").alias("note"))
+    own = active_resolutions(resolutions).filter(F.col("issue_type") == issue_type).groupBy(F.col("item_key").alias("_k")).agg(F.max(at).alias("_r"))
+    text = items[key].cast("string")
+    out = items.join(own, text == own["_k"], "left").withColumns({
+        "issue_type": F.lit(issue_type), "item_key": text, "resolved": F.col("_k").isNotNull(), "resolved_at": F.col("_r.at"), "resolved_by_email": F.col("_r.by"), "resolution_note": F.col("_r.note"),
+    }).drop("_k", "_r")
     return out if include_resolved else out.filter(~F.col("resolved"))
 
 
@@ -229,22 +243,30 @@ def with_judge_snapshot(audits: DataFrame, logs: DataFrame) -> DataFrame:
     return audits.join(logs.select(F.col("id").alias("chat_log_id"), score.alias("llm_overall_score")), "chat_log_id", "left")
 
 
-def suggest_action(gaps: DataFrame, boundary: tuple[str, ...] = (), private: tuple[str, ...] = (), sources: tuple[str, ...] = ()) -> DataFrame:
-    """action_type by the first rule that holds; boundary categories, private phrases and source words are parameters."""
+def suggest_action(gaps: DataFrame, boundary: dict[str, str] | None = None, private: tuple[str, ...] = (), sources: tuple[str, ...] = ()) -> DataFrame:
+    """action_type and suggested_action by the first rule that holds.
+
+    boundary names the action of categories that are refused rightly; private holds phrases of questions, sources words of
+    categories (in small letters). The two lists and the boundary are a deployment's.
+    """
     has = lambda s: F.array_contains("signals", s)
     asked = F.lower(F.coalesce("representative_question", F.lit("")))
     any_of = lambda c, xs: F.exists(F.array(*map(F.lit, xs)), lambda x: F.contains(c, x)) if xs else F.lit(False)
-    rule = (
-        F.when(F.col("category").isin(*boundary) if boundary else F.lit(False), "correct_refusal")
-        .when(any_of(asked, private), "correct_refusal")
-        .when(has("wrong document") | has("citation mismatch") | has("unnecessary refusal"), "retrieval_review")
-        .when(has("missing detail"), "answer_review")
-        .when(has("refused"), "corpus_gap")
-        .when(has("low LLM judge score"), "judge_review")
-        .when(any_of(F.lower("category"), sources), "corpus_gap")
-        .otherwise("answer_review")
-    )
-    return gaps.withColumn("action_type", rule)
+    low = F.exists("signals", lambda s: F.lower(s) == "low llm judge score")
+    rules = [
+        *[(F.col("category") == c, "correct_refusal", action) for c, action in (boundary or {}).items()],
+        (any_of(asked, private), "correct_refusal", "Correct refusal"),
+        (has("wrong document") | has("citation mismatch"), "retrieval_review", "Check retrieval/citations"),
+        (has("unnecessary refusal"), "retrieval_review", "Reduce false refusal"),
+        (has("missing detail"), "answer_review", "Improve answer detail"),
+        (has("refused") & low, "corpus_gap", "Check corpus coverage"),
+        (has("refused"), "corpus_gap", "Check source coverage"),
+        (low, "judge_review", "Review answer/judge score"),
+        (any_of(F.lower("category"), sources), "corpus_gap", "Verify source coverage"),
+    ]
+    picked = F.coalesce(*[F.when(when, F.struct(F.lit(kind).alias("k"), F.lit(action).alias("a"))) for when, kind, action in rules],
+                        F.struct(F.lit("answer_review").alias("k"), F.lit("Review flagged pattern").alias("a")))
+    return gaps.withColumn("_a", picked).withColumns({"action_type": F.col("_a.k"), "suggested_action": F.col("_a.a")}).drop("_a")
 
 
 def resolve(resolutions: DataFrame, events: DataFrame) -> DataFrame:
@@ -276,6 +298,18 @@ def quality_band(score: Column) -> Column:
     return F.when(score.isNull(), "unknown").when(score >= 4, "strong").when(score >= 3, "okay").otherwise("low")
 
 
+def score_percent(score: Column) -> Column:
+    """A score as a whole percentage from 0 to 100; N/A without one."""
+    whole = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * 100 + 0.5)
+    return F.when(score.isNull(), "N/A").otherwise(F.concat(whole.cast("string"), F.lit("%")))
+
+
+def boost_points(boost: Column) -> Column:
+    """A boost in points, negative ones as none; N/A without one."""
+    whole = F.floor(F.greatest(F.lit(0.0), boost) * 100 + 0.5)
+    return F.when(boost.isNull(), "N/A").otherwise(F.concat(F.lit("+"), whole.cast("string"), F.lit(" pts")))
+
+
 def settings_merged(stored: DataFrame, defaults: DataFrame) -> DataFrame:
     """Stored settings (key, value, updated_at), latest of each key, and defaults of keys not stored."""
     last = stored.groupBy("key").agg(F.max_by("value", "updated_at").alias("value"), F.max("updated_at").alias("updated_at"))
@@ -293,6 +327,21 @@ def touched_sessions(sessions: DataFrame, logs: DataFrame) -> DataFrame:
     return sessions.join(last, "id", "left").withColumn("updated_at", F.greatest("updated_at", "_t")).drop("_t")
 
 
+def relabelled_sessions(sessions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sessions (id, title, updated_at) with the title of their latest label (session_id, title, at), which also moves updated_at.
+
+    Of labels at one time the greatest title counts; labels of unknown sessions do nothing.
+    """
+    last = labels.groupBy(F.col("session_id").alias("id")).agg(F.max(F.struct("at", "title")).alias("_l"))
+    out = sessions.join(last, "id", "left")
+    return out.withColumns({"title": F.coalesce("_l.title", "title"), "updated_at": F.greatest("updated_at", "_l.at")}).drop("_l")
+
+
+def own_rows(rows: DataFrame, user: int, sees_all: bool = False) -> DataFrame:
+    """The rows that a user may read: their own, or all; rows of nobody (null) are read by those who see all."""
+    return rows if sees_all else rows.filter(F.col("user_id") == user)
+
+
 def preferred_user(users: DataFrame, emails: list[str]) -> DataFrame:
     """The first of the emails that exists."""
     place = F.array_position(F.array(*map(F.lit, emails)), F.col("email"))

@@ -139,19 +139,72 @@ def chat_records(questions: DataFrame, hits: DataFrame, answers: DataFrame, corp
     }).withColumnRenamed("best_score", "retrieval_score")
 
 
-def compact_results(answers: DataFrame, judges: DataFrame, cited: DataFrame, top: int = 5, chars: int = 700) -> DataFrame:
-    """A strategy's result per question: answer, judge scores, failure modes in one text, first citations with cut texts."""
-    item = F.struct(F.substring("label", 2, 9).cast("int").alias("n"), "label", "file_name", "section_title", F.substring("text", 1, chars).alias("text"))
-    few = cited.groupBy("question_id", "strategy").agg(F.slice(F.array_sort(F.collect_list(item)), 1, top).alias("citations"))
-    flat = judges.select("question_id", "strategy", "overall_score", "verdict", "confidence", F.array_join("failure_modes", "; ").alias("failure_modes"))
-    return answers.join(flat, ["question_id", "strategy"], "left").join(few, ["question_id", "strategy"], "left")
+CALLS = ("embedding", "vector_query", "generation", "judge", "total")
+
+
+def with_calls(records: DataFrame, calls: DataFrame, models: dict[str, str], run_judge: bool = True) -> DataFrame:
+    """chat_records with retrieved_count's companions: models, latencies and token counts of the calls behind each answer.
+
+    calls (question_id, kind, model, duration_ms, prompt_tokens, completion_tokens, total_tokens) has a row for each call
+    that was made, of a kind in CALLS; of several of one kind the longest counts. A call that was not made has null figures
+    and the model that models names for its kind; without run_judge the judge has no model.
+    latency_ms and models repeat them as structs.
+    """
+    item = F.struct("duration_ms", "model", "prompt_tokens", "completion_tokens", "total_tokens")
+    wide = calls.groupBy("question_id").pivot("kind", list(CALLS)).agg(F.max(item))
+    out = records.join(wide, "question_id", "left")
+    model = {k: F.coalesce(F.col(f"{k}.model"), F.lit(models.get(k)).cast("string")) for k in ("embedding", "generation", "judge")}
+    if not run_judge:
+        model["judge"] = F.lit(None).cast("string")
+    tokens = {f"{k}_{n}_tokens": F.col(f"{k}.{n}_tokens") for k in ("generation", "judge") for n in ("prompt", "completion", "total")}
+    out = out.withColumns({
+        **{f"{k}_model": c for k, c in model.items()}, **{f"{k}_latency_ms": F.col(f"{k}.duration_ms") for k in CALLS}, **tokens, "run_judge": F.lit(run_judge),
+    })
+    latency = F.struct(*[F.col(f"{k}_latency_ms").alias(k) for k in CALLS])
+    return out.withColumns({"latency_ms": latency, "models": F.struct(*[F.col(f"{k}_model").alias(k) for k in model])}).drop(*CALLS)
+
+
+def _first_citations(cited: DataFrame, top: int, chars: int) -> DataFrame:
+    """(question_id, strategy, citations): the first rows of `citations` with text, by label, pages as one text."""
+    page = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    item = F.struct(
+        F.substring("label", 2, 9).cast("int").alias("n"), "label", "file_name", "section_title", F.concat_ws("-", page("page_start"), page("page_end")).alias("pages"), "score", "vector_score",
+        "metadata_boost", "source_strategy", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"))
+    # a rank first, so that no list is longer than top
+    order = Window.partitionBy("question_id", "strategy").orderBy(F.substring("label", 2, 9).cast("int"))
+    few = cited.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top)
+    lists = few.groupBy("question_id", "strategy").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    return lists.select("question_id", "strategy", F.transform("c", lambda x: x.dropFields("n")).alias("citations"))
+
+
+def compact_results(records: DataFrame, cited: DataFrame, top: int = 5, chars: int = 700) -> DataFrame:
+    """A strategy's record (question_id, strategy, answer, judge_json, ...) with the judge's fields flat and its first citations.
+
+    Other columns of records stay. Null and unreadable judge_json give null fields and empty failure modes.
+    """
+    field = lambda n: F.get_json_object("judge_json", f"$.{n}")
+    score = lambda n: field(n).try_cast("double")
+    judged = {f"judge_{n}": score(n) for n in ("overall_score", "groundedness_score", "citation_score", "relevance_score", "completeness_score", "clarity_score")}
+    judged |= {f"judge_{n}": field(n) for n in ("verdict", "confidence", "notes")}
+    modes = F.array_join(F.coalesce(F.from_json(field("failure_modes"), "array<string>"), F.array().cast("array<string>")), ", ")
+    few = _first_citations(cited, top, chars)
+    out = records.withColumns({**judged, "judge_failure_modes": modes}).drop("judge_json").join(few, ["question_id", "strategy"], "left")
+    return out.withColumn("citations", F.coalesce("citations", F.array().cast(few.schema["citations"].dataType)))
 
 
 def compare_strategies(results: DataFrame, strategies: list[str]) -> DataFrame:
-    """One row per question with a struct per strategy, and the JSON payload that a comparison prompt carries."""
+    """One row per question with a struct per strategy; a strategy without a result is null."""
     item = F.struct(*[c for c in results.columns if c not in ("question_id", "strategy")])
-    wide = results.groupBy("question_id").pivot("strategy", strategies).agg(F.first(item))
-    return wide.withColumn("payload", F.to_json(F.struct(*strategies)))
+    return results.groupBy("question_id").pivot("strategy", strategies).agg(F.first(item))
+
+
+def comparison_prompts(questions: DataFrame, records: DataFrame, cited: DataFrame, strategies: list[str], instructions: str, top: int = 4) -> DataFrame:
+    """(question_id, prompt): instructions and, as JSON, the question with each strategy's answer, score, judge and citations."""
+    held = records.join(_first_citations(cited, top, 700), ["question_id", "strategy"], "left")
+    item = F.struct("answer", "retrieval_score", F.try_parse_json("judge_json").alias("judge"), "citations")
+    each = held.filter(F.col("strategy").isin(*strategies)).groupBy("question_id").pivot("strategy", strategies).agg(F.first(item))
+    payload = F.to_json(F.struct("question", F.struct(*[f"`{s}`" for s in strategies]).alias("strategies")))
+    return questions.select("question_id", "question").join(each, "question_id").select("question_id", F.concat(F.lit(f"{instructions}\n\nData:\n"), payload).alias("prompt"))
 
 
 def distinct_questions(rows: DataFrame) -> DataFrame:

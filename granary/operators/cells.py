@@ -226,4 +226,4 @@ def cell_report(questions: DataFrame, index: CellIndex, visits: DataFrame) -> Da
     times = visits.groupBy("place").agg(F.count("*").alias("times"))
     each = known.join(times, "place", "left").groupBy("strategy").agg(
         F.sum("n").alias("vectors"), F.count("*").alias("cells"), F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("pairs_read"))
-    return each.crossJoin(F.broadcast(questions.agg(F.count("*").alias("questions"))))
+    return each.withColumn("questions", questions.agg(F.count("*")).scalar())

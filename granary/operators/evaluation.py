@@ -285,19 +285,42 @@ def summary_differences(stored: DataFrame, computed: DataFrame, keys: list[str],
 
 
 def gold_violations(gold: DataFrame) -> DataFrame:
-    """(rule, id) of label rows (id, question, groups, min_groups, answerability) that break a rule."""
+    """(rule, id) of label rows (id, question, groups, min_groups, answerability) that break a rule; expected_refusal, if there, is Yes or No."""
     rules = {
         "empty_question": F.coalesce(F.trim("question"), F.lit("")) == "",
         "untrimmed_question": F.col("question") != F.trim("question"),
         "min_groups": ~F.col("min_groups").between(1, F.size("groups")),
         "answerability": ~F.col("answerability").isin("Answerable", "OCR required"),
     }
+    if "expected_refusal" in gold.columns:
+        rules["yes_no"] = yes_no(F.col("expected_refusal")).isNull()
     broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), n) for n, c in rules.items()]))
     found = gold.select(F.explode(broken).alias("rule"), "id")
     twice = gold.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate_id").alias("rule"), "id")
     return found.unionByName(twice)
 
 
+def yes_no(c: Column) -> Column:
+    """True for yes, false for no, in letters of either size and with spaces round them; else null."""
+    said = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.when(said == "yes", True).when(said == "no", False)
+
+
+def order_violations(gold: DataFrame, expected: DataFrame) -> DataFrame:
+    """(pos, expected, found) of places at which gold (pos, id) and expected (pos, id) name different ids or one names none."""
+    a, b = expected.select("pos", F.col("id").alias("expected")), gold.select("pos", F.col("id").alias("found"))
+    return a.join(b, "pos", "full").filter(~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def set_violations(part: DataFrame, whole: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(id, problem) of rows of part that whole (unique id) lacks or has otherwise; columns maps part's names to whole's."""
+    other = whole.select("id", F.lit(True).alias("_held"), *[F.col(b).alias(f"_{n}") for n, b in enumerate(columns.values())])
+    both = part.select("id", *columns).join(other, "id", "left")
+    differs = [F.when(~F.col(c).eqNullSafe(F.col(f"_{n}")), f"{c} differs") for n, c in enumerate(columns)]
+    problems = F.when(F.col("_held").isNull(), F.array(F.lit("missing"))).otherwise(F.array_compact(F.array(*differs)))
+    return both.select("id", F.explode(problems).alias("problem"))
+
+
 def parse_groups(c: Column) -> Column:
     """'a|b; c' as [[a, b], [c]], trimmed, without empty parts."""
     parts = lambda x, sep: F.filter(F.transform(F.split(x, sep), lambda y: F.trim(y)), lambda y: y != "")

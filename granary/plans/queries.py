@@ -580,4 +580,4 @@ def review_gate(spark: SparkSession, d: str) -> DataFrame:
     return X.review_gate(events, {"enabled": True})
 
 
-from granary.plans import records, search, services  # noqa: E402, F401  register their queries beside these
+from granary.plans import records, reports, search, services  # noqa: E402, F401  register their queries beside these

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +120,50 @@ def write_evaluation(metrics: DataFrame, path: str) -> None:
     held.write.mode("overwrite").json(path)
 
 
+class EvaluationFile(NamedTuple):
+    """runs (id, strategy, run) and hits (id, strategy, rank, hit), run and hit as VARIANT; problems (file, pos, id, problem)."""
+
+    runs: DataFrame
+    hits: DataFrame
+    problems: DataFrame
+
+
+def read_evaluation(spark: SparkSession, path: str, lines: bool = False) -> EvaluationFile:
+    """Saved evaluations: records {id, strategies: {name: {hits: [...]}}}, in one list a file or, with lines, one a line.
+
+    The file is read once. Records that cannot be used are set apart as problems: unreadable, not an object, no id,
+    double id (all of its records), no strategies, and, for one strategy only, no hits list. Blank lines and files are
+    left out. pos is the record's place in its file's list, null for lines. A list is read by one task: use lines for large ones.
+    """
+    raw = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    # the parser ignores what follows the first value of a text: within brackets and within braces it does not
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), "$", "array<variant>")
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), "value", F.lit("}"))).isNotNull() & (F.size(listed) == 1)
+    read = raw.select("file", F.when(alone, F.get(listed, F.lit(0))).alias("v"))
+    if lines:
+        each = read.select("file", F.lit(None).cast("int").alias("pos"), F.col("v").alias("e"))
+    else:
+        many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+        each = read.select("file", F.posexplode(many).alias("pos", "e"))
+    at = F.try_variant_get("e", "$.id", "string")
+    named = F.try_variant_get("e", "$.strategies", "map<string,variant>")
+    held = snapshot(each.select("file", "pos", "e", at.alias("id")), "evaluation")
+    twice = held.filter("id is not null").groupBy("id").agg(F.count("*").alias("_n"))
+    checked = held.join(twice, "id", "left")
+    whole = F.coalesce(F.startswith(F.schema_of_variant("e"), F.lit("OBJECT")), F.lit(False))
+    problem = (
+        F.when(F.col("e").isNull(), "unreadable").when(~whole, "not an object").when(F.col("id").isNull(), "no id")
+        .when(F.col("_n") > 1, "double id").when(named.isNull(), "no strategies")
+    )
+    checked = checked.withColumn("problem", problem)
+    runs = checked.filter("problem is null").select("file", "pos", "id", F.explode(named).alias("strategy", "run"))
+    lists = runs.withColumn("_h", F.try_variant_get("run", "$.hits", "array<variant>"))
+    lacks = lists.filter("_h is null").select("file", "pos", "id", F.concat(F.lit("no hits list: "), F.col("strategy")).alias("problem"))
+    hits = lists.select("id", "strategy", F.posexplode("_h").alias("_p", "hit")).select("id", "strategy", (F.col("_p") + 1).alias("rank"), "hit")
+    problems = checked.filter("problem is not null").select("file", "pos", "id", "problem").unionByName(lacks)
+    return EvaluationFile(runs.select("id", "strategy", "run"), hits, problems)
+
+
 def write_confusion(summary: DataFrame, path: str) -> None:
     columns = ["subset", "strategy", "questions", "tp_sources", "fp_sources", "fn_sources", "tn_sources", "source_micro_precision", "source_micro_recall", "source_micro_f1"]
     summary.select(*columns).write.mode("overwrite").option("header", True).csv(path)
