@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.sources.tables import scratch
@@ -102,11 +102,16 @@ class CorpusStore:
 
     # --- writing ---
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """rows dealt by document and bucket, with _deal: a task holds some documents of one bucket, and a bucket is some tasks and files."""
+        parts = -(-2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        deal = self.bucket() * parts + F.pmod(F.hash("doc_id"), F.lit(parts))
+        return rows.withColumn("_deal", deal).repartitionById(self.buckets * parts, "_deal")
+
     def _written(self, name: str, rows: DataFrame, buckets: list[int], entries: dict[tuple[str, int], str | None]) -> None:
-        """Writes the new rows of the buckets and puts their folders into entries; a bucket left without rows has none."""
+        """Writes the new rows of the buckets, as they are dealt, and puts their folders into entries; a bucket left without rows has none."""
         folder = f"data/{name}-{uuid.uuid4().hex}"
-        dealt = rows.withColumn("bucket", self.bucket()).repartition(len(buckets) or 1, "bucket")
-        dealt.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        rows.withColumn("bucket", self.bucket()).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         there = {int(x.split("=")[1]) for x in self._listed(folder) if x.startswith("bucket=")}
         for b in buckets:
             entries[name, b] = folder if b in there else None
@@ -123,7 +128,6 @@ class CorpusStore:
         latest stays, of equally late ones that of the greatest digest. force starts from an empty corpus; older versions stay readable.
         """
         from granary.operators.chunking import ingest
-        from granary.operators.text import clean_pages
 
         with scratch(self.spark) as keep:
             base = self.version()
@@ -131,35 +135,54 @@ class CorpusStore:
             at = F.col("updated_at") if "updated_at" in pages.columns else F.lit(None).cast("timestamp")
             sent = pages.filter("doc_id is not null and page_num is not null")
             sent = self._digest(sent.select("doc_id", "file_name", "source_path", "page_num", "text", at.alias("updated_at")))
-            latest = F.max(F.struct("updated_at", "digest", "file_name", "source_path", "text")).alias("p")
-            sent = keep(sent.groupBy("doc_id", "page_num").agg(latest).select("doc_id", "page_num", "p.*"), "sent")
-            old = sent.limit(0) if force else self.read("pages", base, self._buckets_of(sent))
+            # what has changed is found by digests, so texts are read twice and shuffled once
+            latest = F.max(F.struct("updated_at", "digest")).alias("p")
+            last = keep(sent.groupBy("doc_id", "page_num").agg(latest).select("doc_id", "page_num", "p.*"), "sent")
+            old = last.limit(0) if force else self.read("pages", base, self._buckets_of(last))
             there = old.select("doc_id", "page_num", F.col("digest").alias("_digest"), F.col("updated_at").alias("_at"))
             newer = F.coalesce(F.col("updated_at") >= F.col("_at"), F.lit(True))
-            changed = sent.join(there, ["doc_id", "page_num"], "left").filter(~F.col("digest").eqNullSafe(F.col("_digest")) & newer)
-            changed = keep(changed.drop("_digest", "_at"), "changed")
-            touched = self._buckets_of(changed)
+            changed = last.join(there, ["doc_id", "page_num"], "left").filter(~F.col("digest").eqNullSafe(F.col("_digest")) & newer)
+            docs = keep(changed.select("doc_id").distinct(), "changed")
+            touched = self._buckets_of(docs)
             if not touched and not (force and base):
                 return base
             entries = dict(known)
-            own = [c.split()[0] for c in PAGES.split(", ")]
-            old = changed.limit(0) if force else self.read("pages", base, touched)
-            new = clean_pages(changed).select(*own)
-            rest = new.limit(0) if force else old.join(changed.select("doc_id", "page_num"), ["doc_id", "page_num"], "left_anti").select(*own)
-            self._written("pages", rest.unionByName(new), touched, entries)
-            now = self._at(entries, "pages", touched)
-            docs = changed.select("doc_id").distinct()
-            made = ingest(now.join(docs, "doc_id", "left_semi"), force=True)
+            self._written("pages", self._merged(sent, base, touched, force), touched, entries)
+            now = self._at(entries, "pages", touched, ", _new boolean").filter("_new")
             columns = [c.split()[0] for c in CHUNKS.split(", ")]
-            made = made.select(*columns)
+            made = ingest(self._dealt(now), force=True).select(*columns)
             if not force:
-                made = self.read("chunks", base, touched).join(docs, "doc_id", "left_anti").select(*columns).unionByName(made)
+                # documents that are chunked anew stand among the old chunks as rows of their own, so that only these are shuffled
+                old = self.read("chunks", base, touched).withColumn("_gone", F.lit(False))
+                both = self._dealt(old.unionByName(docs.withColumn("_gone", F.lit(True)), allowMissingColumns=True))
+                rest = both.withColumn("_gone", F.max("_gone").over(Window.partitionBy("_deal", "doc_id"))).filter("not _gone")
+                made = rest.select(*columns).unionByName(made)
             self._written("chunks", made, touched, entries)
             return self._commit(entries, base, True, True)
 
-    def _at(self, entries: dict[tuple[str, int], str | None], name: str, buckets: list[int]) -> DataFrame:
+    def _merged(self, sent: DataFrame, base: int, touched: list[int], force: bool) -> DataFrame:
+        """All pages of the touched buckets with those sent merged in, and _new: whether a page of their document has changed."""
+        from granary.operators.text import looks_scanned, with_clean
+
+        own = [c.split()[0] for c in PAGES.split(", ")]
+        rows = sent.filter(self.bucket().isin(touched)).withColumns({"clean_text": F.lit(None).cast("string"), "likely_scanned": F.lit(None).cast("boolean"), "_sent": F.lit(True)})
+        rows = rows if force else rows.unionByName(self.read("pages", base, touched).withColumn("_sent", F.lit(False)))
+        rows = self._dealt(rows)
+        page = Window.partitionBy("_deal", "doc_id", "page_num")
+        first = F.row_number().over(page.orderBy(*map(F.desc, ("_sent", "updated_at", "digest", "file_name", "source_path", "text")))) == 1
+        stored = [F.max(F.when(~F.col("_sent"), F.col(c))).over(page) for c in ("digest", "updated_at")]
+        rows = rows.withColumns({"_first": first, "_digest": stored[0], "_at": stored[1]})
+        takes = F.col("_sent") & F.col("_first") & ~F.col("digest").eqNullSafe(F.col("_digest")) & F.coalesce(F.col("updated_at") >= F.col("_at"), F.lit(True))
+        rows = rows.withColumn("_takes", takes).withColumn("_any", F.max("_takes").over(page)).filter("_takes or not (_sent or _any)")
+        rows = rows.withColumn("_new", F.max("_takes").over(Window.partitionBy("_deal", "doc_id")))
+        # only pages that come in are cleaned
+        rows = with_clean(rows.withColumn("_text", F.when(F.col("_takes"), F.col("text"))), "_text", "_clean")
+        fresh = {"clean_text": F.col("_clean"), "likely_scanned": looks_scanned(F.col("_text"))}
+        return rows.withColumns({c: F.when(F.col("_takes"), v).otherwise(F.col(c)) for c, v in fresh.items()}).select(*own, "_new")
+
+    def _at(self, entries: dict[tuple[str, int], str | None], name: str, buckets: list[int], more: str = "") -> DataFrame:
         paths = [f"{self.path}/{entries[name, b]}/bucket={b}" for b in buckets if entries.get((name, b))]
-        schema = {"pages": PAGES, "chunks": CHUNKS}[name]
+        schema = {"pages": PAGES, "chunks": CHUNKS}[name] + more
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _buckets_of(self, rows: DataFrame) -> list[int]:
@@ -179,7 +202,8 @@ class CorpusStore:
             gone = self.read("chunks", base, touched).join(docs, "doc_id", "left_semi").groupBy("strategy").count().collect()
             entries = self._entries(base)
             for name in ("pages", "chunks"):
-                self._written(name, self.read(name, base, touched).join(docs, "doc_id", "left_anti"), touched, entries)
+                kept = self._dealt(self.read(name, base, touched).join(docs, "doc_id", "left_anti"))
+                self._written(name, kept.drop("_deal"), touched, entries)
             return self._commit(entries, base, True, True), counts | {r["strategy"]: r["count"] for r in gone}
 
     def changes(self, old: int, new: int) -> DataFrame:
