@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,69 @@ def test_a_group_of_near_copies_gives_as_many_links_as_members(spark):
     assert members.count() == 150 and {r.group for r in members.collect()} == {0} and links.count() == 149
 
 
+def test_near_copies_side_by_side_are_moved_once(spark, tmp_path, monkeypatch):
+    rows = [(10 * d + k, " ".join(f"w{d}x{j}" for j in range(400)) + f" extra{k}" * k) for d in range(40) for k in range(4)]
+    records = spark.createDataFrame(rows, "url long, text string").coalesce(1)
+    written = []
+
+    def kept(df, name):
+        df.write.parquet(path := str(tmp_path / f"{name}-{len(written)}"))
+        written.append(sum(f.stat().st_size for f in tmp_path.glob(f"{name}-{len(written)}/*.parquet")))
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(W, "snapshot", kept)
+    members, links = W.near_groups(records)
+    assert {(r.url, r.group, r.copies) for r in members.collect()} == {(i, i // 10 * 10, 1) for i, _ in rows}
+    assert sorted((r.left // 10, r.right // 10) for r in links.collect()) == sorted((d, d) for d in range(40) for _ in range(3))
+    # a text has some 400 runs of 8 bytes: no text's were written whole, let alone those of its copies
+    assert sum(written) < 40 * 400 * 8
+
+
+def test_near_groups_are_the_same_however_rows_lie(spark):
+    rng = random.Random(7)
+    text = lambda d: [f"w{d}x{k}" for k in range(rng.choice([5, 20, 25, 30, 60]))]
+    rows = []
+    for d in range(25):
+        words = text(d)
+        for k in range(4):
+            rows.append((f"d{len(rows)}", " ".join(words + [f"extra{k}"] * k)))
+        if d % 3 == 0:  # a chain of edits, and copies of it elsewhere
+            for k in range(5):
+                words = [*words]
+                words[rng.randrange(len(words))] = f"e{d}x{k}"
+                rows.append((f"d{len(rows)}", " ".join(words)))
+    rows += [(f"c{k}", rng.choice(rows)[1].upper()) for k in range(40)] + [(None, rows[0][1]), (None, "only without a key"), ("x0", ""), ("x1", None), ("x2", "!")]
+    rows += [(f"y{k}", " ".join(f"hot{j}" for j in range(80)) + f" tail{k % 90}") for k in range(150)]  # more than a bundle holds, with copies
+    records = spark.createDataFrame(rows, "url string, text string")
+    plain = {i: W_(x) for i, x in rows if i is not None and x is not None and W_(x)}
+    least = {n: min(i for i, m in plain.items() if m == n) for n in plain.values()}
+    copies = {least[n]: sum(x is not None and W_(x) == n for _, x in rows) for n in least}
+    found = [(r.left, r.right) for r in W.near_duplicates(records.filter("url is not null")).collect()]
+    group = components(found)
+    want = {(i, g, copies[i]) for i, g in group.items()}
+    dealt = [records.coalesce(1), records.repartition(7, "text"), records.orderBy(F.xxhash64("url")).repartition(5)]
+    for df, light in zip(dealt, (32, 32, 2)):
+        members, links = W.near_groups(df, light=light)
+        assert {tuple(r) for r in members.collect()} == want
+        given = {(r.left, r.right) for r in links.collect()}
+        assert given <= set(found) and components(given) == group
+
+
+def test_bundles_are_told_apart_by_whole_sets():
+    from granary.operators import bundles as B
+
+    words = np.random.default_rng(3).integers(0, 2**63, 500)
+    ends = np.array([0, 3, 11, 11, 500])
+    got = B.runs(words, ends, 8)
+    assert [len(g) for g in got] == [0, 1, 1, 0, 482] and all((np.diff(g) > 0).all() for g in got)
+    assert len({int(B.runs(np.full(n, 5), np.array([n]), 8)[0][0]) for n in range(1, 9)}) == 8
+    sets = [np.arange(100), np.arange(3, 103), np.arange(200, 300)]
+    none = np.zeros(0, np.int64)
+    x = B._Members([b"a", b"b"], sets[0], [none, np.setdiff1d(sets[1], sets[0])], [none, np.setdiff1d(sets[0], sets[1])])
+    y = B._Members([b"c", b"d"], sets[2], [none, np.arange(3, 109)], [none, sets[2]])
+    assert B.first_alike(x, y, 0.95) is None and B.first_alike(x, y, 0.9) == (b"b", b"d", 100 / 106)
+
+
 def test_large_rule_tables_equal_brute_force(spark):
     rng = random.Random(3)
     hosts = [f"h{k}.example.{x}" for k in range(40) for x in ("com", "org")] + ["example.com", "com", "h1.example.com:8080"]
