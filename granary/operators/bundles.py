@@ -158,6 +158,16 @@ def fits(a: str, b: str, threshold: float) -> Column:
     return (F.col(f"{a}.hi") >= (threshold - TINY) * F.col(f"{b}.lo")) & (F.col(f"{b}.hi") >= (threshold - TINY) * F.col(f"{a}.lo"))
 
 
+def enough(shared: Column, a: str, b: str, threshold: float) -> Column:
+    """Whether bundles that share so many tokens of their prefixes can be alike; their sizes are columns lo and hi after a and b.
+
+    Of two sets, the one whose prefix ends first shares with the other what the prefixes share and some of its n -
+    (n - ceil(threshold * n) + 1) later tokens at most; alike sets share threshold / (1 + threshold) of both sizes together.
+    """
+    later = F.ceil((F.greatest(f"{a}hi", f"{b}hi")) * threshold - TINY) - 1
+    return shared + later >= threshold / (1 + threshold) * (F.col(f"{a}lo") + F.col(f"{b}lo")) - TINY
+
+
 class _Members:
     """The members' sets of a bundle, made when they are asked for."""
 
